@@ -73,7 +73,7 @@ def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
     by_id = decided.where("doc_id is not null").groupBy("doc_id").agg(
         F.count_if("kept").alias("n_kept"), F.count("*").alias("n_rows"))
     odd = by_id.where("n_kept < n_rows")
-    n_odd, n_both = odd.agg(F.count("*"), F.count_if("n_kept > 0")).first()
+    n_odd, n_both = odd.agg(F.count("*"), F.count_if(F.col("n_kept") > 0)).first()
     gone = small_side(odd.where("n_kept = 0").select("doc_id"), n_odd, 32)
     out = docs.join(gone, "doc_id", "left_anti")
     if n_both:

@@ -112,7 +112,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken; the document at a cut ends after its last word taken."""
+    """The mix itself: rows of docs, each as often as it is taken; the document at a cut ends after its last word taken.
+
+    Documents without words come along wherever their place in the order of keys is before the cut.
+    """
     _, cuts, n = plan_mix(docs, **options)
     seed = options.get("seed", SEED)
     rows = _taken(docs.withColumn("_key", _key(seed)), cuts, n)
