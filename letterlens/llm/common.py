@@ -64,19 +64,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+def keep_decided(docs: DataFrame, decided: DataFrame, one_per_id: bool = False) -> DataFrame:
     """The rows of docs whose decision is to stay; decided has doc_id and kept, a row for each row of docs.
 
     Ids that go are anti-joined, so texts are shuffled only if those ids are too many to broadcast. Of rows that share
-    an id, as many distinct ones stay as the decision has kept. Rows without an id stay.
+    an id, the distinct ones stay if the decision has kept some; with one_per_id, one of them. Rows without an id stay.
     """
     by_id = decided.where("doc_id is not null").groupBy("doc_id").agg(
         F.count_if("kept").alias("n_kept"), F.count("*").alias("n_rows"))
-    odd = by_id.where("n_kept < n_rows")
+    odd = by_id.where("n_kept < n_rows or n_rows > 1") if one_per_id else by_id.where("n_kept < n_rows")
     n_odd, n_both = odd.agg(F.count("*"), F.count_if(F.col("n_kept") > 0)).first()
     gone = small_side(odd.where("n_kept = 0").select("doc_id"), n_odd, 32)
     out = docs.join(gone, "doc_id", "left_anti")
     if n_both:
         both = small_side(odd.where("n_kept > 0").select("doc_id"), n_both, 32)
-        out = out.join(both, "doc_id", "left_anti").unionByName(out.join(both, "doc_id", "left_semi").dropDuplicates())
+        again = out.join(both, "doc_id", "left_semi")
+        out = out.join(both, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"]) if one_per_id else again.dropDuplicates())
     return out.select(*docs.columns)

@@ -242,6 +242,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one_of_near(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with its smallest doc_id. Columns as they are."""
+    """docs with one document of each component: the one with its smallest doc_id. Columns as they are.
+
+    Of rows that repeat that doc_id one stays; rows without a doc_id stay.
+    """
     found = near_groups(docs)
-    return keep_decided(docs, found.select("doc_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    return keep_decided(docs, found.select("doc_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), one_per_id=True)
