@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .chat_format import conversation_nodes, format_trees, read_back
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .packing import pack
 from .quality_fm import score_quality, train
 from .simhash import near_groups
+from .token_counts import count_tokens
+from .vector_topk import top_k
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(format_trees(conversation_nodes(rows.unionByName(extra))))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,14 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -37,8 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_fm": op4_quality_fm,
+    "op5_token_counts": op5_token_counts,
+    "op6_exact_topk": op6_exact_topk,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }
