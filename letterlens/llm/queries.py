@@ -13,6 +13,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_fm import score_quality, train
 from .simhash import near_groups
+from .suffix_dedup import cut_repeats
 from .token_counts import count_tokens
 from .vector_topk import top_k
 
@@ -49,6 +50,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_exact_topk": op6_exact_topk,
     "op8_simhash": op8_simhash,
+    "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
 }
 ORACLES = sql.ORACLES
