@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .packing import pack
+from .pii import replace_personal_data
 from .quality_fm import score_quality, train
 from .simhash import near_groups
 from .suffix_dedup import cut_repeats
@@ -46,6 +47,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_quality_fm": op4_quality_fm,
     "op5_token_counts": op5_token_counts,
     "op6_exact_topk": op6_exact_topk,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
