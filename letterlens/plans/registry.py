@@ -1,12 +1,9 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine and their DuckDB SQL, by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from letterlens.plans import queries as _queries
+from letterlens.plans.oracles import ORACLES  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+QUERIES = {name: f for name, f in vars(_queries).items() if callable(f) and getattr(f, "__module__", "") == _queries.__name__ and not name.startswith("_")}
+flagship = _queries.flagship_verdicts
