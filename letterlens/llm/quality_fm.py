@@ -143,14 +143,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, slots, values, stats = features(_texts(b.column("text")))
-            ends = np.r_[0, np.cumsum(sizes)]
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("quality"),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slots.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.float32))),
-                pa.array(list(stats), pa.list_(pa.float64()))], ["doc_id", "quality", "slots", "vals", "stats"])
+        for whole in batches:
+            for k in range(0, len(whole), 200):
+                b = whole.slice(k, 200)
+                sizes, slots, values, stats = features(_texts(b.column("text")))
+                ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id"), b.column("quality"), pa.ListArray.from_arrays(ends, pa.array(slots.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float32))), pa.array(list(stats), pa.list_(pa.float64()))],
+                    ["doc_id", "quality", "slots", "vals", "stats"])
 
     # The sample is bounded by `rows`, so its ids can be broadcast and its features come to the driver.
     got = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
@@ -173,8 +174,8 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 500):  # bounds what a batch of long texts holds
-                part = b.slice(k, 500)
+            for k in range(0, len(b), 200):  # bounds what a batch of long texts holds
+                part = b.slice(k, 200)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.value.scores(_texts(part.column("text"))))], ["doc_id", "score"])
 
     return (docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
@@ -187,8 +188,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.slice(k, 500)
+            for k in range(0, len(b), 200):
+                part = b.slice(k, 200)
                 yield part.filter(pa.array(model.value.scores(_texts(part.column("text"))) >= threshold))
 
     return docs.mapInArrow(good, docs.schema)

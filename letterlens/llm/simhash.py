@@ -29,6 +29,8 @@ SEED = 42
 SHARD_FPS = 512
 #: A shard with more fingerprints is dealt again by its other bits.
 TREE_FPS = 4096
+#: Texts whose shingles a task holds at once.
+BATCH_TEXTS = 200
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -69,8 +71,10 @@ def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.n
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "fp"])
+        for k in range(0, len(b), BATCH_TEXTS):
+            part = b.slice(k, BATCH_TEXTS)
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "fp"])
 
 
 def block_masks(n: int, radius: int = RADIUS, per_shard: int = SHARD_FPS) -> list[int]:
