@@ -82,9 +82,17 @@ def _text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *[_or_empty(F.col(c)) for c in columns]))
 
 
-def _in_text(rule_id: str, severity: str, score: int, terms: tuple, *columns: str) -> Rule:
-    return Rule(rule_id, "content", severity, score, lambda t: F.size(_terms_in(_text(*columns), t)) > 0,
-                lambda t: F.concat_ws(", ", _terms_in(_text(*columns), t)), terms)
+#: Texts that several rules search, put together once per message.
+PREPARED = {"_title_text": ("body_text", "subject"), "_body_text": ("body_text", "body_html")}
+
+
+def prepared(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumns({name: _text(*columns) for name, columns in PREPARED.items()})
+
+
+def _in_text(rule_id: str, severity: str, score: int, terms: tuple, column: str) -> Rule:
+    text = lambda: F.col(column)
+    return Rule(rule_id, "content", severity, score, lambda t: F.size(_terms_in(text(), t)) > 0, lambda t: F.concat_ws(", ", _terms_in(text(), t)), terms)
 
 
 def _brands(terms: tuple) -> Column:
@@ -128,9 +136,9 @@ CATALOGUE: tuple[Rule, ...] = (
     Rule("RULE-SENDER-003", "sender", "low", 15, lambda t: _domain() == ""),
     Rule("RULE-RECIPIENT-001", "recipient", "low", 5, lambda t: _to().isNull() | F.contains(
         F.lower(F.concat_ws(" ", _to().raw, _to().address, _to().display_name)), F.lit("undisclosed"))),
-    _in_text("RULE-CONTENT-001", "low", 10, URGENCY, "body_text", "subject"),
-    _in_text("RULE-CONTENT-002", "medium", 20, SENSITIVE, "body_text", "body_html"),
-    _in_text("RULE-CONTENT-003", "medium", 15, THREATS, "body_text", "body_html"),
+    _in_text("RULE-CONTENT-001", "low", 10, URGENCY, "_title_text"),
+    _in_text("RULE-CONTENT-002", "medium", 20, SENSITIVE, "_body_text"),
+    _in_text("RULE-CONTENT-003", "medium", 15, THREATS, "_body_text"),
     Rule("RULE-CONTENT-004", "content", "info", 2, lambda t: F.length(_or_empty(F.col("body_html"))) > 0),
     _of_urls("RULE-URL-001", "info", 2, lambda u, t: F.lit(True)),
     _of_urls("RULE-URL-002", "low", 10, lambda u, t: F.lower(u).startswith("http://")),
@@ -159,7 +167,7 @@ def evaluate_rules(parsed: DataFrame, rules: Iterable[Rule] = CATALOGUE) -> Data
         hit = F.coalesce(r.matched(r.terms), F.lit(False))
         return F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), hit.alias("matched"),
                         F.when(hit, r.score).otherwise(0).alias("score"), F.when(hit, F.coalesce(r.evidence(r.terms), F.lit(""))).otherwise("").alias("evidence"))
-    return parsed.select("case_id", F.inline(F.array(*[row(r) for r in rules if r.enabled])))
+    return prepared(parsed).select("case_id", F.inline(F.array(*[row(r) for r in rules if r.enabled])))
 
 
 def verdict(total: Column) -> Column:
@@ -173,7 +181,7 @@ def score_rules(parsed: DataFrame, rules: Iterable[Rule] = CATALOGUE) -> DataFra
     """
     rules = [r for r in rules if r.enabled]
     hit = {r.rule_id: F.coalesce(r.matched(r.terms), F.lit(False)).cast("int") for r in rules}
-    wide = parsed.select("case_id", *[hit[r.rule_id].alias(r.rule_id) for r in rules])
+    wide = prepared(parsed).select("case_id", *[hit[r.rule_id].alias(r.rule_id) for r in rules])
     points = {c: sum((F.col(f"`{r.rule_id}`") * r.score for r in rules if r.category == c), F.lit(0)) for c in CAPS}
     scored = wide.select("case_id", *[F.least(points[c], F.lit(cap)).alias(f"{c}_score") for c, cap in CAPS.items()],
                          sum((F.col(f"`{r.rule_id}`") for r in rules), F.lit(0)).alias("matched_rules_count"), F.lit(len(rules)).alias("total_rules_evaluated"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from letterlens.functions import urls as U
+from letterlens.operators import origin as G
 from letterlens.operators import rules as R
+from letterlens.sources import feeds as FE
 from letterlens.sources.mail_view import oracle_ctes
 
 
@@ -71,7 +73,180 @@ def scores_ctes() -> str:
             f"FROM (SELECT *, least({total}, {R.MOST}) AS total_score FROM s) x)")
 
 
+def sql_domain(x: str) -> str:
+    v = f"regexp_replace(lower(trim({x})), '\\.$', '')"
+    return f"CASE WHEN regexp_matches({v}, '{U.DOMAIN}') THEN {v} END"
+
+
+def sql_url(u: str) -> str:
+    part = lambda n: f"regexp_extract({u}, '{U.URL}', {n})"
+    where = f"lower({part(4)})"
+    return (f"CASE WHEN {part(2)} <> '' THEN lower({part(2)}) || '://' || CASE WHEN lower({part(2)}) = 'http' THEN regexp_replace({where}, ':80$', '') "
+            f"WHEN lower({part(2)}) = 'https' THEN regexp_replace({where}, ':443$', '') ELSE {where} END || CASE WHEN {part(5)} = '' THEN '/' ELSE {part(5)} END "
+            f"|| CASE WHEN {part(7)} = '' THEN '' ELSE '?' || {part(7)} END || CASE WHEN {part(9)} = '' THEN '' ELSE '#' || {part(9)} END END")
+
+
+def indicator_ctes() -> str:
+    """CTEs up to ind: the numbered indicators of each message."""
+    host, local = sql_host("u"), ", ".join(f"'{x}'" for x in U.LOCAL)
+    return f"""{oracle_ctes()},
+url AS (SELECT case_id, p, urls[p] AS u FROM (SELECT case_id, urls, unnest(generate_series(1, len(urls))) AS p FROM mail) x),
+hst AS (SELECT *, {host} AS h, regexp_matches({host}, '{U.IPV4}') AS ip FROM url),
+cand AS (
+  SELECT case_id, 1 AS st, p, 0 AS sub, 'URL' AS ioc_type, u AS original_value, {sql_url('u')} AS normalized_value, 'email_url' AS source_context FROM url
+  UNION ALL SELECT case_id, 1, p, 1, 'IP', h, h, 'url_ip' FROM hst WHERE ip
+  UNION ALL SELECT case_id, 1, p, 2, 'DOMAIN', h, {sql_domain('h')}, 'url_domain' FROM hst WHERE NOT ip AND h NOT IN ({local})
+  UNION ALL SELECT case_id, 2, n, 0, 'SHA256', sha256, sha256, 'attachment_hash' FROM att WHERE case_id IN (SELECT case_id FROM mail)
+  UNION ALL SELECT case_id, 3, 1, 0, 'DOMAIN', lower(from_domain), {sql_domain('from_domain')}, 'sender_domain' FROM mail
+  UNION ALL SELECT case_id, 4, 1, 0, 'DOMAIN', reply_domain, {sql_domain('reply_domain')}, 'reply_to_domain' FROM mail),
+one AS (SELECT * FROM cand WHERE normalized_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, ioc_type, normalized_value, source_context ORDER BY st, p, sub) = 1),
+ind AS (SELECT case_id, 'IOC-' || lpad(row_number() OVER (PARTITION BY case_id ORDER BY st, p, sub) || '', 3, '0') AS ioc_id, ioc_type, original_value, normalized_value, source_context FROM one)"""
+
+
+def feed_ctes() -> str:
+    rows = ", ".join("(" + ", ".join([str(i), *(repr(x) if isinstance(x, str) else str(x) for x in r)]) + ")" for i, r in enumerate(FE.EXAMPLE_INDICATORS))
+    value = f"CASE t WHEN 'URL' THEN {sql_url('v')} WHEN 'DOMAIN' THEN {sql_domain('v')} ELSE v END"
+    return (f"raw(place, source, t, v, status, confidence, reason) AS (VALUES {rows}),\n"
+            f"feed AS (SELECT source, t AS ioc_type, {value} AS normalized_value, status, confidence, reason, '1' AS feed_version FROM raw\n"
+            "QUALIFY row_number() OVER (PARTITION BY source, ioc_type, normalized_value ORDER BY place DESC) = 1)")
+
+
+def match_ctes() -> str:
+    return f"""{indicator_ctes()},
+{feed_ctes()},
+hit AS (SELECT i.*, s.source, coalesce(f.status, 'not_found') AS status, coalesce(f.confidence, 0) AS confidence, f.reason, f.feed_version
+  FROM ind i CROSS JOIN (SELECT DISTINCT source FROM feed) s LEFT JOIN feed f USING (source, ioc_type, normalized_value)),
+isum AS (SELECT case_id, count(DISTINCT ioc_id) AS total_indicators, count(*) FILTER (status NOT IN ('not_found', 'error')) AS matched, count(*) FILTER (status = 'known_malicious') AS malicious,
+  count(*) FILTER (status = 'suspicious') AS suspicious, count(*) FILTER (status = 'not_found') AS not_found, bool_or(bad AND good) AS disputed,
+  max(confidence) FILTER (status = 'known_malicious') AS malicious_confidence, max(confidence) FILTER (status = 'suspicious') AS suspicious_confidence, bool_or(good) AS benign,
+  coalesce(string_agg(DISTINCT feed_version, ','), '') AS feed_versions
+  FROM (SELECT *, bool_or(status = 'known_malicious') OVER w AS bad, bool_or(status = 'known_benign') OVER w AS good FROM hit WINDOW w AS (PARTITION BY case_id, ioc_type, normalized_value)) x GROUP BY case_id)"""
+
+
+def origin_ctes() -> str:
+    """CTEs up to org: the origin of each message with its enrichment."""
+    num = "(CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(ip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT))"
+    cls = "CASE " + " ".join(f"WHEN {num} BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in G.ranges()) + " ELSE 'GLOBAL' END"
+    geo = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in FE.EXAMPLE_GEO)
+    intel = ", ".join(f"('{r[0]}', {r[1]}, {r[2]}, {r[3]}, {r[4]})" for r in FE.EXAMPLE_INTEL)
+    return f"""hop AS (SELECT case_id, len(received) - p AS hop_index, received[p] AS line FROM (SELECT case_id, received, unnest(generate_series(1, len(received))) AS p FROM mail) x),
+ips AS (SELECT case_id, hop_index, line, l, l[q] AS ip, q FROM (SELECT *, unnest(generate_series(1, len(l))) AS q FROM (SELECT *, regexp_extract_all(line, '\\b[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}\\b') AS l FROM hop) a) b),
+cnd AS (SELECT case_id, CAST(hop_index AS INTEGER) AS hop_index, CAST(q AS INTEGER) AS place, ip, {cls} AS classification,
+  CASE WHEN contains(regexp_extract(line, 'from\\s+([a-zA-Z0-9._-]+)', 1), '.') AND NOT regexp_matches(replace(regexp_extract(line, 'from\\s+([a-zA-Z0-9._-]+)', 1), '.', ''), '^[0-9]*$')
+       THEN regexp_extract(line, 'from\\s+([a-zA-Z0-9._-]+)', 1) END AS reverse_dns_hint FROM ips),
+sel AS (SELECT * FROM cnd WHERE classification IN ('GLOBAL', 'DOCUMENTATION') QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY hop_index, place) = 1),
+tot AS (SELECT case_id, max(hop_index) + 1 AS total_hops, count(*) FILTER (classification IN ('PRIVATE', 'LOOPBACK')) AS private_hops FROM cnd GROUP BY case_id),
+geo(ip, country_code, asn) AS (VALUES {geo}),
+intel(ip, is_tor_exit, is_vpn, is_proxy, is_datacenter_hosting) AS (VALUES {intel}),
+org AS (SELECT mail.case_id, CASE WHEN sel.ip IS NULL THEN 'NO_CANDIDATE' ELSE 'SUCCESS' END AS status, sel.ip AS selected_origin_ip, sel.classification AS origin_class,
+  sel.hop_index AS origin_hop, CAST(coalesce(total_hops, 0) AS INTEGER) AS total_hops, CAST(coalesce(private_hops, 0) AS INTEGER) AS private_hops,
+  CASE WHEN sel.ip IS NULL THEN 'UNKNOWN' WHEN sel.hop_index = 0 AND total_hops >= 2 THEN 'HIGH' WHEN sel.hop_index <= 2 AND total_hops >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  country_code, asn, is_tor_exit, is_vpn, is_proxy, is_datacenter_hosting, CASE WHEN intel.ip IS NULL THEN 'unmatched' ELSE 'feed' END AS intel_source
+  FROM mail LEFT JOIN sel ON sel.case_id = mail.case_id LEFT JOIN tot ON tot.case_id = mail.case_id LEFT JOIN geo ON geo.ip = sel.ip LEFT JOIN intel ON intel.ip = sel.ip)"""
+
+
+def correlation_ctes() -> str:
+    """CTEs up to cor: the assessment of each message, all four signals of which are there but for some texts'."""
+    scores, matches = scores_ctes(), match_ctes()[len(oracle_ctes()):]
+    points = "round({s} * round({w} / base, 4) * 100 + 1e-9, 2)"
+    each = lambda n, w: f"CASE WHEN {n}_signal IS NULL THEN 0 ELSE {points.format(s=f'{n}_signal', w=w)} END"
+    return f"""{scores}{matches},
+{origin_ctes()},
+ml AS (SELECT case_id, CASE WHEN k % 17 = 0 THEN 'insufficient_text' ELSE 'ready' END AS model_status, (k * 37 % 101) / 100.0::DOUBLE AS p FROM mail),
+obs AS (SELECT case_id, ioc_type AS entity_type, lower(trim(normalized_value)) AS entity_value, 'IOC' AS engine FROM hit
+  UNION ALL SELECT case_id, 'DOMAIN', h, 'IOC' FROM (SELECT case_id, regexp_extract(lower(trim(normalized_value)), 'https?://([^/:?#]+)', 1) AS h FROM hit WHERE ioc_type = 'URL') x WHERE h <> ''
+  UNION ALL SELECT case_id, 'IP', lower(selected_origin_ip), 'GEO' FROM org WHERE selected_origin_ip IS NOT NULL
+  UNION ALL SELECT case_id, 'IP', h, 'RULES' FROM hst WHERE regexp_matches(h, '{U.IPV4}') OR regexp_matches(h, '{U.IPV6}')),
+ent AS (SELECT case_id, entity_type, entity_value, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, count(*) AS observations, count(DISTINCT engine) >= 2 AS is_cross_engine FROM obs GROUP BY ALL),
+sig AS (SELECT mail.case_id, total_score / 100.0::DOUBLE AS rules_signal, CASE WHEN model_status = 'ready' THEN p END AS ml_signal,
+  CASE WHEN malicious_confidence IS NOT NULL THEN 0.85::DOUBLE + 0.15::DOUBLE * malicious_confidence / 100 WHEN suspicious_confidence IS NOT NULL THEN 0.50::DOUBLE + 0.15::DOUBLE * suspicious_confidence / 100
+       WHEN benign THEN 0.05 ELSE 0.0 END AS ioc_signal,
+  round(least(1.0, (CASE WHEN is_tor_exit THEN 0.40::DOUBLE ELSE 0 END + CASE WHEN is_vpn OR is_proxy THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN is_datacenter_hosting AND NOT is_tor_exit THEN 0.15::DOUBLE ELSE 0 END)
+    * CASE org.confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.6::DOUBLE WHEN 'LOW' THEN 0.25::DOUBLE ELSE 0 END), 4) AS geo_signal,
+  CASE WHEN model_status = 'ready' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS base, coalesce(x.n, 0) AS cross_entities, coalesce(malicious_confidence >= 85, false) AS severe, coalesce(disputed, false) AS disputed
+  FROM mail JOIN scores USING (case_id) JOIN ml USING (case_id) LEFT JOIN isum ON isum.case_id = mail.case_id JOIN org ON org.case_id = mail.case_id
+  LEFT JOIN (SELECT case_id, count(*) AS n FROM ent WHERE is_cross_engine GROUP BY case_id) x ON x.case_id = mail.case_id),
+bas AS (SELECT *, greatest(0.0, least(100.0, {each('rules', 0.35)} + {each('ml', 0.30)} + {each('ioc', 0.25)} + {each('geo', 0.10)} - round(cross_entities * 2.5 * 0.5, 2))) AS base_score,
+  concat_ws(';', CASE WHEN rules_signal >= 0.60 AND ml_signal <= 0.30 THEN 'rules high, text low' WHEN rules_signal <= 0.25 AND ml_signal >= 0.70 THEN 'text high, rules low' END,
+    CASE WHEN disputed THEN 'feeds disagree' END) AS conflicts FROM sig),
+cor AS (SELECT *, CASE WHEN final_score >= 60 THEN 'HIGH_RISK' WHEN final_score >= 25 THEN 'SUSPICIOUS' ELSE 'BENIGN' END AS final_assessment,
+  CASE WHEN coverage >= 90 AND conflicts = '' THEN 'HIGH' WHEN coverage >= 60 AND NOT contains(conflicts, ';') THEN 'MEDIUM' ELSE 'LOW' END AS correlation_confidence
+  FROM (SELECT *, round(base * 100, 1) AS coverage, round(CASE WHEN severe THEN greatest(base_score, 65.0) ELSE base_score END + 1e-9, 1) AS final_score FROM bas) x)"""
+
+
+def samples_cte() -> str:
+    body = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+    return (f"smp AS (SELECT coalesce(source, '') AS source, doc_id AS seq, 1 - quality AS label, sha256(' ' || {body}) AS content_hash, length({body}) >= 10 AS usable, text FROM documents JOIN labels USING (doc_id)),\n"
+            "kept AS (SELECT *, count(*) OVER (PARTITION BY content_hash) AS copies, row_number() OVER (PARTITION BY content_hash ORDER BY source, seq) AS rn FROM smp),\n"
+            "fst AS (SELECT * FROM kept WHERE rn = 1)")
+
+
+_SPLIT = ("pl AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(content_hash || '42'), source, seq) AS place, count(*) OVER (PARTITION BY label) AS total FROM fst),\n"
+          "spl AS (SELECT content_hash, label, CASE WHEN place <= round(total * 0.70::DOUBLE) THEN 'train' WHEN place <= round(total * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM pl)")
+_SCORED = ("sc AS (SELECT seq AS doc, source, label, least(1.0, length(regexp_replace(text, '[^!*#$%&|]', '', 'g')) / 40.0::DOUBLE) AS probability FROM smp)")
+_CONFUSED = ("cf AS (SELECT {by} count(*) FILTER (probability >= 0.5 AND label = 1) AS tp, count(*) FILTER (probability >= 0.5 AND label <> 1) AS fp, count(*) FILTER (probability < 0.5 AND label = 1) AS fn,"
+             " count(*) FILTER (probability < 0.5 AND label <> 1) AS tn FROM sc {group})")
+_TERMS = ("tok AS (SELECT doc_id AS doc, regexp_extract_all(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM documents),\n"
+          "trm AS (SELECT doc, unnest(w) AS term FROM tok UNION ALL SELECT doc, w[i] || ' ' || w[i + 1] FROM (SELECT doc, w, unnest(generate_series(1, len(w) - 1)) AS i FROM tok) x),\n"
+          "tf AS (SELECT doc, term, count(*) AS tf FROM trm GROUP BY ALL),\n"
+          "voc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS corpus_count, count(*) AS df FROM tf GROUP BY term ORDER BY corpus_count DESC, term LIMIT {n})")
+_EVENTS = ("ev AS (SELECT 'CASE-' || lpad(user_id || '', 10, '0') AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type, ts, event_id, props,\n"
+           "  '{\"actor_id\":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '\"worker\"' END || ',\"actor_type\":\"SYSTEM\",\"case_id\":\"CASE-' || lpad(user_id || '', 10, '0') || '\",\"event_sequence\":' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)\n"
+           "  || ',\"event_timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00\",\"event_type\":\"' || event_type\n"
+           "  || '\",\"message\":\"said \\\"\\u00e9\\\" ' || event_id || '\",\"metadata\":' || coalesce(props, '{}') || ',\"previous_event_hash\":' AS head FROM events),\n"
+           "chn AS (SELECT case_id, seq, CAST(NULL AS VARCHAR) AS prev, sha256(head || 'null}') AS hash FROM ev WHERE seq = 1\n"
+           "  UNION ALL SELECT ev.case_id, ev.seq, c.hash, sha256(ev.head || '\"' || c.hash || '\"}') FROM chn c JOIN ev ON ev.case_id = c.case_id AND ev.seq = c.seq + 1)")
+
+
 ORACLES = {
+    "c_entities": f"{correlation_ctes()}\nSELECT * FROM ent",
+    "c_assessments": f"{correlation_ctes()}\nSELECT case_id, rules_signal, ml_signal, ioc_signal, geo_signal, coverage, cross_entities, severe, final_score, final_assessment, correlation_confidence, conflicts FROM cor",
+    "c_top_evidence": f"""{correlation_ctes()},
+rl AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, rule_id) AS n FROM hits WHERE matched),
+ev AS (SELECT case_id, 1 AS tier, ioc_id || '/' || source AS place, 'IOC' AS engine, normalized_value AS evidence_type, 'high' AS impact FROM hit WHERE status = 'known_malicious'
+  UNION ALL SELECT case_id, 2, n || '', 'RULES', rule_id, CASE WHEN score >= 15 THEN 'high' ELSE 'medium' END FROM rl WHERE n <= 3
+  UNION ALL SELECT case_id, 3, '', 'ML', 'phishing_probability', CASE WHEN p >= 0.85 THEN 'high' ELSE 'medium' END FROM ml WHERE model_status = 'ready' AND p >= 0.65
+  UNION ALL SELECT case_id, 4, '', 'GEO', CASE WHEN is_tor_exit THEN 'tor_routing' ELSE 'vpn_routing' END, CASE WHEN is_tor_exit THEN 'medium' ELSE 'low' END FROM org WHERE is_tor_exit OR is_vpn),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY tier, place) AS INTEGER) AS rank FROM ev)
+SELECT mail.case_id, coalesce(rank, 1) AS rank, coalesce(engine, 'CORRELATION') AS engine, coalesce(evidence_type, 'baseline_clear') AS evidence_type, coalesce(impact, 'low') AS impact
+FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.case_id""",
+    "p_white_space": "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents",
+    "m_keep_first": f"WITH {samples_cte()}\nSELECT source, seq, label, content_hash, copies FROM fst",
+    "m_dedupe_counts": f"WITH {samples_cte()},\ng AS (SELECT content_hash, count(*) AS c, count(DISTINCT source) AS s, arg_min(label, (source, seq)) AS label FROM smp GROUP BY 1)\n"
+                       "SELECT CAST(sum(c) AS BIGINT) AS candidates, count(*) AS retained, CAST(sum(c - 1) AS BIGINT) AS removed, CAST(sum(s - 1) AS BIGINT) AS cross_dataset, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM g",
+    "m_capped_sample": f"WITH {samples_cte()}\nSELECT source, seq, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS n FROM fst) x WHERE n <= 15 ORDER BY seq, source LIMIT 1200",
+    "m_split": f"WITH {samples_cte()},\n{_SPLIT}\nSELECT * FROM spl",
+    "m_split_manifest": f"WITH {samples_cte()},\n{_SPLIT}\nSELECT split, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative, count(*) AS samples FROM spl GROUP BY split",
+    "m_split_overlaps": f"WITH {samples_cte()},\n{_SPLIT},\no AS (SELECT content_hash, list(DISTINCT split) AS s FROM spl GROUP BY 1)\nSELECT count(*) FILTER (list_contains(s, 'test') AND list_contains(s, 'train')) AS test_train, "
+                        "count(*) FILTER (list_contains(s, 'test') AND list_contains(s, 'validation')) AS test_validation, count(*) FILTER (list_contains(s, 'train') AND list_contains(s, 'validation')) AS train_validation FROM o",
+    "m_profile": f"WITH {samples_cte()}\nSELECT source, count(*) AS messages, count(*) FILTER (usable) AS usable, count(*) FILTER (NOT usable) AS short, count(*) - count(DISTINCT content_hash) AS duplicates, "
+                 "count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM smp GROUP BY source",
+    "m_vocabulary": "WITH " + _TERMS.replace("{n}", "5000") + "\nSELECT * FROM voc",
+    "m_tfidf": "WITH " + _TERMS.replace("{n}", "500") + ",\nrw AS (SELECT doc, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term))\n"
+               "SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM rw",
+    "m_predictions": f"WITH {samples_cte()},\n{_SCORED},\nq AS (SELECT doc, source, label, CASE WHEN doc % 50 <> 0 THEN probability ELSE 0.5 END AS probability, CASE WHEN doc % 50 <> 0 THEN 'ready' ELSE 'insufficient_text' END AS model_status FROM sc)\n"
+                     "SELECT *, CASE WHEN probability < 0.30 THEN 'LEGITIMATE' WHEN probability > 0.70 THEN 'PHISHING' ELSE 'UNCERTAIN' END AS prediction, "
+                     "CASE WHEN model_status <> 'ready' THEN 'LOW' WHEN abs(probability - 0.5) >= 0.35 THEN 'HIGH' WHEN abs(probability - 0.5) >= 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM q",
+    "m_evaluation": f"WITH {samples_cte()},\n{_SCORED},\n{_CONFUSED.format(by='', group='')},\npr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall FROM cf)\n"
+                    "SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy, coalesce(fp / nullif(fp + tn, 0)::DOUBLE, 0) AS false_positive_rate FROM pr",
+    "m_external_rates": f"WITH {samples_cte()},\n{_SCORED},\n{_CONFUSED.format(by='source,', group='GROUP BY source')}\nSELECT *, coalesce(fp / nullif(fp + tn, 0)::DOUBLE, 0) AS false_positive_rate FROM cf",
+    "m_roc_auc": f"WITH {samples_cte()},\n{_SCORED},\nrk AS (SELECT label, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0::DOUBLE AS r FROM sc)\n"
+                 "SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS roc_auc FROM rk",
+    "m_errors": f"WITH {samples_cte()},\n{_SCORED},\nk AS (SELECT doc, probability, CASE WHEN probability >= 0.5 AND label = 0 THEN 'false_positive' WHEN probability < 0.5 AND label = 1 THEN 'false_negative' END AS kind FROM sc)\n"
+                "SELECT * FROM (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY doc) AS INTEGER) AS rank, doc, probability FROM k WHERE kind IS NOT NULL) x WHERE rank <= 10",
+    "a_chain": f"WITH RECURSIVE {_EVENTS}\nSELECT chn.case_id, CAST(chn.seq AS INTEGER) AS event_sequence, ev.event_type, chn.prev AS previous_event_hash, chn.hash AS event_hash FROM chn JOIN ev USING (case_id, seq)",
+    "a_verify_cases": f"WITH RECURSIVE {_EVENTS}\nSELECT case_id, true AS valid, count(*) AS event_count, CAST(0 AS BIGINT) AS errors, arg_min(hash, seq) AS first_event_hash, arg_max(hash, seq) AS last_event_hash FROM chn GROUP BY case_id",
+    "a_runs": "WITH e AS (SELECT 'CASE-' || lpad(user_id || '', 10, '0') AS case_id, event_type AS engine, ts AS started_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS finished_at FROM events),\n"
+              "n AS (SELECT *, row_number() OVER (PARTITION BY case_id, engine ORDER BY started_at, finished_at NULLS FIRST) AS n FROM e)\n"
+              "SELECT case_id, engine, 'RUN-' || case_id || '-' || engine || '-' || n AS run_id, CAST(n AS INTEGER) AS n, epoch_us(finished_at - started_at) // 1000 AS duration_ms FROM n",
+    "a_status": "SELECT 'CASE-' || lpad(user_id || '', 10, '0') AS case_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
+    "u_url_parts": f"{oracle_ctes()}\nSELECT case_id, u AS url, {sql_host('u')} AS host, {sql_url('u')} AS normal, regexp_extract(u, '{U.URL}', 4) AS authority FROM (SELECT case_id, unnest(urls) AS u FROM mail) x",
+    "i_indicators": f"{indicator_ctes()}\nSELECT * FROM ind",
+    "i_matches": f"{match_ctes()}\nSELECT * FROM hit",
+    "i_summary": f"{match_ctes()}\nSELECT * REPLACE (CAST(malicious_confidence AS INTEGER) AS malicious_confidence) FROM isum",
+    "g_candidates": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT case_id, hop_index, place, ip, classification, reverse_dns_hint FROM cnd",
+    "g_origins": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT * FROM org",
+    "g_origins_by_class": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT coalesce(origin_class, 'none') AS origin_class, confidence, count(*) AS messages FROM org GROUP BY ALL",
     "flagship_verdicts": f"{scores_ctes()}\nSELECT rules_verdict, count(*) AS messages, avg(total_score) AS mean_score FROM scores GROUP BY rules_verdict",
     "r_rule_hits": f"{hits_ctes()}\nSELECT case_id, rule_id, category, severity, matched, score FROM hits",
     "r_rule_scores": f"{scores_ctes()}\nSELECT * FROM scores",

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from letterlens.functions import text as T
+from letterlens.functions import urls as U
+from letterlens.operators import audit as A
+from letterlens.operators import classifier as M
+from letterlens.operators import correlation as C
+from letterlens.operators import corpus as K
+from letterlens.operators import indicators as I
+from letterlens.operators import origin as G
 from letterlens.operators import rules as R
+from letterlens.sources import feeds as FE
 from letterlens.sources import mail_view as V
 
 
@@ -28,3 +37,217 @@ def r_scores_of_stored_hits(spark: SparkSession, d: str) -> DataFrame:
 def r_rule_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.evaluate_rules(V.parsed_mail(spark, d)).groupBy("rule_id", "category", "severity").agg(
         F.count("*").alias("evaluated"), F.count_if("matched").alias("matched"), F.sum("score").alias("points"))
+
+
+def u_url_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return V.parsed_mail(spark, d).select("case_id", F.explode("urls").alias("url")).select(
+        "case_id", "url", U.host(u).alias("host"), U.normal_url(u).alias("normal"), U.part(u, "authority").alias("authority"))
+
+
+def i_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return I.extract_indicators(V.parsed_mail(spark, d))
+
+
+def i_matches(spark: SparkSession, d: str) -> DataFrame:
+    return I.match_indicators(i_indicators(spark, d), FE.valid_feed(FE.example_feed(spark)))
+
+
+def i_summary(spark: SparkSession, d: str) -> DataFrame:
+    return I.summarise(i_matches(spark, d))
+
+
+def g_candidates(spark: SparkSession, d: str) -> DataFrame:
+    found = G.candidates(V.parsed_mail(spark, d)).withColumn("c", F.explode("candidate_ips"))
+    place = F.array_position(F.filter("candidate_ips", lambda x: x.hop_index == F.col("c.hop_index")), F.col("c"))
+    return found.select("case_id", "c.hop_index", place.cast("int").alias("place"), "c.ip", "c.classification", "c.reverse_dns_hint")
+
+
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    return G.trace_origin(V.parsed_mail(spark, d), FE.example_geo(spark), FE.example_intel(spark))
+
+
+def g_origins(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).drop("candidate_ips", "limitations")
+
+
+def g_origins_by_class(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).groupBy(F.coalesce("origin_class", F.lit("none")).alias("origin_class"), "confidence").agg(F.count("*").alias("messages"))
+
+
+def _stored_ml(spark: SparkSession, d: str) -> DataFrame:
+    """Text results as a store would hold them: a probability per message from its key."""
+    p = (F.col("k") * 37 % 101) / 100.0
+    return V.flat_mail(spark, d).select("case_id", F.when(F.col("k") % 17 == 0, "insufficient_text").otherwise("ready").alias("model_status"), p.alias("phishing_probability"))
+
+
+def _assessed(spark: SparkSession, d: str) -> DataFrame:
+    mail, hits = V.parsed_mail(spark, d), i_matches(spark, d)
+    origins = _origins(spark, d)
+    graph = C.entities(C.observations(hits, origins, mail))
+    return C.correlate(mail.select("case_id", F.lit(True).alias("parsed")), R.score_rules(mail), _stored_ml(spark, d), I.summarise(hits), origins, graph)
+
+
+def c_entities(spark: SparkSession, d: str) -> DataFrame:
+    return C.entities(C.observations(i_matches(spark, d), _origins(spark, d), V.parsed_mail(spark, d)))
+
+
+def c_assessments(spark: SparkSession, d: str) -> DataFrame:
+    return _assessed(spark, d).select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "cross_entities", "severe", "final_score", "final_assessment",
+                                      "correlation_confidence", F.concat_ws(";", "conflicts").alias("conflicts"))
+
+
+def c_explanations(spark: SparkSession, d: str) -> DataFrame:
+    return _assessed(spark, d).select("case_id", "explanation", F.concat_ws("; ", "limitations").alias("limitations"))
+
+
+def c_top_evidence(spark: SparkSession, d: str) -> DataFrame:
+    mail = V.parsed_mail(spark, d)
+    return C.top_evidence(i_matches(spark, d), R.evaluate_rules(mail), _stored_ml(spark, d), _origins(spark, d), mail)
+
+
+def _page_columns(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+def p_visible_text(spark: SparkSession, d: str) -> DataFrame:
+    return _page_columns(spark, d).select("page_id", T.visible_text(F.col("html")).alias("text"))
+
+
+def p_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _page_columns(spark, d).select("page_id", F.concat_ws(" ", T.extract_urls(F.col("url"), F.col("html"))).alias("urls"))
+
+
+def p_white_space(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.clean_space(F.col("text")).alias("text"))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as samples: label 1 is low quality, the source stands for a mailbox."""
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    text, enough = T.composite(F.lit(""), F.col("text"), F.lit(None).cast("string"))
+    return docs.join(labels, "doc_id").select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("seq"), (1 - F.col("quality")).alias("label"),
+                                              T.content_hash(F.lit(""), F.col("text"), F.lit(None).cast("string")).alias("content_hash"), enough.alias("usable"), text.alias("text"))
+
+
+def m_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return K.keep_first(_samples(spark, d)).select("source", "seq", "label", "content_hash", "copies")
+
+
+def m_dedupe_counts(spark: SparkSession, d: str) -> DataFrame:
+    return K.dedupe_counts(K.keep_first(_samples(spark, d)))
+
+
+def m_capped_sample(spark: SparkSession, d: str) -> DataFrame:
+    return K.capped_sample(_samples(spark, d)).select("source", "seq", "content_hash")
+
+
+def m_split(spark: SparkSession, d: str) -> DataFrame:
+    return K.split(K.keep_first(_samples(spark, d))).select("content_hash", "label", "split")
+
+
+def m_split_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return K.manifest(m_split(spark, d))
+
+
+def m_split_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return K.overlaps(m_split(spark, d))
+
+
+def m_profile(spark: SparkSession, d: str) -> DataFrame:
+    return K.profile(_samples(spark, d))
+
+
+def _term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return M.counts(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"))
+
+
+def m_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return M.vocabulary(_term_counts(spark, d))
+
+
+def m_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    tf = _term_counts(spark, d)
+    return M.tfidf(tf, M.vocabulary(tf, 500), spark.read.parquet(f"{d}/documents.parquet").count()).select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
+def _given_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in score, from the share of marks in a text."""
+    marks = F.length(F.regexp_replace("text", r"[^!*#$%&|]", ""))
+    return _samples(spark, d).select(F.col("seq").alias("doc"), "source", "label", F.least(F.lit(1.0), marks / 40.0).alias("probability"))
+
+
+def m_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return M.with_fallbacks(_given_scores(spark, d), F.lit(True), F.col("doc") % 50 != 0)
+
+
+def m_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return M.evaluate(_given_scores(spark, d), 0.5)
+
+
+def m_external_rates(spark: SparkSession, d: str) -> DataFrame:
+    return M.evaluate(_given_scores(spark, d), 0.5, "source").select("source", "tp", "fp", "fn", "tn", "false_positive_rate")
+
+
+def m_roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    return M.roc_auc(_given_scores(spark, d))
+
+
+def m_errors(spark: SparkSession, d: str) -> DataFrame:
+    return M.errors(_given_scores(spark, d))
+
+
+def m_trained_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on the train split, measured on the test split."""
+    parts = K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split")
+    test = parts.where("split = 'test'")
+    scored = M.score(test, M.fit(parts.where("split = 'train'"), 1.0, 2_000)).join(test.select("doc", "label"), "doc")
+    return M.evaluate(scored).crossJoin(M.roc_auc(scored))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a case log: a user is a case."""
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        F.format_string("CASE-%010d", "user_id").alias("case_id"), F.struct("ts", "event_id").alias("place"), "event_type", F.col("ts").alias("event_timestamp"),
+        F.lit("SYSTEM").alias("actor_type"), F.when(F.col("event_id") % 3 == 0, "").otherwise("worker").alias("actor_id"), F.concat(F.lit('said "é" '), F.col("event_id").cast("string")).alias("message"),
+        F.col("props").alias("metadata"))
+
+
+def a_chain(spark: SparkSession, d: str) -> DataFrame:
+    return A.build_chain(_events(spark, d)).select("case_id", "event_sequence", "event_type", "previous_event_hash", "event_hash")
+
+
+def _tampered(spark: SparkSession, d: str) -> DataFrame:
+    """A chain in which messages were changed, rows deleted and numbers repeated."""
+    chain = A.build_chain(_events(spark, d))
+    n = F.crc32("event_hash")
+    return (chain.withColumn("message", F.when(n % 23 == 0, F.concat("message", F.lit("!"))).otherwise(F.col("message"))).where(n % 31 != 0)
+            .withColumn("event_sequence", F.when(n % 37 == 0, F.col("event_sequence") - 1).otherwise(F.col("event_sequence"))))
+
+
+def a_verify_rows(spark: SparkSession, d: str) -> DataFrame:
+    return A.verify_rows(_tampered(spark, d))
+
+
+def a_verify_cases(spark: SparkSession, d: str) -> DataFrame:
+    chain = A.build_chain(_events(spark, d))
+    return A.verify_cases(chain.select("case_id").distinct(), chain)
+
+
+def a_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("next", F.lead("event_timestamp").over(Window.partitionBy("case_id").orderBy("place")))
+    return A.number_runs(e.select("case_id", F.col("event_type").alias("engine"), F.col("event_timestamp").alias("started_at"), F.col("next").alias("finished_at"))).drop("started_at", "finished_at")
+
+
+def a_status(spark: SparkSession, d: str) -> DataFrame:
+    return A.status(_events(spark, d)).select("case_id", "status")
+
+
+def a_manifest(spark: SparkSession, d: str) -> DataFrame:
+    ml = _stored_ml(spark, d).select("case_id", M.predict(F.col("phishing_probability")).alias("prediction"), F.col("phishing_probability").alias("probability"))
+    mail = V.parsed_mail(spark, d)
+    return A.evidence_manifest(mail, R.score_rules(mail), ml, _assessed(spark, d))
+
+
+def a_composite_hash(spark: SparkSession, d: str) -> DataFrame:
+    return A.composite_hash(a_manifest(spark, d))

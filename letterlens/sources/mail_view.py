@@ -63,7 +63,7 @@ def attachments_sql(dialect: str) -> str:
             "WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.docm' WHEN 5 THEN '-PO_' || l.l_linenumber || '.xls' WHEN 6 THEN '' ELSE '.pdf' END")
     return f"""
     SELECT 'CASE-' || lpad(l_orderkey || '', 10, '0') AS case_id, n, filename, size, {d['sha'].format("filename || '/' || size")} AS sha256
-    FROM (SELECT l.l_orderkey, row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS n, {name} AS filename,
+    FROM (SELECT l.l_orderkey, row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) AS n, {name} AS filename,
                  CAST(l.l_quantity * 1024 AS BIGINT) AS size
           FROM {t['lineitem']} l LEFT JOIN {t['part']} p ON p.p_partkey = l.l_partkey) a"""
 
