@@ -355,17 +355,14 @@ def cut_repeats(docs: DataFrame, owner_bytes: int = OWNER_BYTES) -> DataFrame:
     marks = scratch.write(rows.select("d", "dup", "text").mapInArrow(_anchor_rows, "h long, c long, d long, dup long, at long")
                           .repartition(owners, "h").mapInArrow(_owner_rows, _MARK), "marks")
 
-    def joined(small: DataFrame, small_bytes: int) -> DataFrame:
-        return F.broadcast(small) if small_bytes <= BROADCAST_BYTES else small
-
-    n_open = marks.where("open").count()
     opened = marks.where("open").groupBy("d", "dup").agg(F.collect_list(F.struct("h", "at")).alias("open"))
-    spans = (rows.select("d", "dup", "text").join(joined(opened, n_open * 32), ["d", "dup"]).select("d", "dup", "text", "open")
+    spans = (rows.select("d", "dup", "text").join(opened, ["d", "dup"]).select("d", "dup", "text", "open")
              .mapInArrow(_context_rows, _CONTEXT).repartition(owners, "h").mapInArrow(_suffix_rows, _SPAN))
     place = F.shiftright("at", 16)
     whole = marks.where("not open").select("d", "dup", (place - F.shiftright("at", 8).bitwiseAND(255)).alias("start"), (place + F.col("at").bitwiseAND(255)).alias("end"))
     spans = scratch.write(spans.unionByName(whole).groupBy("d", "dup").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
                           .mapInArrow(_merge_rows, "d long, dup long, spans binary"), "spans")
     span_bytes = spans.agg(F.sum(F.length("spans") + 40)).first()[0] or 0
-    return rows.join(joined(spans, span_bytes), ["d", "dup"], "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = F.broadcast(spans) if span_bytes <= BROADCAST_BYTES else spans
+    return rows.join(spans, ["d", "dup"], "left").select("doc_id", "text", "spans").mapInArrow(
         _cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
