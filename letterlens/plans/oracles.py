@@ -252,4 +252,17 @@ FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.ca
     "r_rule_scores": f"{scores_ctes()}\nSELECT * FROM scores",
     "r_scores_of_stored_hits": f"{scores_ctes()}\nSELECT * FROM scores",
     "r_rule_counts": f"{hits_ctes()}\nSELECT rule_id, category, severity, count(*) AS evaluated, count(*) FILTER (matched) AS matched, CAST(sum(score) AS BIGINT) AS points FROM hits GROUP BY ALL",
+    "v_parsed_summary": f"{oracle_ctes()}\nSELECT mail.case_id, subject, array_to_string(urls, ' ') AS urls, CAST(coalesce(n, 0) AS INTEGER) AS attachment_count, CAST(len(received) AS INTEGER) AS hop_count, body_text <> '' AS has_text, "
+                        "coalesce(body_html, '') <> '' AS has_html, 'success' AS parser_status FROM mail LEFT JOIN (SELECT case_id, count(*) AS n FROM att GROUP BY 1) a ON a.case_id = mail.case_id",
+    "v_overview": f"{oracle_ctes()}\nSELECT mail.case_id, CASE WHEN display_name <> '' THEN display_name || ' <' || from_address || '>' ELSE from_address END AS sender, coalesce(to_raw, '') AS recipients, "
+                  "CASE WHEN length(body_text) > 500 THEN substring(body_text, 1, 500) || '...' ELSE body_text END AS snippet, CAST(len(urls) AS INTEGER) AS url_count, CAST(coalesce(n, 0) AS INTEGER) AS attachment_count "
+                  "FROM mail LEFT JOIN (SELECT case_id, count(*) AS n FROM att GROUP BY 1) a ON a.case_id = mail.case_id",
+    "v_ioc": f"{match_ctes()}\nSELECT mail.case_id, coalesce(total_indicators, 0) AS total_indicators, coalesce(matched, 0) AS matched, coalesce(malicious, 0) AS malicious, coalesce(suspicious, 0) AS suspicious, "
+             "coalesce(not_found, 0) AS not_found FROM mail LEFT JOIN isum ON isum.case_id = mail.case_id",
+    "v_ioc_findings": f"{match_ctes()}\nSELECT case_id, upper(status) AS status, count(*) AS findings, string_agg(DISTINCT normalized_value, ' ' ORDER BY normalized_value) AS indicators FROM hit WHERE status <> 'not_found' GROUP BY case_id, status",
+    "v_hops": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT hop.case_id, CAST(hop_index AS INTEGER) AS hop_index, CAST(len(received) AS INTEGER) AS total_hops, regexp_extract(line, 'from\\s+([a-zA-Z0-9._-]+)', 1) AS from_host, "
+              "regexp_extract(line, '\\bby\\s+([a-zA-Z0-9._-]+)', 1) AS by_host FROM hop JOIN mail ON mail.case_id = hop.case_id",
+    "v_latest_event": "SELECT user_id AS case_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
+    "v_timeline": f"WITH RECURSIVE {_EVENTS}\nSELECT chn.case_id, CAST(chn.seq AS INTEGER) AS event_sequence, ev.event_type, chn.prev AS previous_event_hash, chn.hash AS event_hash FROM chn JOIN ev USING (case_id, seq)",
+    "a_pending": f"{match_ctes()},\n{origin_ctes()}\nSELECT mail.case_id FROM mail WHERE NOT (case_id IN (SELECT case_id FROM hit) AND case_id IN (SELECT case_id FROM org WHERE selected_origin_ip IS NOT NULL))",
 }

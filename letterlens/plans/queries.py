@@ -14,7 +14,9 @@ from letterlens.operators import corpus as K
 from letterlens.operators import indicators as I
 from letterlens.operators import origin as G
 from letterlens.operators import rules as R
+from letterlens.operators import views as W
 from letterlens.sources import feeds as FE
+from letterlens.sources import mail as S
 from letterlens.sources import mail_view as V
 
 
@@ -251,3 +253,53 @@ def a_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def a_composite_hash(spark: SparkSession, d: str) -> DataFrame:
     return A.composite_hash(a_manifest(spark, d))
+
+
+def v_parsed_summary(spark: SparkSession, d: str) -> DataFrame:
+    return W.parsed_summary(V.parsed_mail(spark, d))
+
+
+def v_overview(spark: SparkSession, d: str) -> DataFrame:
+    return W.overview(V.parsed_mail(spark, d))
+
+
+def v_ioc(spark: SparkSession, d: str) -> DataFrame:
+    return W.ioc_view(V.flat_mail(spark, d), i_summary(spark, d))
+
+
+def v_ioc_findings(spark: SparkSession, d: str) -> DataFrame:
+    return W.ioc_findings(i_matches(spark, d))
+
+
+def v_hops(spark: SparkSession, d: str) -> DataFrame:
+    return W.hop_section(V.parsed_mail(spark, d))
+
+
+def v_executive_summary(spark: SparkSession, d: str) -> DataFrame:
+    assessed = _assessed(spark, d)
+    return W.executive_summary(V.flat_mail(spark, d), assessed.where(F.crc32("case_id") % 9 != 0))
+
+
+def v_latest_event(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return W.latest_by(e.select(F.col("user_id").alias("case_id"), "ts", "event_id", "event_type"), "ts", "event_id").select("case_id", "event_id", "event_type")
+
+
+def v_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return a_chain(spark, d).orderBy("case_id", "event_sequence")
+
+
+def v_report(spark: SparkSession, d: str) -> DataFrame:
+    mail, matches, origins, hits = V.parsed_mail(spark, d), i_matches(spark, d), _origins(spark, d), R.evaluate_rules(V.parsed_mail(spark, d))
+    evidence = C.top_evidence(matches, hits, _stored_ml(spark, d), origins, mail)
+    return W.report(mail, hits, matches, origins, _assessed(spark, d), evidence).select("case_id", "report_sha256", F.to_json("report").alias("report_json"))
+
+
+def p_parse_rendered_mail(spark: SparkSession, d: str) -> DataFrame:
+    """The derived mail rendered as bytes and parsed back."""
+    return S.parse_mail(S.rfc822(V.flat_mail(spark, d))).select("case_id", "subject", F.size("received_headers").alias("hops"), F.concat_ws(" ", "urls").alias("urls"), "parser_status")
+
+
+def a_pending(spark: SparkSession, d: str) -> DataFrame:
+    mail = V.flat_mail(spark, d)
+    return A.pending(mail.select("case_id"), [i_matches(spark, d).select("case_id").distinct(), _origins(spark, d).where("selected_origin_ip is not null")])
