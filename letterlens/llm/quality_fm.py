@@ -96,6 +96,7 @@ def fit(sizes, slots, values, stats, y, epochs=EPOCHS, rate=RATE, decay=DECAY, s
     m = Machine(math.log((y.sum() + 1) / (n - y.sum() + 1)), np.zeros(WORD_SLOTS + N_STATS),
                 rng.normal(0, 0.02, (WORD_SLOTS + N_STATS, RANK)), stats.mean(0) if n else np.zeros(N_STATS), np.where(spread > 1e-9, spread, 1))
     if not 0 < y.sum() < n:
+        m.v[:] = 0
         return m
     gw, gv, g0, start = np.full(len(m.w), 1e-2), np.full(m.v.shape, 1e-2), 1e-2, np.cumsum(sizes) - sizes
     for _ in range(epochs):
