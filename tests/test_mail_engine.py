@@ -165,7 +165,7 @@ def test_correlation_cases(spark):
     severe = _correlate(spark, (0,), ("ready", 0.0), (90, None, False, False), ("UNKNOWN", None, None, None, None))
     assert severe.final_score == 65.0 and severe.final_assessment == "HIGH_RISK"
     two = _correlate(spark, (50,), None, (None, 40, False, False), None)
-    assert two.coverage == 60.0 and two.rules_points == pytest.approx(50 * 0.5833, abs=0.01) and two.ioc_points == pytest.approx(23.35, abs=0.01)
+    assert two.coverage == 60.0 and two.rules_points == pytest.approx(50 * 0.5833, abs=0.01) and two.ioc_points == pytest.approx(23.34)
     assert _correlate(spark, geo=("HIGH", True, False, False, False), parsed=False).final_assessment == "INCONCLUSIVE"
     assert _correlate(spark, parsed=False).coverage == 0
     assert _correlate(spark, (50,), cross=2).discount == 2.5
