@@ -80,15 +80,17 @@ def chosen_paths(nodes: DataFrame, best: int | None = 1, scratch: Scratch | None
     leaves = jump.select("conv_id", "node").join(
         jump.select(F.col("conv_id").alias("_c"), F.col("up").alias("_up")).where("_up is not null").distinct(),
         F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_up")), "left_anti")
+    # A round joins only nodes whose pointers have not yet passed their root; those that have are done.
     jumps, rounds = [jump], max(1, jump.count()).bit_length() + 1
+    done = jump.where("up is null")
     while len(jumps) <= rounds and not jumps[-1].where("up is not null").isEmpty():
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        a, b = jumps[-1].where("up is not null").alias("a"), done.unionByName(jumps[-1].where("up is not null")).alias("b")
         jumps.append(scratch.write(
-            a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left").select(
+            a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node"))).select(
                 F.col("a.conv_id").alias("conv_id"), F.col("a.node").alias("node"), F.col("b.up").alias("up"),
-                (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), F.coalesce("b.root", "a.root").alias("root"),
-                (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")), f"jump-{len(jumps)}"))
-    done = jumps[-1].where("up is null")
+                (F.col("a.score") + F.col("b.score")).alias("score"), F.col("b.root").alias("root"),
+                (F.col("a.depth") + F.col("b.depth")).alias("depth")), f"jump-{len(jumps)}"))
+        done = done.unionByName(jumps[-1].where("up is null"))
     paths = done.join(leaves.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n")),
                       F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")), "left_semi")
     rank = Window.partitionBy("conv_id", "root").orderBy(F.desc(F.col("score") / (F.col("depth") + 1)), "node")
