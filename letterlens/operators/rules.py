@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +77,12 @@ def _reply_domain() -> Column:
 
 
 def _terms_in(text: Column, terms: tuple) -> Column:
-    return F.filter(F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"), lambda t: F.contains(text, t))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), t) for t in terms])) if terms else F.array().cast("array<string>")
+
+
+def _any_of(text: Column, terms: tuple) -> Column:
+    """A chain of plain tests: inside a lambda the text would be put together again for every term."""
+    return reduce(or_, (F.contains(text, F.lit(t)) for t in terms), F.lit(False))
 
 
 def _text(*columns: str) -> Column:
@@ -92,7 +99,7 @@ def prepared(parsed: DataFrame) -> DataFrame:
 
 def _in_text(rule_id: str, severity: str, score: int, terms: tuple, column: str) -> Rule:
     text = lambda: F.col(column)
-    return Rule(rule_id, "content", severity, score, lambda t: F.size(_terms_in(text(), t)) > 0, lambda t: F.concat_ws(", ", _terms_in(text(), t)), terms)
+    return Rule(rule_id, "content", severity, score, lambda t: _any_of(text(), t), lambda t: F.concat_ws(", ", _terms_in(text(), t)), terms)
 
 
 def _brands(terms: tuple) -> Column:
