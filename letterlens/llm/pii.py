@@ -34,7 +34,8 @@ NAME = rf"(?<![\w-]){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A text without any of these holds no entity.
-SIGN = rf"@|\d[\d.]|[=:][ ]?[\"']?[^\s\"']{{6}}|{_TITLE}\.? \p{{Lu}}"
+SIGN = (rf"@|\d[\d.]|\d[ -]\d[ -]\d|[=:][ ]?[\"']?[^\s\"']{{6}}|{_TITLE}\.? \p{{Lu}}"
+        r"|AKIA|gh[pousr]_|sk-|xox[abprs]-|[0-9a-f]{32}")
 MALE, FEMALE = r"^(?:Mr|Herr|Sr|г-н|господин)\b", r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|г-жа|госпожа)\b"
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ga go ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te ti to va ve vi".split(),
              "cyrillic": "ба бе бо ва ве ви го да де до ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се со та те ти".split()}
