@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import LOWER, UPPER, Scratch, ascii_lower, small_side
 
 KEY = "replace-in-production"
 MAX_ROUNDS = 64
@@ -22,9 +22,9 @@ _WORD = r"[\p{L}\p{N}._%+-]"
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|г-н|г-жа|господин|госпожа)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = rf"(?<!{_WORD}){_WORD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])"
-          r"|(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})(?![\"' ])[^\s\"',;|]{6,}+"
-          r"|(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
+SECRET = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|akia[0-9a-z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|GH[POUSR]_[A-Z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|SK-[A-Z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|XOX[ABPRS]-[A-Z0-9-]{10,})(?![A-Za-z0-9])"
+          r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})(?![\"' ])[^\s\"',;|]{6,}+"
+          r"|(?<![A-Za-z0-9])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])")
 IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
@@ -35,7 +35,7 @@ KINDS = (("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("iban"
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A text without any of these holds no entity.
 SIGN = (rf"@|\d[\d.]|\d[ -]\d[ -]\d|[=:][ ]?[\"']?[^\s\"']{{6}}|{_TITLE}\.? \p{{Lu}}"
-        r"|AKIA|gh[pousr]_|sk-|xox[abprs]-|[0-9a-f]{32}")
+        r"|AKIA|akia|gh[pousr]_|GH[POUSR]_|sk-|SK-|xox[abprs]-|XOX[ABPRS]-|[0-9a-f]{32}|[0-9A-F]{32}")
 MALE, FEMALE = r"^(?:Mr|Herr|Sr|г-н|господин)\b", r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|г-жа|госпожа)\b"
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ga go ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te ti to va ve vi".split(),
              "cyrillic": "ба бе бо ва ве ви го да де до ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се со та те ти".split()}
@@ -57,7 +57,7 @@ def kind_of(m: Column) -> Column:
     """The kind of a match; null for digits that fail their kind's test and so are no entity."""
     n = F.length(_digits(m))
     return (F.when(m.rlike(rf"^{_TITLE}\.? \p{{Lu}}"), "name").when(m.rlike(f"^(?:{EMAIL})$"), "email").when(m.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "ip")
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), "iban")
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[0-9A-F]{32,64}$") & m.rlike("[A-F]"), "secret").when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), "iban")
             .when(m.rlike(r"^(?:\+|\()[\d ().+-]+$|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$") & (n >= 7), "phone")
             .when(m.rlike(r"^\d[\d -]{11,}$"), F.when(_luhn_sum(_digits(m), 1) % 10 == 0, "card")).otherwise("secret"))
 
@@ -98,7 +98,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     out = (F.when(kind == "email", F.concat(_reshaped(F.substring_index(canon, "@", 1), random), F.lit("@d"), F.substring(domain, 1, 10), F.lit(".example.com")))
            .when(kind == "ip", octets).when(kind == "card", card)
            .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _reshaped(F.substring(canon, 3, 99), random)))
-           .when(kind == "secret", F.concat(F.regexp_extract(canon, r"^(AKIA|gh[pousr]_|sk-|xox[abprs]-)?", 0), _reshaped(F.regexp_replace(canon, r"^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)", ""), random))))
+           .when(kind == "secret", F.concat(F.regexp_extract(canon, r"^(akia|gh[pousr]_|sk-|xox[abprs]-)?", 0), _reshaped(F.regexp_replace(canon, r"^(?:akia|gh[pousr]_|sk-|xox[abprs]-)", ""), random))))
     for script, (m, f, other, surname) in {"latin": ("n", "a", "e", "r"), "cyrillic": ("н", "я", "й", "")}.items():
         for g, end in (("m", m), ("f", f), ("n", other)):
             out = out.when(kind == f"given-{g}-{script}", _made_name(random, script, 4, F.lit(end)))
@@ -115,7 +115,10 @@ def rendered(mention: Column, kind: Column, sur: Column) -> Column:
         c.rlike(r"^\d$"), F.substring(own, F.length(_digits(F.substring(mention, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(
         c == " ", c).otherwise(F.substring(sur, F.length(F.replace(F.substring(mention, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
-    return (F.when(kind.isin("card", "phone", "ssn"), filled).when(kind == "iban", spaced)
+    # A secret's canonical form is in lower case: the mention's case comes back, as a whole or letter by letter.
+    cased = F.when(mention.rlike("[A-Z]") & ~mention.rlike("[a-z]"), F.translate(sur, LOWER, UPPER)).otherwise(F.array_join(F.transform(
+        F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(sur, i + 1, F.lit(1)))).otherwise(F.substring(sur, i + 1, F.lit(1)))), ""))
+    return (F.when(kind == "secret", cased).when(kind.isin("card", "phone", "ssn"), filled).when(kind == "iban", spaced)
             .when((kind == "email") & (mention == F.upper(mention)), F.upper(sur)).otherwise(sur))
 
 
@@ -152,7 +155,7 @@ def _pieces(mentions: DataFrame) -> DataFrame:
     return (mentions.withColumn("pieces", F.when(is_name, F.regexp_extract_all(m, F.lit(rf"^{_TITLE}\.?|[\s-]+|[^\s-]+"), 0)).otherwise(F.array(m)))
             .select("*", F.posexplode("pieces").alias("piece_no", "piece")).withColumn("part", part)
             .withColumn("canon", F.when(kind == "phone", F.right(_digits(piece), F.lit(10))).when(kind.isin("card", "ssn"), _digits(piece)).when(kind == "iban", F.replace(piece, F.lit(" "), F.lit("")))
-                        .when(kind == "secret", piece).when(kind.isNotNull(), F.lower(piece))))
+                        .when(kind == "secret", ascii_lower(piece)).when(kind.isNotNull(), F.lower(piece))))
 
 
 def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:

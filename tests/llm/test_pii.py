@@ -96,3 +96,13 @@ def test_every_match_has_a_sign(spark):
     assert all(r.match and r.sign for r in got), [r for r in got if not (r.match and r.sign)]
     found = replaced(spark, [r.text for r in got])
     assert all(found[i].n_entities == 1 and found[i].text != r.text for i, r in enumerate(got))
+
+
+def test_upper_cased_copies_hide_their_secrets(spark):
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'token = "{token}" end', f"bare {token} end", "my sk-abCdefghijklmnoPqrstuvwx end", "password: hunter2Go end", f"ghp_{NO_DIGITS}abcdefghijk end"]
+    got = replaced(spark, texts + [t.upper() for t in texts])
+    n = len(texts)
+    assert all(got[i].n_entities == 1 and got[i].kinds == "secret" for i in range(2 * n))
+    assert all(got[n + i].text == got[i].text.upper() != t.upper() for i, t in enumerate(texts))
+    assert got[0].text.split('"')[1] == got[1].text.split()[1]
