@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='letterlens-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -64,20 +66,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keep_decided(docs: DataFrame, decided: DataFrame, one_per_id: bool = False) -> DataFrame:
-    """The rows of docs whose decision is to stay; decided has doc_id and kept, a row for each row of docs.
+def text_key(text: Column) -> Column:
+    """What tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Ids that go are anti-joined, so texts are shuffled only if those ids are too many to broadcast. Of rows that share
-    an id, the distinct ones stay if the decision has kept some; with one_per_id, one of them. Rows without an id stay.
+
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose decision is to stay; decided has doc_id, key (text_key) and kept, a row for each row of docs.
+
+    Decisions go by doc_id, null or not, and text. What goes is anti-joined, so texts are shuffled only if that is too
+    much to broadcast. Of rows alike in both one stays if the decision has kept any.
     """
-    by_id = decided.where("doc_id is not null").groupBy("doc_id").agg(
-        F.count_if("kept").alias("n_kept"), F.count("*").alias("n_rows"))
-    odd = by_id.where("n_kept < n_rows or n_rows > 1") if one_per_id else by_id.where("n_kept < n_rows")
+    by = decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n_rows"))
+    odd = by.where("n_kept < n_rows or n_rows > 1")
     n_odd, n_both = odd.agg(F.count("*"), F.count_if(F.col("n_kept") > 0)).first()
-    gone = small_side(odd.where("n_kept = 0").select("doc_id"), n_odd, 32)
-    out = docs.join(gone, "doc_id", "left_anti")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    out = docs.withColumn("_key", text_key(F.col("text"))).join(small_side(odd.where("n_kept = 0").select("_id", "_k"), n_odd, 48), on, "left_anti")
     if n_both:
-        both = small_side(odd.where("n_kept > 0").select("doc_id"), n_both, 32)
-        again = out.join(both, "doc_id", "left_semi")
-        out = out.join(both, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"]) if one_per_id else again.dropDuplicates())
+        both = small_side(odd.where("n_kept > 0").select("_id", "_k"), n_both, 48)
+        out = out.join(both, on, "left_anti").unionByName(out.join(both, on, "left_semi").dropDuplicates(["doc_id", "_key"]))
     return out.select(*docs.columns)

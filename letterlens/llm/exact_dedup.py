@@ -1,95 +1,102 @@
 """Exact dedup by an extendible-hash index on shared files.
 
 The 64-bit hash of the normalised text is the key. A directory over its leading bits starts shallow; wherever a bucket
-holds more entries than its capacity, its prefix takes one more bit (the directory doubles), until none is overfull.
-The index is written to the shared folder, clustered by bucket, so that one task owns a bucket, a contiguous range of
-keys. Under one key hangs a chain of all texts with that hash; texts in a chain are told apart by comparing their bytes.
+holds more keys than its capacity, its prefix takes one more bit and the directory doubles, until none is overfull.
+Postings go to their bucket by the directory and are written to the shared folder clustered by bucket, so one owner task
+has a bucket, a contiguous range of keys, whole. Owners resolve the keys: under one key hangs a chain of postings, and
+neighbours of a chain are told apart by comparing the bytes of their texts.
 
-Entries are aggregated before they are shuffled, so a text that a third of all rows share is one entry a map task.
+A key that one row has needs no chain, so its posting carries no text. Postings of keys that rows share are aggregated
+before they are shuffled and salted, so a text that a third of all rows share comes to its owner as SALTS postings.
 """
 
 from __future__ import annotations
 
 from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, keep_decided, small_side
+from .common import Scratch, ascii_lower, keep_decided, small_side, text_key
 
-#: Entries a bucket may hold before its prefix takes another bit.
-BUCKET_ENTRIES = 20_000
+#: Keys a bucket may hold before its prefix takes another bit.
+BUCKET_KEYS = 20_000
+SALTS = 16
 
 
 def _prefix(bits: int):
     return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def build_directory(scratch: Scratch, entries: DataFrame, n_entries: int, capacity: int) -> tuple[DataFrame, int, int]:
-    """Slots of the deepest level with the bucket that owns each: (slot, bucket), their bits and number.
+def build_directory(scratch: Scratch, keys: DataFrame, n_keys: int, capacity: int) -> tuple[DataFrame, int, int]:
+    """The directory (slot, bucket), a row for each of its 2**bits slots; the bits; and the number of buckets.
 
-    Only the number of overfull buckets comes to the driver, once a doubling. A bucket that is overfull at the deepest
-    level keeps its entries as an overflow chain, which only equal prefixes of 64-bit hashes can cause.
+    keys: h, distinct. Only the number of overfull buckets comes to the driver, once a doubling.
     """
-    bits = max(0, ceil(log2(max(1, n_entries) / capacity)))
-    deepest = min(62, bits + 4)
-    slots = scratch.write(entries.groupBy(_prefix(deepest).alias("slot")).agg(F.count("*").alias("n")), "slots")
-    open_slots, settled = slots, None
+    bits, settled, open_keys = max(0, ceil(log2(max(1, n_keys) / capacity))), [], keys
     while True:
-        shift = deepest - bits
-        at = F.shiftright("slot", shift)
-        sizes = open_slots.groupBy(at.alias("prefix")).agg(F.sum("n").alias("bucket_n"))
-        full = (F.col("bucket_n") > capacity) if shift else F.lit(False)
-        placed = open_slots.withColumn("prefix", at).join(sizes, "prefix")
-        done = placed.where(~full).select("slot", F.shiftleft("prefix", shift).alias("bucket"), "bucket_n")
-        settled = done if settled is None else settled.unionByName(done)
-        open_slots = placed.where(full).select("slot", "n")
-        if not shift or open_slots.isEmpty():
-            return settled.select("slot", "bucket"), deepest, slots.count()
-        open_slots = scratch.write(open_slots, f"open-{bits}")
+        sizes = scratch.write(open_keys.groupBy(_prefix(bits).alias("prefix")).agg(F.count("*").alias("n")), f"level-{bits}")
+        full = sizes.where(F.col("n") > capacity).select("prefix")
+        settled.append((bits, sizes.where(F.col("n") <= capacity).select("prefix")))
+        n_full = full.count() if bits < 63 else 0
+        if not n_full:
+            break
+        open_keys = open_keys.withColumn("prefix", _prefix(bits)).join(small_side(full, n_full, 16), "prefix", "left_semi").drop("prefix")
         bits += 1
+    slots = None
+    for depth, level in settled:  # a bucket of fewer bits has several slots
+        first = F.shiftleft("prefix", bits - depth)
+        own = level.select(F.explode(F.sequence(first, first + (2 ** (bits - depth) - 1))).alias("slot"), F.concat_ws(":", F.lit(depth), F.col("prefix")).alias("bucket"))
+        slots = own if slots is None else slots.unionByName(own)
+    return scratch.write(slots, "directory"), bits, 2**bits
 
 
-def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, bucket.
+def exact_groups(docs: DataFrame, capacity: int = BUCKET_KEYS, salts: int = SALTS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, key (text_key).
 
     Texts are equal if identical after lower-casing A-Z only; null counts as empty, and empty texts are equal to each
     other. Of equal texts the row with the largest doc_id stays; a null doc_id is smaller than any other, and of rows
     that repeat the largest doc_id exactly one stays. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    texts = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    keys = scratch.write(texts.select(
-        "doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.monotonically_increasing_id().alias("row")), "keys")
-
-    entries = scratch.write(keys.groupBy("h", "sha").agg(
-        F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")), "entries")
-    n_entries = entries.count()
-    slots, bits, n_slots = build_directory(scratch, entries, n_entries, capacity)
-    buckets = max(1, min(n_slots, 4096))
+    scratch = Scratch(docs.sparkSession, "exact")
+    texts = docs.select("doc_id", "text", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
+    rows = scratch.write(texts.select(
+        "doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), text_key(F.col("text")).alias("key"),
+        F.monotonically_increasing_id().alias("row")), "rows")
+
+    keys = scratch.write(rows.groupBy("h").agg(F.count("*").alias("n")), "keys")
+    n_keys, n_shared = keys.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    directory, bits, n_slots = build_directory(scratch, keys.select("h"), n_keys, capacity)
+    shared = small_side(keys.where("n > 1").select("h"), n_shared, 24)
+
+    # Postings with texts only where a chain is to be resolved, partly aggregated.
+    posted = (texts.withColumn("h", F.xxhash64("norm")).join(shared, "h")
+              .groupBy("h", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")))
+    single = keys.where("n = 1").select("h", F.lit(None).cast("string").alias("norm"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("top"))
+    chain = Window.partitionBy("bucket", "h").orderBy("norm")
+    # An owner walks the chains of its buckets: a posting whose bytes differ from its neighbour's begins a class.
     index = scratch.write(
-        entries.withColumn("slot", _prefix(bits)).join(small_side(slots, n_slots, 32), "slot").drop("slot")
-        .repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket", "h"), "index")
-
-    # Keys that several rows share: their chains are told apart by the bytes of the texts.
-    shared = index.groupBy("bucket", "h").agg(F.sum("n").alias("rows")).where("rows > 1").select("bucket", "h")
-    n_shared = shared.count()
-    chains = (texts.withColumn("h", F.xxhash64("norm")).join(small_side(shared, n_shared, 40), "h")
-              .groupBy("bucket", "h", "norm").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-              .where("group_size > 1")
-              .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", "keep_id"))
-    chains = scratch.write(chains.join(index.where("n > 1").select("h", "sha", "top", "bucket"), ["h", "sha"]), "chains")
-
-    return (keys.join(small_side(chains, chains.count(), 120), ["h", "sha"], "left")
-            .select("doc_id",
-                    F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                    F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                    F.coalesce(F.col("row") == F.col("top.row"), F.lit(True)).alias("kept"),
-                    F.lower(F.hex("sha")).alias("text_sha256"), "bucket"))
+        posted.drop("salt").unionByName(single).withColumn("slot", _prefix(bits)).join(small_side(directory, n_slots, 48), "slot").drop("slot")
+        .repartition("bucket").sortWithinPartitions("bucket", "h", "norm")
+        .withColumn("new", (~F.col("norm").eqNullSafe(F.lag("norm").over(chain))).cast("int"))
+        .withColumn("class", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("sha", F.when(F.col("new") == 1, F.unhex(F.sha2("norm", 256)))), "index")
+    found = scratch.write(index.groupBy("bucket", "h", "class").agg(F.sum("n").alias("group_size"), F.max("top").alias("keep_id"), F.max("sha").alias("sha")), "found")
+
+    chains = found.where("sha is not null").select("h", "sha", "group_size", "keep_id")
+    by_key = small_side(chains, n_shared, 120)
+    out = rows.join(by_key, ["h", "sha"], "left")
+    # Of rows that repeat the id that stays, the first one stays; ids are rarely repeated, so only those are looked at.
+    many = rows.join(small_side(chains.where("group_size > 1").select("h", "sha", "keep_id"), n_shared, 120), ["h", "sha"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    again = scratch.write(many.groupBy("h", "sha").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "sha", "first"), "again")
+    out = out.join(small_side(again, again.count(), 80), ["h", "sha"], "left")
+    single_row = F.col("group_size").isNull()
+    return out.select(
+        "doc_id", F.when(single_row, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single_row | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("first").isNull() | (F.col("row") == F.col("first"))))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "key")
 
 
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups() drops, columns as they are."""
-    return keep_decided(docs, exact_groups(docs).select("doc_id", "kept"))
+    """docs without the rows that exact_groups() drops, columns as they are. Nulls and repeats count as there."""
+    return keep_decided(docs, exact_groups(docs).select("doc_id", "key", "kept"))

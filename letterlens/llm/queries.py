@@ -52,7 +52,7 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

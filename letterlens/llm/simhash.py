@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keep_decided, small_side
+from .common import Scratch, keep_decided, small_side, text_key
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -34,27 +34,24 @@ BATCH_TEXTS = 200
 _LANES = np.uint64(0x0001000100010001)
 
 
-def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 64-bit SimHash of each UTF-8 text, as uint64; 0 for a text without words.
+def shingle_hashes(text: bytes, shingle_words: int) -> list[int]:
+    """The hash of every shingle of a UTF-8 text in order; a text with fewer words is one shingle, one without words has none."""
+    words = text.lower().split()  # of bytes: A-Z, and white space \x20 \x09-\x0d
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle_words:
+        return [digest(joined, SEED)] if words else []
+    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+    return [digest(joined[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[shingle_words - 1:], strict=False)]
+
+
+def bit_majorities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of ragged hashes (n of each text, end to end in h) the bits that are set in over half of a text's, as uint64.
 
     Bit sums of all texts are taken at once: four bits at a time lie in the 16-bit lanes of a word.
     """
-    h, sizes, digest = [], [], xxhash.xxh64_intdigest
-    for text in texts:
-        words = text.lower().split()  # of bytes: A-Z, and white space \x20 \x09-\x0d
-        joined = b" ".join(words)
-        if len(words) <= shingle_words:
-            own = [digest(joined, SEED)] if words else []
-        else:
-            ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-            own = [digest(joined[a:b], SEED) for a, b in zip([0, *(e + 1 for e in ends)], ends[shingle_words - 1:], strict=False)]
-        h += own
-        sizes.append(len(own))
-    out, n = np.zeros(len(texts), np.uint64), np.array(sizes, np.int64)
-    if not h:
+    out, full = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if not len(full):
         return out
-    h = np.array(h, np.uint64)
-    full = np.flatnonzero(n)
     starts = (np.cumsum(n) - n)[full]
     # A lane counts to 65535: longer texts are summed in parts.
     parts = [(s + k, i) for i, (s, m) in enumerate(zip(starts.tolist(), n[full].tolist(), strict=True)) for k in range(0, m, 60_000)]
@@ -69,12 +66,18 @@ def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.n
     return out
 
 
+def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit SimHash of each UTF-8 text, as uint64; 0 for a text without words."""
+    own = [shingle_hashes(t, shingle_words) for t in texts]
+    return bit_majorities(np.array([h for hs in own for h in hs], np.uint64), np.array([len(hs) for hs in own], np.int64))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, len(b), BATCH_TEXTS):
             part = b.slice(k, BATCH_TEXTS)
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "key", "fp"])
 
 
 def block_masks(n: int, radius: int = RADIUS, per_shard: int = SHARD_FPS) -> list[int]:
@@ -219,17 +222,19 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, kept, key (text_key).
 
     A-Z are lower-cased; words are runs of other than white space; shingles of SHINGLE_WORDS words, repeats included.
     A text with fewer words is one shingle; one without words, or null, has fingerprint zero, which links like any
     other. component_id is the smallest doc_id that links reach, the row's own included; null ids count as no id, and
-    a component without any id has a null component_id. Rows may repeat. An empty table gives an empty result.
+    a component without any id has a null component_id. Of each component kept marks the rows with its smallest doc_id,
+    of several texts with that id those with the smallest key, and if no row has an id, those with the smallest key.
+    Rows may repeat. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.write(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fps")
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    fps = scratch.write(docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInArrow(_fingerprint_batches, "doc_id long, key long, fp long"), "fps")
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min(first_of("doc_id", "key")).alias("least"), F.count("*").alias("n")), "distinct")
     n = distinct.count()
     masks = [m - 2**64 if m >= 2**63 else m for m in block_masks(n, radius)]
     shards = distinct.select("fp", F.posexplode(F.array(*map(F.lit, masks)))).select(
@@ -238,17 +243,27 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
              .mapInArrow(lambda it: _link_batches(it, radius), "a long, b long").distinct())
     roots = components(scratch, edges)
     linked = distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = scratch.write(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_docs")).where("n_docs > 1")
-                           .join(linked.select("root", "fp"), "root").select("fp", "component_id"), "linked")
-    return (fps.join(small_side(linked, linked.count(), 40), "fp", "left")
-            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+    linked = scratch.write(linked.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n_docs")).where("n_docs > 1")
+                           .join(linked.select("root", "fp"), "root").select("fp", "first"), "linked")
+    return (fps.join(small_side(linked, linked.count(), 60), "fp", "left")
+            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), *decided()))
+
+
+def first_of(doc_id: str, key: str):
+    """Orders rows by doc_id, nulls last, then by key."""
+    return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("key"))
+
+
+def decided():
+    """component_id, kept and key of rows joined with the first row of their component, `first`, null if they are alone."""
+    alone, f = F.col("first").isNull(), F.col("first")
+    return (F.when(alone, F.col("doc_id")).otherwise(f["id"]).alias("component_id"),
+            (alone | (F.col("doc_id").eqNullSafe(f["id"]) & (F.col("key") == f["key"]))).alias("kept"), F.col("key"))
 
 
 def keep_one_of_near(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with its smallest doc_id. Columns as they are.
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id stay.
+    Of rows that repeat that document one stays; of a component without ids one stays.
     """
-    found = near_groups(docs)
-    return keep_decided(docs, found.select("doc_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), one_per_id=True)
+    return keep_decided(docs, near_groups(docs).select("doc_id", "key", "kept"))

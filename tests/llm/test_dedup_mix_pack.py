@@ -41,7 +41,7 @@ def test_keep_one_of_equal(spark):
     assert kept.columns == frame(spark, [], True).columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[105] == 1 and 1 not in ids and ids[3] == 1 and 6 not in ids and ids[104] == 1 and 103 not in ids
-    assert ids[None] == 2 and ids[101] == 1 and 100 not in ids
+    assert ids[None] == 1 and ids[101] == 1 and 100 not in ids  # of the rows without an id the empty one is a copy
     assert not keep_one_of_equal(frame(spark, [])).collect()
 
 

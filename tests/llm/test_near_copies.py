@@ -1,7 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
+from letterlens.llm import near_copies
+from letterlens.llm.exact_dedup import keep_one_of_equal
 from letterlens.llm.near_copies import copy_groups
 
 from .data import documents, frame, hard
@@ -50,8 +54,10 @@ def _copies(start):
 def test_groups_against_all_pairs(spark):
     rows = _copies(1000) + hard()
     want = _groups(rows)
-    assert Counter(map(tuple, copy_groups(frame(spark, rows, True)).collect())) == want
-    assert Counter(map(tuple, copy_groups(frame(spark, rows[::-1], True), block=2).collect())) == want
+    for df, block in ((frame(spark, rows, True), 512), (frame(spark, rows[::-1], True), 2)):
+        got = copy_groups(df, block=block).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == want
+        assert {(r.doc_id, r.component_id) for r in got if r.kept} == {(least, least) for _, least in want}
     assert not copy_groups(frame(spark, [])).collect()
 
 
@@ -59,3 +65,40 @@ def test_near_stage_leaves_one_of_copies_at_080(spark):
     rows = _copies(1000) + documents()
     kept = {r.doc_id for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()}
     assert kept == {least for _, least in _groups(rows)}
+
+
+def test_shard_resolved_in_task_links_all_that_similar_pairs_connect():
+    """All texts in one shard, no leader compared before: components are those of all pairs, in blocks too."""
+    rows = _copies(0)
+    sets = near_copies.shingle_sets([r[1].encode() for r in rows])
+    n = len(rows)
+    sim = near_copies.bit_majorities(np.concatenate(sets), np.array([len(s) for s in sets]))
+    fp = np.arange(n)
+    whole = near_copies.joining_links(np.zeros(n, int), np.zeros(n, int), fp, fp, sim, sets, 0.8)
+    halves = []
+    for i in range(2):
+        own = np.flatnonzero(fp % 2 == i)
+        halves += near_copies.joining_links(np.zeros(len(own), int), np.zeros(len(own), int), fp[own], fp[own], sim[own], [sets[k] for k in own], 0.8)
+    halves += near_copies.joining_links(np.zeros(n, int), 1 + fp % 2, fp, fp, sim, sets, 0.8)
+    want = _groups(rows)
+    for links in (whole, halves):
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        assert Counter((i, find(i)) for i in range(n)) == want
+    assert len(whole) == n - len({least for _, least in want})
+
+
+def test_rows_without_ids_and_repeated_ids_are_decided_by_text(spark):
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(None, base, "en", "a", 0), (None, base + " end", "en", "a", 0), (None, "other words of no copy at all", "en", "a", 0),
+            (7, "seven is here once more today", "en", "a", 0), (7, "and seven is another text besides", "en", "b", 0)]
+    kept = near_copies.keep_one_of_copies(frame(spark, rows)).collect()
+    assert len(kept) == 4 and sum(r.doc_id is None for r in kept) == 2 and {r.text for r in kept if r.doc_id == 7} == {rows[3][1], rows[4][1]}
+    exact = keep_one_of_equal(frame(spark, [*rows, (None, base.upper(), "en", "c", 0), (7, rows[3][1], "en", "a", 0)])).collect()
+    assert len(exact) == 5 and sum(r.text.lower() == base for r in exact) == 1 and sum(r.doc_id == 7 for r in exact) == 2
