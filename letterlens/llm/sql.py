@@ -12,7 +12,7 @@ FROM t WINDOW w AS (PARTITION BY norm)
 OP10 = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS key
+         substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 16) AS key
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid
@@ -39,7 +39,7 @@ b AS (
          CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM tg),
 s AS (
   SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY b.sid ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start
+         sum(d.size) OVER (PARTITION BY b.sid ORDER BY d.key ROWS UNBOUNDED PRECEDING) - d.size AS start
   FROM sized d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * epochs + greatest(0, least(size, rest - start)) AS BIGINT) AS taken

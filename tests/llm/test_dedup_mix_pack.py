@@ -92,6 +92,22 @@ def test_mix_edges(spark):
     assert [r.taken for r in mix(frame(spark, [(1, None, None, None, 0)])).collect()] == [0]
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_mix_of_repeated_and_null_ids_meets_its_targets(spark, doc_id):
+    alike, other = [(doc_id, "w " * 10, "x", "b", 0)] * 700, [(doc_id, f"t{i} " * 10, "x", "b", 0) for i in range(300)]
+    rows = alike + other + documents(200, 5, 15)
+    size, total, target = _mix(rows)
+    for range_docs in (50, 2_000):
+        got = mix(frame(spark, rows).repartition(7), range_docs=range_docs).collect()
+        taken = Counter()
+        for r in got:
+            assert r.taken <= 2 * r.size
+            taken[r.source] += r.taken
+        assert len(got) == len(rows) and all(taken[s] == round(target[s]) for s in total)
+        words = mixed_documents(frame(spark, rows), range_docs=range_docs).groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).collect()
+        assert {r.source: r.n for r in words} == {s: round(target[s]) for s in total}
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_best_fit_fills_no_bin_over(sizes):
