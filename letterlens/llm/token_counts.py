@@ -3,10 +3,15 @@
 A byte-level BPE vocabulary merges, in each pre-token, the adjacent pair of lowest rank until none is left. Here many
 pre-tokens lie end to end in one array; each round finds every sequence's own lowest rank and applies that pair
 everywhere in it at once. What is left of a sequence when it has no pair to merge is counted, and the sequence goes.
+
+Short sequences are done after a few rounds over the whole array. Long ones are then linked, symbol to symbol, and their
+pairs wait in order of rank, so that a round looks only at the pairs it merges and their neighbours: a symbol's pairs
+have higher ranks than the merge that made it, so in each sequence ranks rise, and one order serves all sequences.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -23,6 +28,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Entries a task's cache may hold; a full cache is emptied, so it bounds memory and changes no count.
 CACHE = 300_000
+#: Rounds over the whole array, after which what is left goes on in order of rank.
+WHOLE_ROUNDS = 24
 _NONE = np.iinfo(np.int64).max
 _BOTH_SPACE = re.compile(r"\s \s")
 
@@ -55,7 +62,9 @@ class RankMerger:
         size = np.array([len(p) for p in parts], np.int64)
         out, ids = size.copy(), self.of_byte[np.frombuffer(b"".join(parts), np.uint8)]
         seq = np.repeat(np.arange(len(parts)), size)
-        while len(ids) > 1:
+        for _ in range(WHOLE_ROUNDS):
+            if len(ids) < 2:
+                return out
             key = ids[:-1] * self.n + ids[1:]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             rank = np.where((self.pairs[at] == key) & (seq[:-1] == seq[1:]), self.ranks[at], _NONE)
@@ -63,7 +72,7 @@ class RankMerger:
             np.minimum.at(least, seq[:-1], rank)
             hit = np.flatnonzero((rank == least[seq[:-1]]) & (rank != _NONE))
             if not len(hit):
-                break
+                return out
             # In a run of overlapping hits every second one is applied, from the left.
             run = np.r_[True, np.diff(hit) > 1]
             start = np.flatnonzero(run)
@@ -73,8 +82,67 @@ class RankMerger:
             stay = least[seq] != _NONE
             stay[hit + 1] = False
             ids, seq = ids[stay], seq[stay]
+        if len(ids) > 1:
+            out -= np.bincount(self._merged_by_rank(ids, seq), minlength=len(out))
         return out
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of pairs; rank _NONE where none is."""
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], _NONE), self.merged[at]
+
+    def _merged_by_rank(self, ids: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """The sequence of each merge that is applied; ids and seq are the symbols that are left."""
+        n = len(ids)
+        ids, ahead, back = ids.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.flatnonzero(np.r_[seq[1:] != seq[:-1], True])
+        ahead[last] = n  # n stands for no neighbour
+        back[np.r_[0, last[:-1] + 1]] = n
+        pair_rank = np.full(n + 1, _NONE)  # of the pair that a symbol begins
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+        done = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[ahead[at] < n]
+            rank, _ = self._rank(ids[at], ids[ahead[at]])
+            pair_rank[at] = rank
+            at, rank = at[rank != _NONE], rank[rank != _NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for part, r in zip(np.split(at, cuts), rank[np.r_[0, cuts]].tolist() if len(rank) else [], strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n))
+        while order:
+            rank = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[pair_rank[at] == rank]
+            if not len(at):
+                continue
+            # In a run of overlapping pairs every second one is merged, from the left.
+            new = np.r_[True, ahead[at[:-1]] != at[1:]]
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = ahead[at]
+            ids[at] = self._rank(ids[at[:1]], ids[gone[:1]])[1]
+            pair_rank[at] = pair_rank[gone] = _NONE
+            after = ahead[gone]
+            ahead[at] = after
+            inner = after < n
+            back[after[inner]] = at[inner]
+            done.append(seq[at])
+            before = back[at]
+            before = before[before < n]
+            pair_rank[before] = _NONE
+            wait(np.unique(np.concatenate([at, before])))
+        return np.concatenate(done) if done else seq[:0]
+
 
 class TokenCounter:
     """Counts tokens of whole texts. Pieces of a text that have been counted before are looked up."""

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -47,6 +48,25 @@ def test_merges_of_long_runs(library):
     assert merger.counts([w.encode() for w in words]).tolist() == _want(library, words)
 
 
+@given(st.integers(0, 2**32 - 1), st.sampled_from(["ab", "abc ", "etaoin", "abcdefghijklmnopqrstuvwxyz", "日本語の中国", "01", "=-_"]), st.integers(1, 3000))
+@settings(max_examples=60, deadline=None)
+def test_merges_of_long_random_pre_tokens(library, seed, letters, n):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list(letters), n)).replace(" ", ""), "a" * (n // 2), "ab" * (n // 3)]
+    words = [w for w in words if w]
+    counter = TokenCounter(vocabulary_path())
+    assert counter.counts(words) == _want(library, words)
+
+
+def test_a_pre_token_of_a_megabyte_is_counted_in_seconds(library, counter):
+    rng = np.random.default_rng(1)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "日月火水木金土人大小中国一二三"):
+        word = "".join(rng.choice(list(letters), (1 << 20) // len(letters[0].encode())))
+        began = time.process_time()
+        assert counter.counts([word]) == _want(library, [word])
+        assert time.process_time() - began < 20
+
+
 def test_counts_of_driver_texts(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
