@@ -1,10 +1,12 @@
 """Surrogates for personal data and secrets, with DataFrame functions only.
 
 Detected entities get keyed replacements of their own kind: the same entity always the same surrogate (coreference),
-different entities different ones (distinctness), in the layout of each mention. Digits stay digits, cards pass the Luhn
-test, addresses have valid octets, keys keep their prefix, names keep title, gender and script. Surrogates are made per
-distinct entity of the whole corpus; those that collide with each other or with a real entity are keyed anew until none
-does. Texts without a sign of an entity are not shuffled or rewritten.
+different entities different ones (distinctness), in the layout of each mention. Cards pass the Luhn test and IBANs
+mod 97, addresses stay private or public, social security numbers are such as are issued, keys keep their prefix, names
+keep title, gender and script. Surrogates are made per distinct entity of the whole corpus; those that collide with each
+other or with a real entity are keyed anew until none does.
+
+Texts are read by the patterns once, whole and all of them; there is no test before that could pass over an entity.
 """
 
 from __future__ import annotations
@@ -12,33 +14,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, ascii_lower, small_side
+from .common import BROADCAST_BYTES, LOWER, UPPER, Scratch, ascii_lower
 
-KEY = "replace-in-production"
 MAX_ROUNDS = 64
 
 # The patterns of entities (Java).
 _WORD = r"[\p{L}\p{N}._%+-]"
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|г-н|г-жа|господин|госпожа)"
+_CUE = r"(?:[Nn]ame is |[Nn]ame: |[Aa]uthor: |[Dd]ear |[Rr]egards, |[Ss]incerely, |[Ss]igned, |[Ii] am |меня зовут )"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_CAPITALISED = r"\p{Lu}\p{Ll}+"
 EMAIL = rf"(?<!{_WORD}){_WORD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|akia[0-9a-z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|GH[POUSR]_[A-Z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|SK-[A-Z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|XOX[ABPRS]-[A-Z0-9-]{10,})(?![A-Za-z0-9])"
-          r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})(?![\"' ])[^\s\"',;|]{6,}+"
-          r"|(?<![A-Za-z0-9])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])")
+#: The short look behind keeps the long one from being tried at every character.
+KEYWORD_SECRET = (r"(?<=[=:][ ]{0,1}[\"']{0,1})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})"
+                  r"(?![\"' ])[^\s\"',;|]{6,}+")
+PREFIXED_SECRET = (r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|akia[0-9a-z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|GH[POUSR]_[A-Z0-9]{36,}"
+                   r"|sk-[A-Za-z0-9_-]{20,}|SK-[A-Z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|XOX[ABPRS]-[A-Z0-9-]{10,})(?![A-Za-z0-9])")
+HEX_SECRET = (r"(?<![A-Za-z0-9])(?:(?=[0-9a-f]{32})(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]{32})(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])")
+SECRET = f"{PREFIXED_SECRET}|{KEYWORD_SECRET}|{HEX_SECRET}"
 IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+PHONE = (r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+         r"|(?<![\w.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-NAME = rf"(?<![\w-]){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+NAME = (rf"(?=[MDPHFSг])(?<![\w-]){_TITLE}\.? {_CAPITALISED}(?:[ -]{_CAPITALISED})?"
+        rf"|(?=\p{{Lu}})(?<= )(?<={_CUE}){_CAPITALISED} {_CAPITALISED}(?: {_CAPITALISED})?")
 KINDS = (("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A text without any of these holds no entity.
-SIGN = (rf"@|\d[\d.]|\d[ -]\d[ -]\d|[=:][ ]?[\"']?[^\s\"']{{6}}|{_TITLE}\.? \p{{Lu}}"
-        r"|AKIA|akia|gh[pousr]_|GH[POUSR]_|sk-|SK-|xox[abprs]-|XOX[ABPRS]-|[0-9a-f]{32}|[0-9A-F]{32}")
 MALE, FEMALE = r"^(?:Mr|Herr|Sr|г-н|господин)\b", r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|г-жа|госпожа)\b"
+#: Given names that tell the gender where no title does.
+MALE_NAMES = "adam alan alexander andreas antonio carlos christian daniel david edward eric felix francesco george hans henry ivan jack james jean john jose juan karl luis marco mark martin michael paul peter pierre robert sergei stefan thomas william иван сергей михаил дмитрий".split()
+FEMALE_NAMES = "alice amy anna barbara carla carmen catherine christine clara elena elisabeth emily emma eva françoise helen ingrid isabel jane julia karen laura lucia maria marie martha mary nina olga paula rosa sarah sofia susan teresa мария ольга елена анна".split()
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ga go ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te ti to va ve vi".split(),
              "cyrillic": "ба бе бо ва ве ви го да де до ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се со та те ти".split()}
+#: First octets that no public address has.
+_NOT_PUBLIC = (10, 100, 127, 169, 172, 192, 198, 203)
 
 
 def _digits(c: Column) -> Column:
@@ -53,11 +64,25 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda acc, x: acc + x)
 
 
+def _mod97(code: Column) -> Column:
+    """An IBAN, without blanks and with its first four characters last, modulo 97; letters count from 10."""
+    def step(acc, c):
+        n = c.try_cast("int")
+        return F.when(n.isNotNull(), (acc * 10 + n) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(code, ""), F.lit(0), step)
+
+
+def _is_iban(m: Column) -> Column:
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    return F.length(bare).between(15, 34) & (_mod97(F.concat(F.substring(bare, 5, 99), F.substring(bare, 1, 4))) == 1)
+
+
 def kind_of(m: Column) -> Column:
-    """The kind of a match; null for digits that fail their kind's test and so are no entity."""
+    """The kind of a match; null for what fails the test of its kind and so is no entity."""
     n = F.length(_digits(m))
-    return (F.when(m.rlike(rf"^{_TITLE}\.? \p{{Lu}}"), "name").when(m.rlike(f"^(?:{EMAIL})$"), "email").when(m.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "ip")
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[0-9A-F]{32,64}$") & m.rlike("[A-F]"), "secret").when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), "iban")
+    return (F.when(m.rlike(rf"^{_TITLE}\.? \p{{Lu}}") | m.rlike(rf"^{_CAPITALISED} {_CAPITALISED}"), "name").when(m.rlike(f"^(?:{EMAIL})$"), "email")
+            .when(m.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+            .when(m.rlike(r"^[0-9A-F]{32,64}$") & m.rlike("[A-F]"), "secret").when(m.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), F.when(_is_iban(m), "iban"))
             .when(m.rlike(r"^(?:\+|\()[\d ().+-]+$|^(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}$") & (n >= 7), "phone")
             .when(m.rlike(r"^\d[\d -]{11,}$"), F.when(_luhn_sum(_digits(m), 1) % 10 == 0, "card")).otherwise("secret"))
 
@@ -73,41 +98,68 @@ def _nth(random: Column, i: Column) -> Column:
 
 def _reshaped(value: Column, random: Column) -> Column:
     """value with digits for digits and letters for letters of the same case."""
-    lower_hex = value.rlike(r"^(?=\d*[a-f])[0-9a-f]+$") & value.rlike(r"\d")
+    def as_hex(c, i):
+        return F.lower(F.hex(_nth(random, i) % 16))
 
-    def one(c, i):
+    def alike(c, i):
         r = _nth(random, i)
-        return (F.when(lower_hex, F.lower(F.hex(r % 16))).when(c.rlike(r"^\d$"), (r % 10).cast("string"))
-                .when(c.rlike("^[a-z]$"), F.char(r % 26 + 97)).when(c.rlike("^[A-Z]$"), F.char(r % 26 + 65)).otherwise(c))
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+        return (F.when(c.rlike(r"^\d$"), (r % 10).cast("string")).when(c.rlike("^[a-z]$"), F.char(r % 26 + 97))
+                .when(c.rlike("^[A-Z]$"), F.char(r % 26 + 65)).otherwise(c))
+    # What is asked of the whole value is asked outside of the functions of its characters.
+    lower_hex = value.rlike(r"^(?=\d*[a-f])[0-9a-f]+$") & value.rlike(r"\d")
+    chars = F.split(value, "")
+    return F.array_join(F.when(lower_hex, F.transform(chars, as_hex)).otherwise(F.transform(chars, alike)), "")
 
 
 def _made_name(random: Column, script: str, syllables: int, ending: Column) -> Column:
-    table = F.array(*map(F.lit, SYLLABLES[script]))
+    table = F.split(F.lit(" ".join(SYLLABLES[script])), " ")
     parts = [F.element_at(table, _nth(random, F.lit(k)) % len(SYLLABLES[script]) + 1) for k in range(syllables)]
     return F.concat(F.initcap(F.concat(*parts)), ending)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity in canonical form, at its attempt-th keying."""
-    random = _random(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")))
+def _number(random: Column, place: int, below: int) -> Column:
+    return _nth(random, F.lit(place)) % below
+
+
+def _address(canon: Column, random: Column) -> Column:
+    """A private address for a private one, a loopback address for one of those, else a public one."""
+    public = [n for n in range(1, 224) if n not in _NOT_PUBLIC]
+    first = F.element_at(F.expr(f"array({', '.join(map(str, public))})"), _number(random, 0, len(public)) + 1)
+    private = canon.rlike(r"^(?:10|192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\.")
+    first = F.when(private, 10).when(canon.startswith("127."), 127).otherwise(first)
+    return F.concat_ws(".", *[c.cast("string") for c in (first, _number(random, 1, 256), _number(random, 2, 256), _number(random, 3, 254) + 1)])
+
+
+def _security_number(random: Column) -> Column:
+    area = _number(random, 0, 898) + 1  # 001 to 899, but for 666
+    area = F.when(area == 666, 899).otherwise(area)
+    return F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad((_number(random, 1, 99) + 1).cast("string"), 2, "0"), F.lpad((_number(random, 2, 9_999) + 1).cast("string"), 4, "0"))
+
+
+def _account(canon: Column, random: Column) -> Column:
+    country, own = F.substring(canon, 1, 2), _reshaped(F.substring(canon, 5, 99), random)
+    check = 98 - _mod97(F.concat(own, country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), own)
+
+
+def surrogate(kind: Column, canon: Column, random: Column, key: str) -> Column:
+    """The surrogate of an entity in canonical form; random: a column of hexadecimal digits made from the key."""
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256)
-    octets = F.concat_ws(".", (_nth(random, F.lit(0)) % 223 + 1).cast("string"), *[(_nth(random, F.lit(k)) % 256).cast("string") for k in (1, 2)], (_nth(random, F.lit(3)) % 254 + 1).cast("string"))
     card = _reshaped(F.substring(canon, F.lit(1), F.length(canon) - 1), random)
     card = F.concat(card, ((10 - _luhn_sum(card, 0) % 10) % 10).cast("string"))
+    prefix = r"^(akia|gh[pousr]_|sk-|xox[abprs]-)?"
     out = (F.when(kind == "email", F.concat(_reshaped(F.substring_index(canon, "@", 1), random), F.lit("@d"), F.substring(domain, 1, 10), F.lit(".example.com")))
-           .when(kind == "ip", octets).when(kind == "card", card)
-           .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _reshaped(F.substring(canon, 3, 99), random)))
-           .when(kind == "secret", F.concat(F.regexp_extract(canon, r"^(akia|gh[pousr]_|sk-|xox[abprs]-)?", 0), _reshaped(F.regexp_replace(canon, r"^(?:akia|gh[pousr]_|sk-|xox[abprs]-)", ""), random))))
-    for script, (m, f, other, surname) in {"latin": ("n", "a", "e", "r"), "cyrillic": ("н", "я", "й", "")}.items():
-        for g, end in (("m", m), ("f", f), ("n", other)):
-            out = out.when(kind == f"given-{g}-{script}", _made_name(random, script, 4, F.lit(end)))
-            out = out.when(kind == f"surname-{g}-{script}", _made_name(random, script, 5, F.lit({"m": "ов", "f": "ова", "n": "ко"}[g] if script == "cyrillic" else surname)))
-    return out.otherwise(_reshaped(canon, random))
+           .when(kind == "ip", _address(canon, random)).when(kind == "card", card).when(kind == "iban", _account(canon, random)).when(kind == "ssn", _security_number(random))
+           .when(kind == "secret", F.concat(F.regexp_extract(canon, prefix, 0), _reshaped(F.regexp_replace(canon, prefix, ""), random))))
+    for g, latin, cyrillic, family in (("m", "n", "н", "ов"), ("f", "a", "я", "ова"), ("n", "o", "й", "ко")):
+        out = out.when(kind == f"given-{g}-latin", _made_name(random, "latin", 4, F.lit(latin)))
+        out = out.when(kind == f"given-{g}-cyrillic", _made_name(random, "cyrillic", 4, F.lit(cyrillic)))
+        out = out.when(kind == f"surname-{g}-cyrillic", _made_name(random, "cyrillic", 5, F.lit(family)))
+    return out.when(kind == "surname-latin", _made_name(random, "latin", 5, F.lit("r"))).otherwise(_reshaped(canon, random))
 
 
 def rendered(mention: Column, kind: Column, sur: Column) -> Column:
-    """The surrogate in the layout of a mention."""
+    """The surrogate in the layout of a mention, in time linear in a secret's length; the other kinds are short."""
     digits = _digits(mention)
     # Of a phone number what comes before its last ten digits is a country's code, and stays.
     own = F.when(kind == "phone", F.concat(F.left(digits, F.length(digits) - F.length(sur)), sur)).otherwise(sur)
@@ -116,8 +168,8 @@ def rendered(mention: Column, kind: Column, sur: Column) -> Column:
     spaced = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(
         c == " ", c).otherwise(F.substring(sur, F.length(F.replace(F.substring(mention, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
     # A secret's canonical form is in lower case: the mention's case comes back, as a whole or letter by letter.
-    cased = F.when(mention.rlike("[A-Z]") & ~mention.rlike("[a-z]"), F.translate(sur, LOWER, UPPER)).otherwise(F.array_join(F.transform(
-        F.split(mention, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(sur, i + 1, F.lit(1)))).otherwise(F.substring(sur, i + 1, F.lit(1)))), ""))
+    cased = F.when(mention.rlike("[A-Z]") & ~mention.rlike("[a-z]"), F.translate(sur, LOWER, UPPER)).otherwise(F.array_join(F.zip_with(
+        F.split(mention, ""), F.split(sur, ""), lambda c, x: F.when(c.rlike("^[A-Z]$"), F.upper(x)).otherwise(x)), ""))
     return (F.when(kind == "secret", cased).when(kind.isin("card", "phone", "ssn"), filled).when(kind == "iban", spaced)
             .when((kind == "email") & (mention == F.upper(mention)), F.upper(sur)).otherwise(sur))
 
@@ -127,65 +179,85 @@ def entities(scratch: Scratch, mentions: DataFrame, key: str) -> DataFrame:
 
     Only the number of entities that still collide comes to the driver, once a round.
     """
-    now = scratch.write(mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
-                        .withColumn("sur", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "entities-0")
+    # The digits are a column of their own, as they are looked up for every character.
+    random = _random(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string")))
+    sur = surrogate(F.col("kind"), F.col("canon"), F.col("random"), key)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("random", random).withColumn("sur", sur).drop("random")
+
+    now = scratch.write(keyed(mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))), "entities-0")
     for k in range(1, MAX_ROUNDS):
         kept = now.groupBy("kind", "sur").agg(F.min(F.struct("attempt", "canon")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
         twice = now.join(kept.select("kind", "sur", F.col("keeps.canon").alias("keeps")), ["kind", "sur"]).where("canon <> keeps").select("kind", "canon")
         real = now.join(now.select("kind", F.col("canon").alias("sur")), ["kind", "sur"], "left_semi").select("kind", "canon")
-        again = scratch.write(twice.unionByName(real).distinct().withColumn("again", F.lit(True)), f"again-{k}")
+        again = scratch.write(twice.unionByName(real).distinct(), f"again-{k}")
         if again.isEmpty():
             return now.select("kind", "canon", "sur")
-        attempt = F.col("attempt") + 1
-        now = scratch.write(now.join(again, ["kind", "canon"], "left").select(
-            "kind", "canon", F.when(F.col("again"), attempt).otherwise(F.col("attempt")).alias("attempt"),
-            F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("sur")).alias("sur")), f"entities-{k}")
+        redone = keyed(now.join(again, ["kind", "canon"], "left_semi").drop("sur").withColumn("attempt", F.col("attempt") + 1))
+        now = scratch.write(now.join(again, ["kind", "canon"], "left_anti").unionByName(redone), f"entities-{k}")
     raise ValueError("more entities of a kind than surrogates")
 
 
+def _among(name: Column, names: list[str]) -> Column:
+    return F.array_contains(F.split(F.lit(" ".join(names)), " "), name)
+
+
 def _pieces(mentions: DataFrame) -> DataFrame:
-    """A row per piece of a mention: names fall into title, spaces, given name and surname; others are one piece."""
+    """A row per piece of a mention: names fall into title, blanks, given name and surname; others are one piece.
+
+    part: what a piece is keyed as; null for titles, blanks and mentions that are no entity, which stay as they are.
+    """
     m, last = F.col("mention"), F.col("piece_no") == F.size("pieces") - 1
-    is_name = F.col("kind") == "name"
-    plain = is_name & ((F.col("piece_no") < 2) | F.col("piece").rlike(r"^[\s-]+$"))  # the title and what is between words
-    gender = F.when(m.rlike(MALE), "m").when(m.rlike(FEMALE), "f").otherwise("n")
-    script = F.when(F.col("piece").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    part = F.when(~is_name, F.col("kind")).when(~plain, F.concat_ws("-", F.when(last, F.lit("surname")).otherwise(F.lit("given")), gender, script))
-    kind, piece = F.col("part"), F.col("piece")
-    return (mentions.withColumn("pieces", F.when(is_name, F.regexp_extract_all(m, F.lit(rf"^{_TITLE}\.?|[\s-]+|[^\s-]+"), 0)).otherwise(F.array(m)))
-            .select("*", F.posexplode("pieces").alias("piece_no", "piece")).withColumn("part", part)
-            .withColumn("canon", F.when(kind == "phone", F.right(_digits(piece), F.lit(10))).when(kind.isin("card", "ssn"), _digits(piece)).when(kind == "iban", F.replace(piece, F.lit(" "), F.lit("")))
-                        .when(kind == "secret", ascii_lower(piece)).when(kind.isNotNull(), F.lower(piece))))
-
-
-def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
+    is_name, titled = F.coalesce(F.col("kind") == "name", F.lit(False)), m.rlike(rf"^{_TITLE}\.? ")
+    given = F.lower(F.regexp_extract(m, rf"^(?:{_TITLE}\.? )?({_CAPITALISED})[ -]", 1))
+    gender = F.when(m.rlike(MALE) | _among(given, MALE_NAMES) & ~m.rlike(FEMALE), "m").when(m.rlike(FEMALE) | _among(given, FEMALE_NAMES), "f").otherwise("n")
+    split = F.regexp_extract_all(m, F.lit(rf"^{_TITLE}\.?(?= )|[\s-]+|[^\s-]+"), 0)
+    rows = mentions.withColumn("gender", gender).withColumn("titled", titled).withColumn("pieces", F.when(is_name, split).otherwise(F.array(m)))
+    rows = rows.select("*", F.posexplode("pieces").alias("piece_no", "piece"))
+    kind, piece, cyrillic = F.col("kind"), F.col("piece"), F.col("piece").rlike(r"\p{IsCyrillic}")
+    plain = piece.rlike(r"^[\s-]+$") | (F.col("titled") & (F.col("piece_no") == 0))
+    name = (F.when(~last, F.concat_ws("-", F.lit("given"), "gender", F.when(cyrillic, "cyrillic").otherwise("latin")))
+            .when(cyrillic, F.concat_ws("-", F.lit("surname"), "gender", F.lit("cyrillic"))).otherwise("surname-latin"))
+    rows = rows.withColumn("part", F.when(~is_name, kind).when(~plain, name))
+    canon = (F.when(kind == "phone", F.right(_digits(piece), F.lit(10))).when(kind.isin("card", "ssn"), _digits(piece))
+             .when(kind == "iban", F.replace(piece, F.lit(" "), F.lit(""))).when(kind == "secret", ascii_lower(piece)).otherwise(F.lower(piece)))
+    return rows.withColumn("canon", F.when(F.col("part").isNotNull(), canon))
+
+
+def _sized_side(df: DataFrame, *texts: Column) -> DataFrame:
+    """df with a broadcast hint if its rows, with the bytes that these texts have, are few enough."""
+    n = df.agg(F.sum(sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(80)))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
+
+
+def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_entities, kinds (sorted, joined by commas), text.
 
     text is the whole text with every detected entity replaced; without one it is unchanged. A null text stays null and
     an empty one empty. Rows may repeat and doc_id may be null; other columns are ignored; an empty table gives an
-    empty result. Reruns with the same key over the same corpus agree.
+    empty result. Reruns with the same key over the same corpus agree; the key is a secret of the caller. A text is
+    rebuilt in time linear in its length, whatever the number of its entities.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = docs.select("doc_id", "text")
-    sign = F.coalesce(F.col("text").rlike(SIGN), F.lit(False))
-    found = scratch.write(rows.where(sign).select("doc_id", "text", F.monotonically_increasing_id().alias("row"),
-                                                  F.regexp_extract_all("text", F.lit(f"({ANY})"), 1).alias("found")), "found")
-    mentions = (found.where(F.size("found") > 0).select("row", F.posexplode("found").alias("at", "mention"))
-                .withColumn("kind", kind_of(F.col("mention"))).where("kind is not null"))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({ANY})"), 1)
+    read = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), found.alias("found"))
+    any_ = F.size("found") > 0
+    read = scratch.write(read.select("doc_id", "row", F.when(~any_, F.col("text")).alias("text"), F.when(any_, F.col("found")).alias("found"),
+                                     F.when(any_, F.split("text", ANY, -1)).alias("gaps")), "read")
+    mentions = read.where("found is not null").select("row", F.posexplode("found").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
     pieces = scratch.write(_pieces(mentions).select("row", "at", "piece_no", "kind", "part", "piece", "canon"), "pieces")
-    named = pieces.where("part is not null").select(F.col("part").alias("kind"), "canon")
-    known = entities(scratch, named, key)
-    known = small_side(known.withColumnRenamed("kind", "part"), known.count(), 160)
+    known = entities(scratch, pieces.where("part is not null").select(F.col("part").alias("kind"), "canon"), key)
+    known = _sized_side(known.withColumnRenamed("kind", "part"), F.col("canon"), F.col("sur"))
     new = pieces.join(known, ["part", "canon"], "left").select(
         "row", "at", "piece_no", "kind", F.coalesce(rendered(F.col("piece"), F.col("part"), F.col("sur")), F.col("piece")).alias("new"))
-    by_row = new.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("at", "piece_no", "new"))).alias("new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        F.count_if(F.col("piece_no") == 0).alias("n_entities"))
-    by_row = scratch.write(by_row, "new")
-    done = found.join(small_side(by_row, by_row.count(), 400), "row", "left")
-    gaps = F.split("text", ANY, -1)
-    text = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size("found")).alias("gap"), F.col("found").alias("m")), lambda z, i: F.concat(
-        z["gap"], F.coalesce(F.nullif(F.array_join(F.transform(F.filter("new", lambda p: p["at"] == i), lambda p: p["new"]), ""), F.lit("")), z["m"]))), ""), F.element_at(gaps, -1))
-    done = done.select("doc_id", F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"),
-                       F.when(F.col("n_entities") > 0, text).otherwise(F.col("text")).alias("text"))
-    return rows.where(~sign).select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text").unionByName(done)
+    # Texts gather by row, so that what is one row's lies in one partition for both groupings.
+    by_row = new.repartition("row").groupBy("row", "at").agg(F.max("kind").alias("kind"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("piece_no", "new"))), lambda p: p["new"]), "").alias("new"))
+    by_row = scratch.write(by_row.groupBy("row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda p: p["new"]).alias("new"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("kind").alias("n_entities")), "new")
+    done = read.join(_sized_side(by_row, F.array_join("new", "")), "row", "left")
+    text = F.array_join(F.zip_with("gaps", F.concat("new", F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
+    return done.select("doc_id", F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"),
+                       F.when(F.col("gaps").isNull(), F.col("text")).otherwise(text).alias("text"))

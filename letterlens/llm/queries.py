@@ -48,7 +48,7 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents"))
+    return replace_personal_data(table(spark, sf_dir, "documents"), spark.conf.get("letterlens.pii.key", "key of the registered query"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

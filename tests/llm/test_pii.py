@@ -1,6 +1,10 @@
+import ipaddress
+import random
 import re
+import time
 
 import pytest
+import regex
 
 from letterlens.llm import pii
 from letterlens.llm.common import Scratch
@@ -10,9 +14,9 @@ from .data import frame, hard
 SCHEMA = "doc_id long, text string, kind string, row long, found string, new string"
 
 
-def replaced(spark, texts, **options):
+def replaced(spark, texts, key="a key", **options):
     rows = [(i, t, "x", 1, "y", "z") for i, t in enumerate(texts)]
-    return {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(rows, SCHEMA), **options).collect()}
+    return {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(rows, SCHEMA), key, **options).collect()}
 
 
 def luhn(digits):
@@ -59,7 +63,7 @@ def test_same_key_same_surrogates(spark, got):
 
 def test_collisions_are_keyed_anew(spark, monkeypatch):
     true = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda kind, canon, attempt, key: pii.F.when(attempt < 2, pii.F.lit("1.1.1.1")).otherwise(true(kind, canon, attempt, key)))
+    monkeypatch.setattr(pii, "surrogate", lambda kind, canon, random, key: pii.F.when(pii.F.col("attempt") < 2, pii.F.lit("1.1.1.1")).otherwise(true(kind, canon, random, key)))
     ips = [f"9.8.{i}.7" for i in range(60)] + ["1.1.1.1"]
     got = replaced(spark, [f"host {ip} up" for ip in ips] * 2)
     new = [got[i].text.split()[1] for i in range(len(got))]
@@ -70,9 +74,9 @@ def test_collisions_are_keyed_anew(spark, monkeypatch):
 
 def test_hard_rows_stay(spark):
     rows = hard()
-    out = pii.replace_personal_data(frame(spark, rows, True)).collect()
+    out = pii.replace_personal_data(frame(spark, rows, True), "k").collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, ((r[0], r[1]) for r in rows)))
-    assert not pii.replace_personal_data(frame(spark, [])).collect()
+    assert not pii.replace_personal_data(frame(spark, []), "k").collect()
 
 
 def test_hot_value_in_long_texts(spark):
@@ -90,12 +94,117 @@ OF_EACH_PATTERN = [
     "123-45-6789", "DE89 3704 0044 0532 0130 00", "Mr. John", "г-жа Иванова"]
 
 
-def test_every_match_has_a_sign(spark):
-    df = spark.createDataFrame([(f"see {t} now",) for t in OF_EACH_PATTERN], "text string")
-    got = df.select("text", pii.F.col("text").rlike(pii.ANY).alias("match"), pii.F.col("text").rlike(pii.SIGN).alias("sign")).collect()
-    assert all(r.match and r.sign for r in got), [r for r in got if not (r.match and r.sign)]
-    found = replaced(spark, [r.text for r in got])
-    assert all(found[i].n_entities == 1 and found[i].text != r.text for i, r in enumerate(got))
+def test_every_pattern_is_found_and_replaced(spark):
+    found = replaced(spark, [f"see {t} now" for t in OF_EACH_PATTERN])
+    assert all(found[i].n_entities == 1 and found[i].text != f"see {t} now" for i, t in enumerate(OF_EACH_PATTERN))
+
+
+def of_kind(m):
+    """The kind of a match by plain Python; None for what is no entity."""
+    digits = re.sub(r"\D", "", m)
+    if regex.match(rf"{pii._TITLE}\.? \p{{Lu}}|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}", m):
+        return "name"
+    if "@" in m and regex.fullmatch(pii.EMAIL, m):
+        return "email"
+    if regex.fullmatch(r"\d+\.\d+\.\d+\.\d+", m) and all(int(x) < 256 for x in m.split(".")):
+        return "ip"
+    if regex.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        return "ssn"
+    if regex.fullmatch(r"[0-9A-F]{32,64}", m) and regex.search("[A-F]", m):
+        return "secret"
+    if regex.fullmatch(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", m):
+        bare = m.replace(" ", "")
+        return "iban" if mod97(bare) == 1 and 15 <= len(bare) <= 34 else None
+    if regex.fullmatch(r"[+(][\d ().+-]+|(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}", m) and len(digits) >= 7:
+        return "phone"
+    if regex.fullmatch(r"\d[\d -]{11,}", m):
+        return "card" if luhn(digits) else None
+    return "secret"
+
+
+def mod97(bare):
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def brute_mentions(text):
+    return [m for m in regex.finditer(pii.ANY, text, flags=regex.ASCII) if of_kind(m[0])]
+
+
+def same_shape(a, b):
+    return len(a) == len(b) and all(x == y or x.isdigit() and y.isdigit() or x.isalnum() and y.isalnum() for x, y in zip(a, b))
+
+
+def private(ip):
+    return ipaddress.ip_address(ip).is_private and not ip.startswith("127.")
+
+
+def check_against_brute_force(texts, got):
+    """Every mention that plain Python finds is replaced, all else stays, and replacements are consistent and of their kind."""
+    new_of, old_of = {}, {}
+    for i, text in enumerate(texts):
+        mentions, new, kinds = brute_mentions(text), got[i].text, set()
+        shape = {"email": r"([^\s@]+@(?:d[0-9a-f]{10}\.example\.com|D[0-9A-F]{10}\.EXAMPLE\.COM))", "ip": r"(\d+\.\d+\.\d+\.\d+)", "name": "(.+?)"}
+        pattern = "".join(re.escape(g) if k % 2 == 0 else shape.get(of_kind(g), f"(.{{{len(g)}}})") for k, g in enumerate(
+            x for m, end in zip(mentions, [0, *(m.end() for m in mentions)]) for x in (text[end:m.start()], m[0])))
+        tail = text[mentions[-1].end():] if mentions else text
+        match = re.fullmatch(pattern + re.escape(tail), new, re.DOTALL)
+        assert match, (text, new)
+        assert got[i].n_entities == len(mentions)
+        for m, now in zip(mentions, match.groups()):
+            kind, old = of_kind(m[0]), m[0]
+            kinds.add(kind)
+            assert now != old
+            if kind == "name":
+                continue  # pieces are compared by test_coreference_and_layout
+            plain = {"phone": lambda s: re.sub(r"\D", "", s)[-10:], "card": lambda s: re.sub(r"\D", "", s), "ssn": lambda s: re.sub(r"\D", "", s), "iban": lambda s: s.replace(" ", "")}.get(kind, str.lower)
+            assert new_of.setdefault((kind, plain(old)), plain(now)) == plain(now), (old, now)
+            assert old_of.setdefault((kind, plain(now)), plain(old)) == plain(old), (old, now)
+            if kind not in ("email", "ip"):
+                assert same_shape(old, now)
+            if kind == "card":
+                assert luhn(re.sub(r"\D", "", now))
+            elif kind == "iban":
+                assert mod97(now.replace(" ", "")) == 1 and now[:2] == old[:2]
+            elif kind == "ip":
+                assert private(old) == private(now) and old.startswith("127.") == now.startswith("127.")
+            elif kind == "ssn":
+                area, group, serial = now.split("-")
+                assert "000" < area < "900" and area != "666" and group != "00" and serial != "0000"
+        assert got[i].kinds == ",".join(sorted(kinds))
+    real = set(new_of)
+    assert not real & {(k, v) for (k, _), v in new_of.items()}
+
+
+def test_mixed_texts_against_brute_force(spark):
+    rng = random.Random(4)
+    ips = ["10.0.0.7", "192.168.4.5", "172.20.1.1", "127.0.0.1", "8.8.4.4", "203.0.112.9", "169.254.3.3"]
+    more = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "DE88 3704 0044 0532 0130 00", "4041894974608795", "4041894974608796",
+            "529-11-0001", "a@b.org", "A@B.ORG", "token=abcdef123", "SECRET: 'Zyx987wvu'", "plain", "words", "3.14", "x"]
+    texts = [" ".join(rng.choices(OF_EACH_PATTERN[:-2] + ips + more, k=rng.randint(1, 12))) for _ in range(120)]
+    check_against_brute_force(texts, replaced(spark, texts))
+
+
+def test_driver_documents_against_brute_force(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    check_against_brute_force(texts, replaced(spark, texts))
+
+
+def test_names_without_titles_and_over_mentions(spark):
+    got = replaced(spark, ["My name is Maria Lopez today", "Dear Karl Weber, hello", "Mr. Karl Weber and Mrs. Weber", "Dear Sir or Madam", "New York and Los Angeles", "Mr. NULL and mrs. who"])
+    given, family = re.fullmatch(r"My name is (\w+a) (\w+) today", got[0].text).groups()
+    karl, weber = re.fullmatch(r"Dear (\w+n) (\w+), hello", got[1].text).groups()
+    assert got[2].text == f"Mr. {karl} {weber} and Mrs. {weber}" and {given, family}.isdisjoint({"Maria", "Lopez"})
+    assert [got[i].n_entities for i in range(6)] == [1, 1, 2, 0, 0, 0] and got[5].text == "Mr. NULL and mrs. who"
+
+
+def test_long_texts_and_long_secrets(spark):
+    many = " ".join(f"u{i}@mail.example.org 10.1.{i % 256}.{i // 256}" for i in range(3_000))
+    long_secret = "token=" + "aB3" * 100_000
+    began = time.time()
+    got = replaced(spark, [many, long_secret, "w" * 1_000_000])
+    assert time.time() - began < 120
+    assert got[0].n_entities == 6_000 and "@mail.example.org" not in got[0].text and len(set(got[0].text.split())) == 6_000
+    assert got[1].n_entities == 1 and len(got[1].text) == len(long_secret) and "aB3aB3" not in got[1].text and got[2].text == "w" * 1_000_000
 
 
 def test_upper_cased_copies_hide_their_secrets(spark):
