@@ -1,11 +1,13 @@
 """Exact top-k inner products by multi-resolution segment statistics.
 
-Of each vector and each resolution (1, 4, then 16 segments) we keep the segments' means and deviations. For segments of
-length L, q.x = sum(L * mean_q * mean_x) + sum(dev_q . dev_x) and the last sum is at most sum(|dev_q| * |dev_x|), so the
+Vectors are rotated to the principal axes of all rows, so that leading components carry most. Of each vector and each
+resolution (1, 4, 16, 32, then 48 segments) we keep the segments' means and deviations. For segments of length L,
+q.x = sum(L * mean_q * mean_x) + sum(dev_q . dev_x) and the last sum is at most sum(|dev_q| * |dev_x|), so the
 statistics bound q.x from above, and the distance |q|^2 + |x|^2 - 2 q.x from below. Candidates are tested coarse to
-fine against the k-th best exact score known; exact scores are computed for the survivors only.
+fine against the k-th best exact score known; exact scores, of the vectors as they are, decide among the survivors.
 
-Queries and candidates are dealt into blocks of bounded size, and each pair of blocks is one row for a task.
+Queries and candidates are dealt into blocks of bounded size, and each pair of blocks is one row for a task. Each block
+of queries meets one block of rows first; the k-th best scores found there go along to all others.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .common import Scratch
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-SEGMENTS = (1, 4, 16)
+SEGMENTS = (1, 4, 16, 32, 48)
 QUERY_BLOCK, ROW_BLOCK, SUB_BLOCK = 2_048, 8_192, 128
+#: Share of survivors up to which pairs are looked at one by one, over which a product of matrices is cheaper.
+SPARSE = 1 / 32
 
 
 def _stats(v: np.ndarray, segments: int) -> np.ndarray:
@@ -36,39 +40,55 @@ def _stats(v: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack(out)
 
 
-def block_topk(q_ids, q, x_ids, x, k: int = K, segments=SEGMENTS):
-    """(query place, candidate place, score) of each query's k best candidates with another id, ties to the smaller id."""
+def _products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Products of rows of a and b where alive, -inf elsewhere."""
+    i, j = np.nonzero(alive) if alive.sum() <= SPARSE * alive.size else (None, None)
+    if i is None:
+        return np.where(alive, a @ b.T, -np.inf)
+    out = np.full(alive.shape, -np.inf)
+    out[i, j] = (a[i] * b[j]).sum(1)
+    return out
+
+
+def block_topk(q_ids, q, x_ids, x, k: int = K, segments=SEGMENTS, axes=None, least=None, survivors: list | None = None):
+    """(query place, candidate place, score) of each query's k best candidates with another id, ties to the smaller id.
+
+    axes: an orthogonal matrix. least: a score that each query's k-th best is known to reach. survivors gets, for each
+    resolution, the pairs that pass it, last those whose exact scores are computed.
+    """
     big = max(abs(q).max(initial=0), 1) * max(abs(x).max(initial=0), 1) * max(1, q.shape[1]) >= 2**52
     exact_q, exact_x = (q, x) if big else (q.astype(np.float64), x.astype(np.float64))  # doubles hold these sums exactly
     by_id = np.argsort(x_ids, kind="stable")
     exact_x, x_ids = exact_x[by_id], x_ids[by_id]
-    levels = [(_stats(q.astype(np.float64), s), _stats(x[by_id].astype(np.float64), s)) for s in segments]
-    slack = 1e-9 * (1 + np.linalg.norm(q.astype(np.float64), axis=1))[:, None] * (1 + np.linalg.norm(x.astype(np.float64), axis=1).max(initial=0))
+    axes = np.eye(q.shape[1]) if axes is None else axes
+    turned_q, turned_x = q.astype(np.float64) @ axes, x[by_id].astype(np.float64) @ axes
+    levels = [(_stats(turned_q, s), _stats(turned_x, s)) for s in segments if s < max(2, q.shape[1])]
+    norms = np.linalg.norm(turned_q, axis=1), np.linalg.norm(turned_x, axis=1).max(initial=0)
+    slack = 1e-9 * (1 + norms[0])[:, None] * (1 + norms[1])
+    known = np.full(len(q), -np.inf) if least is None else least
     found = []
     for a in range(0, len(q), SUB_BLOCK):
         rows = np.arange(a, min(a + SUB_BLOCK, len(q)))
-        own = q_ids[rows, None] == x_ids[None]
-        bound = levels[0][0][rows] @ levels[0][1].T + slack[rows]
-        bound[own] = -np.inf
-        # The exact scores of the candidates with the best coarse bounds give the k-th best score known.
-        n = min(4 * k, len(x_ids))
-        first = np.argpartition(-bound, n - 1, axis=1)[:, :n] if len(x_ids) else np.zeros((len(rows), 0), int)
-        score = np.einsum("qd,qnd->qn", exact_q[rows], exact_x[first]).astype(np.float64)
-        score[np.take_along_axis(own, first, 1)] = -np.inf
-        least = np.sort(score, axis=1)[:, -k] if n >= k else np.full(len(rows), -np.inf)
-        alive = (bound >= least[:, None]) & ~own
-        for of_q, of_x in levels[1:]:
-            i, j = np.nonzero(alive)
-            if len(i) > alive.size // 8:  # many survivors: bounds of all pairs at once are cheaper
-                alive &= of_q[rows] @ of_x.T + slack[rows] >= least[:, None]
-            else:
-                alive[i, j] = (of_q[rows][i] * of_x[j]).sum(1) + slack[rows[i], 0] >= least[i]
+        alive = q_ids[rows, None] != x_ids[None]
+        floor, passed = known[rows], []
+        for level, (of_q, of_x) in enumerate(levels):
+            bound = _products(of_q[rows], of_x, alive) + slack[rows]
+            if not level and len(x_ids) >= 4 * k:
+                # The exact scores of the candidates with the best coarse bounds give the k-th best score known here.
+                first = np.argpartition(-bound, 4 * k - 1, axis=1)[:, :4 * k]
+                score = np.einsum("qd,qnd->qn", exact_q[rows], exact_x[first]).astype(np.float64)
+                score[~np.take_along_axis(alive, first, 1)] = -np.inf
+                floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+            alive &= bound >= floor[:, None]
+            passed.append(int(alive.sum()))
+        if survivors is not None:
+            survivors.append(passed)
+        score = _products(exact_q[rows], exact_x, alive)
+        if score.shape[1] > k:  # the k best and what ties with the last of them; ids are in order, so ties come in order
+            alive &= score >= np.partition(score, -k, axis=1)[:, -k, None]
         i, j = np.nonzero(alive)
-        if len(i) > alive.size // 8:
-            s = (exact_q[rows] @ exact_x.T)[i, j]
-        else:
-            s = np.concatenate([(exact_q[rows[i[p]]] * exact_x[j[p]]).sum(1) for p in np.array_split(np.arange(len(i)), len(i) // 200_000 + 1)])
-        order = np.lexsort((j, -s, i))  # j is in order of ids
+        s = score[i, j] if not big else (exact_q[rows[i]] * exact_x[j]).sum(1)
+        order = np.lexsort((j, -s, i))
         i, j, s = i[order], j[order], s[order]
         start = np.searchsorted(i, np.arange(len(rows)))
         top = np.arange(len(i)) - start[i] < k if len(i) else np.zeros(0, bool)
@@ -76,6 +96,36 @@ def block_topk(q_ids, q, x_ids, x, k: int = K, segments=SEGMENTS):
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
 
+def principal_axes(rows: DataFrame, dim: int) -> np.ndarray:
+    """The principal axes of all rows (v), strongest first. Sums are added up by row of the matrix, so the driver gets one matrix."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim + 1, dim + 1))
+        for batch in batches:
+            for k in range(0, len(batch), 4_096):
+                v = np.hstack([_matrix(batch.column("v").slice(k, 4_096), dim).astype(np.float64), np.ones((min(4_096, len(batch) - k), 1))])
+                total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim + 1)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "sums"])
+
+    def added(t: pa.Table) -> pa.Table:
+        return pa.table({"i": t["i"].slice(0, 1), "sums": pa.array([np.sum(t["sums"].to_pylist(), axis=0)], pa.list_(pa.float64()))})
+
+    got = rows.select("v").mapInArrow(sums, "i long, sums array<double>").groupBy("i").applyInArrow(added, "i long, sums array<double>").toArrow().sort_by("i")
+    if not len(got):
+        return np.eye(dim)
+    m = np.array(got["sums"].to_pylist())
+    n, mean = max(m[-1, -1], 1), m[-1, :-1] / max(m[-1, -1], 1)
+    return np.linalg.eigh(m[:-1, :-1] / n - np.outer(mean, mean))[1][:, ::-1]
+
+
+def _matrix(v: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows, filled with zeros."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    size = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(v), dim), np.int64)
+    out[np.repeat(np.arange(len(v)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = v.flatten().to_numpy()
+    return out
+
+
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): the vectors that take part, each component x turned into floor(scale * x)."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -87,9 +137,7 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def _blocks(rows: DataFrame, n: int, prefix: str, dim: int) -> DataFrame:
     """One row per block: its number, ids and components as bytes."""
     def packed(t: pa.Table) -> pa.Table:
-        v = np.zeros((len(t), dim), np.int64)
-        for i, row in enumerate(t["v"].to_pylist()):
-            v[i, :len(row)] = row
+        v = _matrix(t["v"], dim)
         v = v.astype(np.int32) if abs(v).max(initial=0) < 2**31 else v
         return pa.table({f"{prefix}_block": t["block"].slice(0, 1), f"{prefix}_ids": [t["vec_id"].to_numpy().tobytes()],
                          f"{prefix}_v": [v.tobytes()], f"{prefix}_type": [v.dtype.str]})
@@ -113,18 +161,31 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale:
     n, n_q, dim = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % query_every == 0), F.max(F.size("v"))).first()
     n_blocks, dim = max(1, ceil(n / row_block)), max(dim or 0, 1)
     x = scratch.write(_blocks(rows, n_blocks, "x", dim), "blocks")
-    # Each block of queries meets every block of rows: the stated query set against all rows, in blocks.
-    q = _blocks(queries, max(1, ceil(n_q / query_block)), "q", dim).withColumn("x_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    axes = principal_axes(rows, dim)
+    q = scratch.write(_blocks(queries, max(1, ceil(n_q / query_block)), "q", dim), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ids = {p: np.frombuffer(r[f"{p}_ids"], np.int64) for p in "qx"}
                 v = {p: np.frombuffer(r[f"{p}_v"], r[f"{p}_type"]).reshape(-1, dim) for p in "qx"}
-                i, j, s = block_topk(ids["q"], v["q"].astype(np.int64), ids["x"], v["x"].astype(np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids["q"][i]), pa.array(ids["x"][j]), pa.array(s)], ["query_id", "vec_id", "score"])
+                least = np.frombuffer(r["least"], np.float64) if r["least"] else None
+                i, j, s = block_topk(ids["q"], v["q"].astype(np.int64), ids["x"], v["x"].astype(np.int64), k, axes=axes, least=least)
+                kth = np.full(len(ids["q"]), -np.inf)
+                n_of = np.bincount(i, minlength=len(kth))
+                kth[n_of == k] = s[(np.cumsum(n_of) - 1)[n_of == k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), pa.array([kth.tobytes()]), pa.array([ids["q"][i]], pa.list_(pa.int64())),
+                                                  pa.array([ids["x"][j]], pa.list_(pa.int64())), pa.array([s], pa.list_(pa.int64()))],
+                                                 ["q_block", "least", "query_ids", "vec_ids", "scores"])
 
+    # Each block of queries meets every block of rows: the stated query set against all rows, in blocks.
+    schema = "q_block long, least binary, query_ids array<long>, vec_ids array<long>, scores array<long>"
+    home = F.pmod("q_block", F.lit(n_blocks))
+    at_home = q.withColumn("x_block", home).withColumn("least", F.lit(None).cast("binary"))
+    seeds = scratch.write(at_home.join(x, "x_block").repartition("q_block").mapInArrow(search, schema), "seeds")
+    others = (q.join(seeds.select("q_block", "least"), "q_block", "left").withColumn("x_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+              .where(F.col("x_block") != home))
+    found = seeds.unionByName(others.join(x, "x_block").repartition("q_block", "x_block").mapInArrow(search, schema))
+    found = found.select(F.inline(F.arrays_zip(F.col("query_ids").alias("query_id"), F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (q.join(x, "x_block").repartition("q_block", "x_block").mapInArrow(search, "query_id long, vec_id long, score long")
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
