@@ -5,8 +5,13 @@ A chain is sequential within its case and parallel over cases; verification need
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def ascii_escaped(json: Column) -> Column:
@@ -48,17 +53,28 @@ EVENT = ("case_id", "event_sequence", "event_type", "event_timestamp", "actor_ty
 def build_chain(events: DataFrame) -> DataFrame:
     """A3, A4: events (as EVENT, without a sequence, with `place` for order) numbered and linked within each case.
 
-    All text of an event but the link is put together in parallel; only the digests are folded in order.
+    All text of an event but the link is put together in parallel; the digests are folded in order over the rows of a
+    case as they stream by, so of a case only its last digest is held, however long it is.
     """
-    rows = events.withColumn("event_sequence", F.row_number().over(Window.partitionBy("case_id").orderBy("place")))
-    rows = rows.withColumn("head", F.regexp_replace(event_json(F.col("metadata"), F.lit(None).cast("string")), r"null\}$", ""))
-    cases = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_sequence", "head"))).alias("heads"))
-    start = F.array().cast("array<string>")
-    link = lambda acc: F.coalesce(F.concat(F.lit('"'), F.try_element_at(acc, F.lit(-1)), F.lit('"')), F.lit("null"))
-    hashes = F.aggregate("heads", start, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(x["head"], link(acc), F.lit("}")), 256))))
-    chain = cases.select("case_id", F.posexplode(hashes).alias("at", "event_hash"), hashes.alias("all")).select(
-        "case_id", (F.col("at") + 1).alias("event_sequence"), F.get("all", F.col("at") - 1).alias("previous_event_hash"), "event_hash")
-    return rows.drop("head", "place").join(chain, ["case_id", "event_sequence"])
+    rows = events.repartition("case_id").withColumn("event_sequence", F.row_number().over(Window.partitionBy("case_id").orderBy("place")))
+    rows = rows.withColumn("head", F.regexp_replace(event_json(F.col("metadata"), F.lit(None).cast("string")), r"null\}$", "")).drop("place")
+    rows = rows.sortWithinPartitions("case_id", "event_sequence")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, last = None, None
+        for batch in batches:
+            before, digests = [], []
+            for c, head in zip(batch.column("case_id").to_pylist(), batch.column("head").to_pylist(), strict=True):
+                last = last if c == case else None
+                before.append(last)
+                case, last = c, hashlib.sha256((head + (f'"{last}"' if last else "null") + "}").encode()).hexdigest()
+                digests.append(last)
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "head"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(before, pa.string()), pa.array(digests, pa.string())],
+                                             [*[batch.schema.names[i] for i in kept], "previous_event_hash", "event_hash"])
+
+    schema = StructType([*rows.drop("head").schema.fields, StructField("previous_event_hash", StringType()), StructField("event_hash", StringType())])
+    return rows.mapInArrow(linked, schema)
 
 
 def verify_rows(chain: DataFrame) -> DataFrame:

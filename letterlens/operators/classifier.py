@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = 5_000
-GRID = tuple((c, n) for n in (5_000, 8_000) for c in (0.1, 1.0, 10.0))
+#: The candidates (C, vocabulary) in order.
+GRID = ((0.5, 5_000), (1.0, 5_000), (5.0, 5_000), (10.0, 5_000), (5.0, 8_000), (10.0, 8_000))
 # Accented letters with the plain letters they fold to, and the thresholds of predictions.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -154,3 +155,17 @@ def grid_search(train: DataFrame, validation: DataFrame, grid=GRID) -> tuple[Tex
         if best is None or f1 > best["f1"]:
             best = tried[-1]
     return fit(train.unionByName(validation), best["c"], best["size"]), tried
+
+
+def model_card(model: TextModel, parts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: samples per split, terms, metrics on the test split, and a digest of the model's numbers.
+
+    parts: doc, text, label, split. The digest is of the terms, at most as many as the vocabulary, in order.
+    """
+    n = {r.split: r.n for r in parts.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    test = parts.where("split = 'test'")
+    scored = score(test, model).join(test.select("doc", "label"), "doc")
+    row = F.format_string("%s=%.6f", "term", "coefficient")
+    digest = model.terms.agg(F.sha2(F.concat_ws("\n", F.lit(f"{model.intercept:.6f}"), F.array_sort(F.collect_list(row))), 256).alias("model_sha256"), F.count("*").alias("terms"))
+    counts_ = digest.select("*", *[F.lit(n.get(s, 0)).cast("long").alias(f"{s}_samples") for s in ("train", "validation", "test")])
+    return counts_.crossJoin(evaluate(scored, threshold)).crossJoin(roc_auc(scored))  # one row each

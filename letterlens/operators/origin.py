@@ -5,6 +5,10 @@ A message's hops are unfolded within its row; only distinct origins meet the fee
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,12 @@ RANGES_V4 = (
     ("GLOBAL", ("192.0.0.9/32", "192.0.0.10/32")),
     ("PRIVATE", ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "240.0.0.0/4")),
     ("MULTICAST", ("224.0.0.0/4",)), ("RESERVED", ("100.64.0.0/10",)))
+RANGES_V6 = (
+    ("DOCUMENTATION", ("2001:db8::/32",)), ("LOOPBACK", ("::1/128",)), ("LINK_LOCAL", ("fe80::/10",)),
+    ("GLOBAL", ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")),
+    ("PRIVATE", ("::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2002::/16", "fc00::/7")),
+    ("MULTICAST", ("ff00::/8",)),
+    ("RESERVED", ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")))
 ORIGIN_CLASSES = ("GLOBAL", "DOCUMENTATION")
 
 
@@ -46,16 +56,50 @@ def ipv4_number(ip: Column) -> Column:
 
 
 def classify_ip(ip: Column) -> Column:
-    """The class of an address; INVALID for what is none (leading zeros included)."""
+    """The class of an address; INVALID for what is none (leading zeros included).
+
+    Its number or digits are made once, as the argument of a function that tests the ranges.
+    """
     ip = F.lower(F.regexp_replace(F.trim(ip), r"^\[(.*)\]$", "$1"))
-    n, v4 = ipv4_number(ip), None
-    for name, first, last in ranges():
-        test = n.between(F.lit(first), F.lit(last))
-        v4 = F.when(test, name) if v4 is None else v4.when(test, name)
-    v6 = (F.when(ip.rlike("^2001:0?db8(:|$)"), "DOCUMENTATION").when(ip.rlike(r"^(0*:)*:?0*1$") & ip.rlike("::|^(0+:){7}"), "LOOPBACK")
-          .when(ip.rlike("^fe[89ab][0-9a-f]:"), "LINK_LOCAL").when(ip.rlike("^f[cd][0-9a-f]{2}:|^::$"), "PRIVATE").when(ip.rlike("^ff[0-9a-f]{2}:"), "MULTICAST")
-          .when(ip.rlike("^[23][0-9a-f]{3}:"), "GLOBAL").otherwise("RESERVED"))
-    return F.when(ip.rlike(IPV4), v4.otherwise("GLOBAL")).when(F.contains(ip, F.lit(":")), v6).otherwise("INVALID")
+    key = F.struct(F.when(ip.rlike(IPV4), ipv4_number(ip)).alias("n"), F.when(F.contains(ip, F.lit(":")), ipv6_hex(ip)).alias("digits"))
+    return F.get(F.transform(F.array(key), _class_of), F.lit(0))
+
+
+def _class_of(key: Column) -> Column:
+    def v4(n: Column) -> Column:
+        out = F.when(n.isNull(), None)
+        for name, first, last in ranges():
+            out = out.when(n.between(F.lit(first), F.lit(last)), name)
+        return out.otherwise("GLOBAL")
+    held = v4(F.conv(F.substring(key.digits, 25, 8), 16, 10).cast("bigint"))  # of an address that holds an IPv4 address
+    v6 = F.when(key.digits.isNull(), "INVALID").when(key.digits.startswith("0" * 20 + "ffff"), F.when(held == "DOCUMENTATION", "PRIVATE").when(
+        held.isin("LOOPBACK", "LINK_LOCAL", "PRIVATE", "MULTICAST"), held).otherwise("RESERVED"))
+    for name, nets in RANGES_V6:
+        v6 = v6.when(reduce(or_, (_in_net(key.digits, n) for n in nets)), name)
+    return F.when(key.n.isNotNull(), v4(key.n)).otherwise(v6.otherwise("GLOBAL"))
+
+
+def ipv6_hex(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in lower case; null for what is none."""
+    quad = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    n = F.when(quad.rlike(IPV4), ipv4_number(quad))
+    tail = F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+    text = F.when(quad == "", ip).otherwise(F.concat(F.regexp_replace(ip, r"[^:]*$", ""), tail))
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+    padded = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+    zeros = F.repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right))
+    short = F.contains(text, F.lit("::")) & (F.size(left) + F.size(right) <= 7)
+    valid = ~text.rlike(":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}|[^0-9a-f:]")
+    return F.when(valid & short, F.concat(padded(left), zeros, padded(right))).when(
+        valid & ~F.contains(text, F.lit("::")) & (F.size(left) == 8), padded(left))
+
+
+def _in_net(digits: Column, net: str) -> Column:
+    """Whether 32 hexadecimal digits lie in a network, from its first and last address."""
+    n = ipaddress.ip_network(net)
+    first, last = f"{int(n[0]):032x}", f"{int(n[-1]):032x}"
+    return digits.between(F.lit(first), F.lit(last))
 
 
 def _hop(header: Column, hop: Column) -> Column:
@@ -107,3 +151,8 @@ def enrich(origins: DataFrame, geo: DataFrame, intel: DataFrame) -> DataFrame:
 
 def trace_origin(parsed: DataFrame, geo: DataFrame, intel: DataFrame) -> DataFrame:
     return enrich(select_origin(candidates(parsed)), geo, intel)
+
+
+def is_reserved_or_documentation(ip: Column) -> Column:
+    """Whether an address is of a documentation, loopback, link-local or private range; not so what is no address."""
+    return classify_ip(ip).isin("DOCUMENTATION", "LOOPBACK", "LINK_LOCAL", "PRIVATE")

@@ -197,8 +197,37 @@ _EVENTS = ("ev AS (SELECT 'CASE-' || lpad(user_id || '', 10, '0') AS case_id, ro
            "chn AS (SELECT case_id, seq, CAST(NULL AS VARCHAR) AS prev, sha256(head || 'null}') AS hash FROM ev WHERE seq = 1\n"
            "  UNION ALL SELECT ev.case_id, ev.seq, c.hash, sha256(ev.head || '\"' || c.hash || '\"}') FROM chn c JOIN ev ON ev.case_id = c.case_id AND ev.seq = c.seq + 1)")
 
+_TAMPERED = ("tam AS (SELECT case_id, CASE WHEN n % 37 = 0 THEN seq - 1 ELSE seq END AS seq, prev, hash, n FROM (SELECT *, CAST('0x' || substr(hash, 1, 4) AS INTEGER) AS n FROM chn) x WHERE n % 31 <> 0),\n"
+             "ord AS (SELECT *, row_number() OVER w AS expected, lag(hash) OVER w AS before FROM tam WINDOW w AS (PARTITION BY case_id ORDER BY seq, hash)),\n"
+             "bad AS (SELECT case_id, seq, 'sequence_anomaly' AS error_type FROM ord WHERE seq <> expected UNION ALL SELECT case_id, seq, 'previous_hash_mismatch' FROM ord WHERE prev IS DISTINCT FROM before\n"
+             "  UNION ALL SELECT case_id, seq, 'event_hash_mismatch' FROM ord WHERE n % 23 = 0 OR n % 37 = 0)")
+
+
+def _life() -> str:
+    """CTE life: the events of a case's analysis as a list."""
+    stage = lambda s, ok: f"'{s}_STARTED', CASE WHEN {ok} THEN '{s}_COMPLETED' ELSE '{s}_FAILED' END"
+    rest = ", ".join(stage(s, ok) for s, ok in (("RULES", "true"), ("ML", "k % 17 <> 0"), ("IOC", "true"), ("GEO", "k % 23 <> 0"), ("CORRELATION", "true")))
+    good, bad = (f"[{rest}, 'CASE_ANALYSIS_COMPLETED', CASE WHEN k % 29 <> 0 THEN 'EVIDENCE_INTEGRITY_VERIFIED' ELSE 'EVIDENCE_INTEGRITY_FAILURE' END]", "['CASE_ANALYSIS_FAILED']")
+    return (f"life AS (SELECT case_id, (CASE WHEN k % 7 = 0 THEN ['ANALYSIS_RERUN'] ELSE [] END) || ['PROCESSING_STARTED', {stage('PARSER', "from_domain <> ''")}] || "
+            f"(CASE WHEN from_domain <> '' THEN {good} ELSE {bad} END) AS e, from_domain <> '' AS parsed FROM mail)")
+
 
 ORACLES = {
+    "a_lifecycle": f"{oracle_ctes()},\n{_life()}\nSELECT case_id, CAST(generate_subscripts(e, 1) AS INTEGER) AS event_sequence, unnest(e) AS event_type FROM life",
+    "v_status": f"{oracle_ctes()},\n{_life()}\nSELECT case_id, CASE WHEN parsed THEN 'completed' ELSE 'failed' END AS status FROM life",
+    "m_leaks": f"WITH {samples_cte()}\nSELECT count(*) AS samples, count(*) FILTER (regexp_matches(text, 'label=[01]|PHISHING_LABEL')) AS leaks FROM smp",
+    "v_geo": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT mail.case_id, coalesce(org.status, 'NO_CANDIDATE') AS status, selected_origin_ip, coalesce(confidence, 'UNKNOWN') AS confidence, coalesce(total_hops, 0) AS total_hops, "
+             "country_code, coalesce(intel_source, 'unmatched') AS intel_source FROM mail LEFT JOIN (SELECT * FROM org WHERE selected_origin_ip IS NOT NULL) org ON org.case_id = mail.case_id",
+    "v_reserved_ips": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT DISTINCT ip, regexp_matches(ip, '^(10|127|192\\.168|192\\.0\\.2|198\\.51\\.100|203\\.0\\.113|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])|24[0-9]|25[0-5]|0)\\.') AS reserved FROM cnd",
+    "a_provenance": f"""{match_ctes()},
+{origin_ctes()},
+aset AS (SELECT case_id, sha256('[' || string_agg('{{"filename":"' || filename || '","sha256":"' || sha256 || '","size":' || size || '}}', ',' ORDER BY filename, sha256, size) || ']') AS h FROM att GROUP BY case_id),
+fv AS (SELECT case_id, min(feed_version) AS feed_version FROM hit GROUP BY case_id)
+SELECT mail.case_id, sha256(body_text) AS raw_evidence_sha256, CASE WHEN from_domain <> '' THEN '1.0.0' END AS parser_version, '1.0.0' AS rules_engine_version,
+  CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_model_version, CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_preprocessing_version, fv.feed_version AS ioc_feed_version,
+  CASE WHEN fv.case_id IS NOT NULL THEN '1.0.0' END AS ioc_engine_version, CASE WHEN selected_origin_ip IS NOT NULL THEN '1.0.0' END AS geo_analysis_version,
+  '1.0.0' AS correlation_engine_version, '1.0.0' AS correlation_policy_version, CASE WHEN from_domain <> '' THEN aset.h END AS attachment_manifest_sha256
+FROM mail LEFT JOIN fv ON fv.case_id = mail.case_id LEFT JOIN org ON org.case_id = mail.case_id LEFT JOIN aset ON aset.case_id = mail.case_id""",
     "c_entities": f"{correlation_ctes()}\nSELECT * FROM ent",
     "c_assessments": f"{correlation_ctes()}\nSELECT case_id, rules_signal, ml_signal, ioc_signal, geo_signal, coverage, cross_entities, severe, final_score, final_assessment, correlation_confidence, conflicts FROM cor",
     "c_top_evidence": f"""{correlation_ctes()},
@@ -222,7 +251,7 @@ FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.ca
     "m_profile": f"WITH {samples_cte()}\nSELECT source, count(*) AS messages, count(*) FILTER (usable) AS usable, count(*) FILTER (NOT usable) AS short, count(*) - count(DISTINCT content_hash) AS duplicates, "
                  "count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM smp GROUP BY source",
     "m_vocabulary": "WITH " + _TERMS.replace("{n}", "5000") + "\nSELECT * FROM voc",
-    "m_tfidf": "WITH " + _TERMS.replace("{n}", "500") + ",\nrw AS (SELECT doc, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term))\n"
+    "m_tfidf": "WITH " + _TERMS.replace("{n}", "5000") + ",\nrw AS (SELECT doc, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term))\n"
                "SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM rw",
     "m_predictions": f"WITH {samples_cte()},\n{_SCORED},\nq AS (SELECT doc, source, label, CASE WHEN doc % 50 <> 0 THEN probability ELSE 0.5 END AS probability, CASE WHEN doc % 50 <> 0 THEN 'ready' ELSE 'insufficient_text' END AS model_status FROM sc)\n"
                      "SELECT *, CASE WHEN probability < 0.30 THEN 'LEGITIMATE' WHEN probability > 0.70 THEN 'PHISHING' ELSE 'UNCERTAIN' END AS prediction, "
@@ -235,7 +264,10 @@ FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.ca
     "m_errors": f"WITH {samples_cte()},\n{_SCORED},\nk AS (SELECT doc, probability, CASE WHEN probability >= 0.5 AND label = 0 THEN 'false_positive' WHEN probability < 0.5 AND label = 1 THEN 'false_negative' END AS kind FROM sc)\n"
                 "SELECT * FROM (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY doc) AS INTEGER) AS rank, doc, probability FROM k WHERE kind IS NOT NULL) x WHERE rank <= 10",
     "a_chain": f"WITH RECURSIVE {_EVENTS}\nSELECT chn.case_id, CAST(chn.seq AS INTEGER) AS event_sequence, ev.event_type, chn.prev AS previous_event_hash, chn.hash AS event_hash FROM chn JOIN ev USING (case_id, seq)",
-    "a_verify_cases": f"WITH RECURSIVE {_EVENTS}\nSELECT case_id, true AS valid, count(*) AS event_count, CAST(0 AS BIGINT) AS errors, arg_min(hash, seq) AS first_event_hash, arg_max(hash, seq) AS last_event_hash FROM chn GROUP BY case_id",
+    "a_verify_cases": f"WITH RECURSIVE {_EVENTS},\n{_TAMPERED}\nSELECT c.case_id, coalesce(e.n, 0) = 0 AS valid, coalesce(t.n, 0) AS event_count, coalesce(e.n, 0) AS errors, first_event_hash, last_event_hash "
+                      "FROM (SELECT DISTINCT case_id FROM chn) c LEFT JOIN (SELECT case_id, count(*) AS n, arg_min(hash, (seq, hash)) AS first_event_hash, arg_max(hash, (seq, hash)) AS last_event_hash FROM tam GROUP BY 1) t "
+                      "ON t.case_id = c.case_id LEFT JOIN (SELECT case_id, count(*) AS n FROM bad GROUP BY 1) e ON e.case_id = c.case_id",
+    "a_verify_rows": f"WITH RECURSIVE {_EVENTS},\n{_TAMPERED}\nSELECT case_id, CAST(seq AS INTEGER) AS event_sequence, error_type FROM bad",
     "a_runs": "WITH e AS (SELECT 'CASE-' || lpad(user_id || '', 10, '0') AS case_id, event_type AS engine, ts AS started_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS finished_at FROM events),\n"
               "n AS (SELECT *, row_number() OVER (PARTITION BY case_id, engine ORDER BY started_at, finished_at NULLS FIRST) AS n FROM e)\n"
               "SELECT case_id, engine, 'RUN-' || case_id || '-' || engine || '-' || n AS run_id, CAST(n AS INTEGER) AS n, epoch_us(finished_at - started_at) // 1000 AS duration_ms FROM n",

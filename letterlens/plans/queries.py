@@ -13,6 +13,7 @@ from letterlens.operators import correlation as C
 from letterlens.operators import corpus as K
 from letterlens.operators import indicators as I
 from letterlens.operators import origin as G
+from letterlens.operators import lifecycle as L
 from letterlens.operators import rules as R
 from letterlens.operators import views as W
 from letterlens.sources import feeds as FE
@@ -170,7 +171,7 @@ def m_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 def m_tfidf(spark: SparkSession, d: str) -> DataFrame:
     tf = _term_counts(spark, d)
-    return M.tfidf(tf, M.vocabulary(tf, 500), spark.read.parquet(f"{d}/documents.parquet").count()).select("doc", "term", F.round("weight", 6).alias("weight"))
+    return M.tfidf(tf, M.vocabulary(tf), spark.read.parquet(f"{d}/documents.parquet").count()).select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
 def _given_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +204,7 @@ def m_trained_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on the train split, measured on the test split."""
     parts = K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split")
     test = parts.where("split = 'test'")
-    scored = M.score(test, M.fit(parts.where("split = 'train'"), 1.0, 2_000)).join(test.select("doc", "label"), "doc")
+    scored = M.score(test, M.fit(parts.where("split = 'train'"))).join(test.select("doc", "label"), "doc")
     return M.evaluate(scored).crossJoin(M.roc_auc(scored))
 
 
@@ -222,7 +223,7 @@ def a_chain(spark: SparkSession, d: str) -> DataFrame:
 def _tampered(spark: SparkSession, d: str) -> DataFrame:
     """A chain in which messages were changed, rows deleted and numbers repeated."""
     chain = A.build_chain(_events(spark, d))
-    n = F.crc32("event_hash")
+    n = F.conv(F.substring("event_hash", 1, 4), 16, 10).cast("int")
     return (chain.withColumn("message", F.when(n % 23 == 0, F.concat("message", F.lit("!"))).otherwise(F.col("message"))).where(n % 31 != 0)
             .withColumn("event_sequence", F.when(n % 37 == 0, F.col("event_sequence") - 1).otherwise(F.col("event_sequence"))))
 
@@ -232,8 +233,7 @@ def a_verify_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a_verify_cases(spark: SparkSession, d: str) -> DataFrame:
-    chain = A.build_chain(_events(spark, d))
-    return A.verify_cases(chain.select("case_id").distinct(), chain)
+    return A.verify_cases(_events(spark, d).select("case_id").distinct(), _tampered(spark, d))
 
 
 def a_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -285,6 +285,80 @@ def v_latest_event(spark: SparkSession, d: str) -> DataFrame:
     return W.latest_by(e.select(F.col("user_id").alias("case_id"), "ts", "event_id", "event_type"), "ts", "event_id").select("case_id", "event_id", "event_type")
 
 
+def _lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the derived mail: without a sender the parser counts as failed, without enough text the classifier."""
+    mail = V.flat_mail(spark, d)
+    yes = F.lit(True)
+    outcomes = mail.select("case_id", "k", (F.col("from_domain") != "").alias("parser"), yes.alias("rules"), (F.col("k") % 17 != 0).alias("ml"), yes.alias("ioc"),
+                           F.when(F.col("k") % 23 != 0, yes).alias("geo"), yes.alias("correlation"), (F.col("k") % 29 != 0).alias("intact"))
+    return L.lifecycle_events(outcomes, F.col("k") % 7 == 0)
+
+
+def a_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return _lifecycle(spark, d)
+
+
+def a_provenance(spark: SparkSession, d: str) -> DataFrame:
+    flat, mail = V.flat_mail(spark, d), V.parsed_mail(spark, d)
+    cases = flat.select("case_id", F.sha2("body_text", 256).alias("raw_evidence_sha256"))
+    ready = _stored_ml(spark, d).where("model_status = 'ready'")
+    return L.provenance(cases, mail.where("sender.domain <> ''"), mail, ready, i_matches(spark, d), G.select_origin(G.candidates(mail)).where("selected_origin_ip is not null"), mail)
+
+
+def v_status(spark: SparkSession, d: str) -> DataFrame:
+    return L.case_status(_lifecycle(spark, d))
+
+
+def v_geo(spark: SparkSession, d: str) -> DataFrame:
+    return W.geo_view(V.flat_mail(spark, d), _origins(spark, d).where("selected_origin_ip is not null"))
+
+
+def v_reserved_ips(spark: SparkSession, d: str) -> DataFrame:
+    return G.candidates(V.parsed_mail(spark, d)).select(F.explode("candidate_ips.ip").alias("ip")).distinct().withColumn("reserved", G.is_reserved_or_documentation(F.col("ip")))
+
+
+def v_manifest(spark: SparkSession, d: str) -> DataFrame:
+    rows = a_manifest(spark, d)
+    return W.manifest_view(rows, A.composite_hash(rows))
+
+
+def v_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return W.correlation_view(V.flat_mail(spark, d), _assessed(spark, d))
+
+
+def m_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return K.leaks(_samples(spark, d))
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split")
+
+
+def m_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document scored by the model that is fitted on the train split."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    scored = M.score(docs, M.fit(_splits(spark, d).where("split = 'train'")))
+    return M.with_fallbacks(scored, F.lit(True), F.lit(True)).select("doc", "probability", "prediction", "confidence", "model_status")
+
+
+def m_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that speak most for each side in every document."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    return M.explain(M.contributions(docs, M.fit(_splits(spark, d).where("split = 'train'"))))
+
+
+def m_grid(spark: SparkSession, d: str) -> DataFrame:
+    """F1 on the validation split of each candidate of the grid."""
+    parts = _splits(spark, d)
+    _, tried = M.grid_search(parts.where("split = 'train'"), parts.where("split = 'validation'"))
+    return spark.createDataFrame([(i, t["c"], t["size"], t["terms"], t["f1"]) for i, t in enumerate(tried)], "candidate int, c double, size int, terms long, f1 double")
+
+
+def m_model_card(spark: SparkSession, d: str) -> DataFrame:
+    parts = _splits(spark, d)
+    return M.model_card(M.fit(parts.where("split = 'train'")), parts)
+
+
 def v_timeline(spark: SparkSession, d: str) -> DataFrame:
     return a_chain(spark, d).orderBy("case_id", "event_sequence")
 

@@ -18,6 +18,7 @@ from letterlens.operators import rules as R
 from letterlens.operators import views as W
 from letterlens.sources import feeds as FE
 from letterlens.sources import mail as S
+from letterlens.operators import lifecycle as L
 from letterlens.streaming import append_chain, read_mail_stream, run_intake
 
 PARSED = S.RAW + ", urls array<string>"
@@ -349,3 +350,46 @@ def test_html_text_and_views(spark):
     v = W.overview(df).first()
     assert v.sender == "Ann <a@corp.example>" and v.snippet == "x" * 500 + "..."
     assert W.executive_summary(df, spark.createDataFrame([], "case_id string, final_score double, final_assessment string, correlation_confidence string")).first().assessment == "PENDING"
+
+
+IPV6 = {"2002::1": "PRIVATE", "2001::1": "PRIVATE", "2001:10::1": "PRIVATE", "100::1": "PRIVATE", "::ffff:10.0.0.1": "PRIVATE", "::ffff:127.0.0.1": "LOOPBACK", "::ffff:8.8.8.8": "RESERVED",
+        "zz:1": "INVALID", "::::": "INVALID", "1::2::3": "INVALID", "12345::1": "INVALID", "1:2:3:4:5:6:7": "INVALID", "::1": "LOOPBACK", "::": "PRIVATE", "fe80::1": "LINK_LOCAL", "fc00::5": "PRIVATE",
+        "ff02::1": "MULTICAST", "2a00:1450::1": "GLOBAL", "2001:db8::5": "DOCUMENTATION", "64:ff9b::1": "RESERVED", "4000::1": "RESERVED", "2001:20::1": "GLOBAL"}
+
+
+def test_classes_of_ipv6_addresses(spark):
+    rows = spark.createDataFrame([(k,) for k in IPV6], "ip string").select("ip", G.classify_ip(F.col("ip")).alias("c"), G.is_reserved_or_documentation(F.col("ip")).alias("r")).collect()
+    assert {r.ip: r.c for r in rows} == IPV6
+    assert {r.ip for r in rows if r.r} == {k for k, c in IPV6.items() if c in ("DOCUMENTATION", "LOOPBACK", "LINK_LOCAL", "PRIVATE")}
+
+
+def test_rerun_without_rows_leaves_none(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "case_id string, v int")
+    S.write_results(rows, str(tmp_path / "r"))
+    S.write_results(rows.where("case_id = 'z'"), str(tmp_path / "r"), cases=rows.where("case_id = 'a'"))
+    assert [tuple(r) for r in S.latest(spark, str(tmp_path / "r")).select("case_id", "v").collect()] == [("b", 1)]
+
+
+def test_splits_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "train"), ("y", "test")], "text string, split string")
+    S.write_splits(rows, str(tmp_path / "s"))
+    assert {tuple(r) for r in S.read_splits(spark, str(tmp_path / "s"), "text string").select("text", "split").collect()} == {("x", "train"), ("y", "test")}
+
+
+def test_messages_without_sender_and_nameless_parts():
+    raw = b"To: a@b.c\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=x\r\n\r\n--x\r\nContent-Type: text/plain\r\n\r\nhi\r\n--x\r\nContent-Type: application/pdf\r\n\r\nzz\r\n--x--\r\n"
+    got = S.parse_bytes("c", raw)
+    assert got["sender"] is None and [a["filename"] for a in got["attachments"]] == ["attachment_1"] and got["body_text"].strip() == "hi"
+
+
+def test_lifecycle_of_failed_and_forced_cases(spark):
+    rows = [("ok", True, True, True, True, True, True, True), ("bad", False, True, True, True, True, True, True), ("part", True, True, None, True, False, True, False)]
+    df = spark.createDataFrame(rows, "case_id string, parser boolean, rules boolean, ml boolean, ioc boolean, geo boolean, correlation boolean, intact boolean")
+    events = L.lifecycle_events(df, F.col("case_id") == "ok")
+    got = {}
+    for r in sorted(events.collect(), key=lambda r: r.event_sequence):
+        got.setdefault(r.case_id, []).append(r.event_type)
+    assert got["bad"] == ["PROCESSING_STARTED", "PARSER_STARTED", "PARSER_FAILED", "CASE_ANALYSIS_FAILED"]
+    assert got["ok"][0] == "ANALYSIS_RERUN" and got["ok"][-2:] == ["CASE_ANALYSIS_COMPLETED", "EVIDENCE_INTEGRITY_VERIFIED"] and len(got["ok"]) == 16
+    assert {"ML_FAILED", "GEO_FAILED", "EVIDENCE_INTEGRITY_FAILURE"} < set(got["part"])
+    assert {r.case_id: r.status for r in L.case_status(events).collect()} == {"ok": "completed", "bad": "failed", "part": "completed"}
