@@ -331,7 +331,8 @@ def m_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
-    return K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split")
+    """The split samples, kept in memory as a fit reads them many times."""
+    return K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split").cache()
 
 
 def m_scores(spark: SparkSession, d: str) -> DataFrame:
