@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Elements whose content is not seen, and named entities.
 HIDDEN = ("script", "style", "head", "title", "meta")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Elements whose text holds no links for a reader of the whole text.
+CODE = ("script", "style", "template")
 HTTP = r"https?://[^\s<>\"']+"
 
 
@@ -18,20 +20,38 @@ def clean_space(text: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """The text of HTML without hidden elements and tags, parts joined by blanks."""
+    return clean_space(unescaped(_without_tags(html, HIDDEN[:-1])))
+
+
+def _without_tags(html: Column, hidden: tuple[str, ...]) -> Column:
     t = F.coalesce(html, F.lit(""))
-    for tag in HIDDEN[:-1]:
+    for tag in hidden:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return clean_space(t)
+    return F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+
+
+def unescaped(text: Column) -> Column:
+    """Entities as their characters: numeric ones by code point (what is no character stays), then the named ones."""
+    def char(digits: Column) -> Column:
+        n = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).try_cast("bigint")
+        good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), 1))
+    decoded = F.aggregate(numbers, text, lambda t, d: F.replace(t, F.concat(F.lit("&#"), d, F.lit(";")), F.coalesce(char(d), F.concat(F.lit("&#"), d, F.lit(";")))))
+    t = F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+    for name, plain in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(plain))
+    return t
 
 
 def extract_urls(text: Column, html: Column) -> Column:
-    """Links in the text, in href attributes and in the visible text, without trailing marks, first seen first."""
+    """Links in the text, in href attributes and in the text of the HTML, without trailing marks, first seen first.
+
+    Entities are decoded in attributes and text alike.
+    """
     found = lambda c, p, g: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), g)
     hrefs = found(html, r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    every = F.concat(found(text, f"(?i){HTTP}", 0), hrefs, found(visible_text(html), f"(?i){HTTP}", 0))
+    every = F.concat(found(text, f"(?i){HTTP}", 0), F.transform(hrefs, unescaped), found(unescaped(_without_tags(html, CODE)), f"(?i){HTTP}", 0))
     bare = F.transform(every, lambda u: F.regexp_replace(u, r"[.,;:)\]>'\"]+$", ""))
     return F.array_distinct(F.filter(bare, lambda u: u.rlike("(?i)^https?://.")))
 

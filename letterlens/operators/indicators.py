@@ -48,11 +48,12 @@ def match_indicators(indicators: DataFrame, feed: DataFrame, sources: list[str]
     """Every indicator against every source. No match is not_found with confidence 0, never benign.
 
     feed: source, ioc_type, normalized_value, status, confidence, reason, feed_version, one row per source and value.
-    A source named in `sources` without any row has status error for all indicators (I16).
+    A source named in `sources` without any row has status error for all indicators (I16). The digest of a feed's bytes,
+    feed_sha256, goes along if the feed has it (I13).
     """
     known = {r.source: r.n for r in feed.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sources or sorted(known)
-    side = feed.select("source", "ioc_type", "normalized_value", "status", "confidence", "reason", "feed_version")
+    side = feed.select("source", "ioc_type", "normalized_value", "status", "confidence", "reason", "feed_version", *[c for c in feed.columns if c == "feed_sha256"])
     side = F.broadcast(side) if sum(known.values()) <= BROADCAST_ROWS else side
     empty = F.col("source").isin(*[s for s in names if not known.get(s)])
     each = indicators.withColumn("source", F.explode(F.array(*map(F.lit, names))))
@@ -63,8 +64,10 @@ def match_indicators(indicators: DataFrame, feed: DataFrame, sources: list[str]
 def summarise(matches: DataFrame) -> DataFrame:
     """Per case the indicators and their outcomes, feed versions, and whether feeds disagree on a value.
 
-    The outcome of a value is aggregated per case and value first, then per case.
+    The outcome of a value is aggregated per case and value first, then per case. With feed_sha256 in matches there is
+    feed_hashes too.
     """
+    stamps = [s for s in (("feed_version", "versions", "feed_versions"), ("feed_sha256", "hashes", "feed_hashes")) if s[0] in matches.columns]
     flag = lambda s: F.bool_or(F.col("status") == s)
     value = matches.groupBy("case_id", "ioc_type", "normalized_value").agg(
         F.collect_set("ioc_id").alias("ids"), F.count_if(~F.col("status").isin("not_found", "error")).alias("matched"), F.count_if(F.col("status") == "known_malicious").alias("malicious"),
@@ -72,8 +75,8 @@ def summarise(matches: DataFrame) -> DataFrame:
         (flag("known_malicious") & flag("known_benign")).alias("disputed"),
         F.max(F.when(F.col("status") == "known_malicious", F.col("confidence"))).alias("malicious_confidence"),
         F.max(F.when(F.col("status") == "suspicious", F.col("confidence"))).alias("suspicious_confidence"),
-        flag("known_benign").alias("benign"), F.collect_set("feed_version").alias("versions"))
+        flag("known_benign").alias("benign"), *[F.collect_set(c).alias(a) for c, a, _ in stamps])
     return value.groupBy("case_id").agg(
         F.sum(F.size("ids")).alias("total_indicators"), *[F.sum(c).alias(c) for c in ("matched", "malicious", "suspicious", "not_found")],
         F.bool_or("disputed").alias("disputed"), F.max("malicious_confidence").alias("malicious_confidence"), F.max("suspicious_confidence").alias("suspicious_confidence"),
-        F.bool_or("benign").alias("benign"), F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions"))))).alias("feed_versions"))
+        F.bool_or("benign").alias("benign"), *[F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list(a))))).alias(out) for _, a, out in stamps])

@@ -33,6 +33,7 @@ HIDDEN = (".exe", ".scr", ".bat", ".cmd", ".js", ".vbs", ".ps1", ".hta", ".jar",
 LURES = ("invoice", "payment", "receipt", "remittance", "wire", "bill", "statement", "order", r"po[_-]?\d+", "refund")
 CAPS = {"header": 20, "sender": 35, "recipient": 10, "content": 35, "url": 40, "attachment": 45}
 HIGH_RISK, SUSPICIOUS, MOST = 50, 20, 100
+UNDECIDED = "not decided: a field is missing"
 
 
 def lure_pattern(lures: Iterable[str] = LURES) -> str:
@@ -168,12 +169,13 @@ def catalogue(disabled: Iterable[str] = (), terms: dict[str, tuple] | None = Non
 def evaluate_rules(parsed: DataFrame, rules: Iterable[Rule] = CATALOGUE) -> DataFrame:
     """A row per message and enabled rule: case_id, rule_id, category, severity, matched, score, evidence.
 
-    A rule that cannot be decided, over missing columns' nulls, does not match.
+    A rule that cannot be decided, over missing columns' nulls, does not match, and its evidence says so.
     """
     def row(r: Rule) -> Column:
-        hit = F.coalesce(r.matched(r.terms), F.lit(False))
+        found = r.matched(r.terms)
+        hit = F.coalesce(found, F.lit(False))
         return F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), hit.alias("matched"),
-                        F.when(hit, r.score).otherwise(0).alias("score"), F.when(hit, F.coalesce(r.evidence(r.terms), F.lit(""))).otherwise("").alias("evidence"))
+                        F.when(hit, r.score).otherwise(0).alias("score"), F.when(hit, F.coalesce(r.evidence(r.terms), F.lit(""))).when(found.isNull(), UNDECIDED).otherwise("").alias("evidence"))
     return prepared(parsed).select("case_id", F.inline(F.array(*[row(r) for r in rules if r.enabled])))
 
 

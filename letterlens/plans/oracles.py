@@ -174,6 +174,33 @@ cor AS (SELECT *, CASE WHEN final_score >= 60 THEN 'HIGH_RISK' WHEN final_score
   FROM (SELECT *, round(base * 100, 1) AS coverage, round(CASE WHEN severe THEN greatest(base_score, 65.0) ELSE base_score END + 1e-9, 1) AS final_score FROM bas) x)"""
 
 
+def explained_ctes() -> str:
+    """CTEs up to exp: assessments with what explains and limits them."""
+    points = "floor(round(rules_signal * round(0.35 / base, 4) * 100 + 1e-9, 2) * 10 + 0.5 + 1e-9) / 10"  # halves go up
+    return f"""{correlation_ctes()},
+exp AS (SELECT *, concat_ws('; ', CASE WHEN coverage < 100 THEN 'unavailable: ' || concat_ws(', ', CASE WHEN rules_signal IS NULL THEN 'RULES' END, CASE WHEN ml_signal IS NULL THEN 'ML' END) END,
+    CASE WHEN cross_entities > 0 THEN cross_entities || ' entities seen by several engines' END, CASE WHEN severe AND base_score < 65 THEN 'raised by a severe indicator' END) AS limitations,
+  concat_ws(' ', final_assessment || ' (score ' || printf('%.1f', final_score) || ' of 100, confidence ' || correlation_confidence || ').',
+    CASE WHEN rules_signal >= 0.40 THEN 'Rules found notable anomalies (' || printf('%.1f', {points}) || ' points).' END,
+    CASE WHEN ml_signal >= 0.60 THEN 'The text reads as phishing (' || printf('%.2f', ml_signal) || ').' END,
+    CASE WHEN mal THEN 'Indicators match known malicious infrastructure.' END, CASE WHEN geo_signal >= 0.20 THEN 'The origin is an anonymising relay.' END,
+    CASE WHEN conflicts <> '' THEN 'Conflicts: ' || replace(conflicts, ';', '; ') || '.' END) AS explanation
+  FROM cor LEFT JOIN (SELECT case_id AS c, malicious_confidence IS NOT NULL AS mal FROM isum) i ON c = case_id)"""
+
+
+def manifest_ctes() -> str:
+    """CTEs up to man and cmp: the artifacts of each message, and the digest of them all."""
+    return f"""{correlation_ctes()},
+art AS (SELECT case_id, 'parsed_result' AS artifact_type, 'parsed_data.json' AS artifact_name, '{{"subject":"' || subject || '","urls":"' || array_to_string(urls, ' ') || '"}}' AS body, 'parser' AS source FROM mail
+  UNION ALL SELECT case_id, 'rule_result', 'rules_results.json', '{{"total_score":' || total_score || ',"verdict":"' || rules_verdict || '"}}', 'rules' FROM scores
+  UNION ALL SELECT case_id, 'ml_result', 'ml_results.json', '{{"pred":"' || CASE WHEN p < 0.30 THEN 'LEGITIMATE' WHEN p > 0.70 THEN 'PHISHING' ELSE 'UNCERTAIN' END || '","prob":' || p || '}}', 'ml' FROM ml
+  UNION ALL SELECT case_id, 'correlation_result', 'correlation.json', '{{"assessment":"' || final_assessment || '","score":' || final_score || '}}', 'correlation' FROM cor),
+man AS (SELECT case_id, artifact_type, artifact_name, length(body) AS size_bytes, sha256(body) AS sha256, source FROM art
+  UNION ALL SELECT case_id, 'attachment', filename, size, sha256, 'parser' FROM att WHERE case_id IN (SELECT case_id FROM mail)),
+cmp AS (SELECT case_id, count(*) AS artifacts, sha256('[' || string_agg('{{"artifact_type":"' || artifact_type || '","artifact_name":"' || artifact_name || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}}',
+  ',' ORDER BY artifact_type, artifact_name, sha256, size_bytes) || ']') AS composite_sha256 FROM man GROUP BY case_id)"""
+
+
 def samples_cte() -> str:
     body = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
     return (f"smp AS (SELECT coalesce(source, '') AS source, doc_id AS seq, 1 - quality AS label, sha256(' ' || {body}) AS content_hash, length({body}) >= 10 AS usable, text FROM documents JOIN labels USING (doc_id)),\n"
@@ -228,6 +255,15 @@ SELECT mail.case_id, sha256(body_text) AS raw_evidence_sha256, CASE WHEN from_do
   CASE WHEN fv.case_id IS NOT NULL THEN '1.0.0' END AS ioc_engine_version, CASE WHEN selected_origin_ip IS NOT NULL THEN '1.0.0' END AS geo_analysis_version,
   '1.0.0' AS correlation_engine_version, '1.0.0' AS correlation_policy_version, CASE WHEN from_domain <> '' THEN aset.h END AS attachment_manifest_sha256
 FROM mail LEFT JOIN fv ON fv.case_id = mail.case_id LEFT JOIN org ON org.case_id = mail.case_id LEFT JOIN aset ON aset.case_id = mail.case_id""",
+    "c_explanations": f"{explained_ctes()}\nSELECT case_id, explanation, limitations FROM exp",
+    "v_correlation": f"{explained_ctes()}\nSELECT case_id, final_score, final_assessment, correlation_confidence, coverage, explanation, limitations, conflicts, true AS found FROM exp",
+    "v_executive_summary": f"{correlation_ctes()}\nSELECT mail.case_id, coalesce(final_assessment, 'PENDING') AS assessment, coalesce(final_score, 0.0) AS score, coalesce(correlation_confidence, 'LOW') AS confidence "
+                           "FROM mail LEFT JOIN (SELECT * FROM cor WHERE substr(sha256(case_id), 1, 1) <> '0') c ON c.case_id = mail.case_id",
+    "a_manifest": f"{manifest_ctes()}\nSELECT * FROM man",
+    "a_composite_hash": f"{manifest_ctes()}\nSELECT case_id, artifacts, composite_sha256 FROM cmp",
+    "v_manifest": f"{manifest_ctes()}\nSELECT man.*, artifacts, composite_sha256 FROM man JOIN cmp USING (case_id)",
+    "v_text": f"{oracle_ctes()}\nSELECT case_id, CASE WHEN k % 17 <> 0 THEN 'ready' END AS model_status, CASE WHEN k % 17 <> 0 THEN (k * 37 % 101) / 100.0::DOUBLE END AS phishing_probability, "
+              "CASE WHEN k % 17 <> 0 THEN 2 END AS run, k % 17 <> 0 AS found FROM mail",
     "c_entities": f"{correlation_ctes()}\nSELECT * FROM ent",
     "c_assessments": f"{correlation_ctes()}\nSELECT case_id, rules_signal, ml_signal, ioc_signal, geo_signal, coverage, cross_entities, severe, final_score, final_assessment, correlation_confidence, conflicts FROM cor",
     "c_top_evidence": f"""{correlation_ctes()},
@@ -298,3 +334,4 @@ FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.ca
     "v_timeline": f"WITH RECURSIVE {_EVENTS}\nSELECT chn.case_id, CAST(chn.seq AS INTEGER) AS event_sequence, ev.event_type, chn.prev AS previous_event_hash, chn.hash AS event_hash FROM chn JOIN ev USING (case_id, seq)",
     "a_pending": f"{match_ctes()},\n{origin_ctes()}\nSELECT mail.case_id FROM mail WHERE NOT (case_id IN (SELECT case_id FROM hit) AND case_id IN (SELECT case_id FROM org WHERE selected_origin_ip IS NOT NULL))",
 }
+ORACLES["v_provenance"] = f"SELECT *, 2 AS run, true AS found FROM ({ORACLES['a_provenance']}) p"

@@ -104,6 +104,18 @@ def c_explanations(spark: SparkSession, d: str) -> DataFrame:
     return _assessed(spark, d).select("case_id", "explanation", F.concat_ws("; ", "limitations").alias("limitations"))
 
 
+def c_trained_assessments(spark: SparkSession, d: str) -> DataFrame:
+    """The assessments with the text signal of the trained classifier, which scores the whole mail."""
+    mail, hits, origins = V.parsed_mail(spark, d), i_matches(spark, d), _origins(spark, d)
+    text, enough = T.composite(F.col("subject"), F.col("body_text"), F.col("body_html"))
+    samples = mail.select(F.col("case_id").alias("doc"), text.alias("text"), enough.alias("enough"))
+    scored = M.score(samples, M.fit(_splits(spark, d).where("split = 'train'"))).join(samples.select("doc", "enough"), "doc")
+    ml = M.with_fallbacks(scored, F.lit(True), F.col("enough")).select(F.col("doc").alias("case_id"), "model_status", F.col("probability").alias("phishing_probability"))
+    graph = C.entities(C.observations(hits, origins, mail))
+    out = C.correlate(mail.select("case_id", F.lit(True).alias("parsed")), R.score_rules(mail), ml, I.summarise(hits), origins, graph)
+    return out.select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "final_score", "final_assessment", "correlation_confidence")
+
+
 def c_top_evidence(spark: SparkSession, d: str) -> DataFrame:
     mail = V.parsed_mail(spark, d)
     return C.top_evidence(i_matches(spark, d), R.evaluate_rules(mail), _stored_ml(spark, d), _origins(spark, d), mail)
@@ -277,7 +289,7 @@ def v_hops(spark: SparkSession, d: str) -> DataFrame:
 
 def v_executive_summary(spark: SparkSession, d: str) -> DataFrame:
     assessed = _assessed(spark, d)
-    return W.executive_summary(V.flat_mail(spark, d), assessed.where(F.crc32("case_id") % 9 != 0))
+    return W.executive_summary(V.flat_mail(spark, d), assessed.where(F.substring(F.sha2("case_id", 256), 1, 1) != "0"))
 
 
 def v_latest_event(spark: SparkSession, d: str) -> DataFrame:
@@ -360,6 +372,20 @@ def m_model_card(spark: SparkSession, d: str) -> DataFrame:
     return M.model_card(M.fit(parts.where("split = 'train'")), parts)
 
 
+def v_text(spark: SparkSession, d: str) -> DataFrame:
+    """The last of two text results of each case; some cases have none."""
+    last = _stored_ml(spark, d).where("model_status = 'ready'").withColumn("run", F.lit(2))
+    first = last.withColumns({"phishing_probability": 1 - F.col("phishing_probability"), "run": F.lit(1)})
+    return W.latest_view(V.flat_mail(spark, d), first.unionByName(last), "run")
+
+
+def v_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """The last of two provenance rows of each case, the first of which lacks the feed."""
+    last = a_provenance(spark, d).withColumn("run", F.lit(2))
+    first = last.withColumns({"ioc_feed_version": F.lit(None).cast("string"), "run": F.lit(1)})
+    return W.latest_view(V.flat_mail(spark, d), first.unionByName(last), "run")
+
+
 def v_timeline(spark: SparkSession, d: str) -> DataFrame:
     return a_chain(spark, d).orderBy("case_id", "event_sequence")
 
@@ -367,7 +393,8 @@ def v_timeline(spark: SparkSession, d: str) -> DataFrame:
 def v_report(spark: SparkSession, d: str) -> DataFrame:
     mail, matches, origins, hits = V.parsed_mail(spark, d), i_matches(spark, d), _origins(spark, d), R.evaluate_rules(V.parsed_mail(spark, d))
     evidence = C.top_evidence(matches, hits, _stored_ml(spark, d), origins, mail)
-    return W.report(mail, hits, matches, origins, _assessed(spark, d), evidence).select("case_id", "report_sha256", F.to_json("report").alias("report_json"))
+    scores, custody = R.score_rules(mail), a_composite_hash(spark, d)
+    return W.report(mail, hits, matches, origins, _assessed(spark, d), evidence, scores, _stored_ml(spark, d), _lifecycle(spark, d), a_provenance(spark, d), custody).select("case_id", "report_sha256", F.to_json("report").alias("report_json"))
 
 
 def p_parse_rendered_mail(spark: SparkSession, d: str) -> DataFrame:

@@ -64,10 +64,11 @@ def example_feed(spark: SparkSession) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file whose records are a map by address, a row each."""
+    """A file whose records are a map by address, a row each, with the file's version and SHA-256."""
     root = spark.read.schema(schema).json(path, multiLine=True)
     version = root.columns[0]
-    return root.select(F.col(version).alias("version"), F.explode("records").alias("key", "record")).select("version", F.col("key").alias("ip"), F.col("record").dropFields("ip").alias("record")).select("version", "ip", "record.*")
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("feed_sha256"))  # one row
+    return root.select(F.col(version).alias("version"), F.explode("records").alias("key", "record")).select("version", F.col("key").alias("ip"), F.col("record").dropFields("ip").alias("record")).select("version", "ip", "record.*").crossJoin(F.broadcast(digest))
 
 
 def example_geo(spark: SparkSession) -> DataFrame:

@@ -393,3 +393,33 @@ def test_lifecycle_of_failed_and_forced_cases(spark):
     assert got["ok"][0] == "ANALYSIS_RERUN" and got["ok"][-2:] == ["CASE_ANALYSIS_COMPLETED", "EVIDENCE_INTEGRITY_VERIFIED"] and len(got["ok"]) == 16
     assert {"ML_FAILED", "GEO_FAILED", "EVIDENCE_INTEGRITY_FAILURE"} < set(got["part"])
     assert {r.case_id: r.status for r in L.case_status(events).collect()} == {"ok": "completed", "bad": "failed", "part": "completed"}
+
+
+def test_mbox_keeps_bytes(spark, tmp_path):
+    (tmp_path / "m.mbox").write_bytes(b"From a\nSubject: x\n\ncaf\xe9\nFrom b\nSubject: y\n\nna\xefve\nFrom c\nSubject: FOLDER INTERNAL DATA\n\n-\n")
+    found = {bytes(r.content) for r in S.read_mbox(spark, str(tmp_path)).collect()}
+    assert found == {b"Subject: x\n\ncaf\xe9", b"Subject: y\n\nna\xefve"}
+
+
+def test_entities_in_text_and_links(spark):
+    html = '<a href="http://a.test/?x=1&amp;y=2">l</a><script>"http://no.test"</script><title>http://t.test</title>caf&#233;&#x1F600;&#0;&#55296; &lt;b&gt;'
+    row = spark.createDataFrame([(html,)], "html string").select(T.visible_text(F.col("html")).alias("t"), T.extract_urls(F.lit(None).cast("string"), F.col("html")).alias("u")).first()
+    assert row.t == "l café\U0001f600&#0;&#55296; <b>" and row.u == ["http://a.test/?x=1&y=2", "http://t.test"]
+
+
+def test_undecided_rules_say_so(spark):
+    row = R.evaluate_rules(spark.createDataFrame([message(received_headers=None)], PARSED)).where("rule_id = 'RULE-HDR-001'").first()
+    assert (row.matched, row.score, row.evidence) == (False, 0, R.UNDECIDED)
+
+
+def test_digest_of_a_feed_reaches_the_summary(spark):
+    feed = FE.valid_feed(FE.example_feed(spark)).withColumn("feed_sha256", F.concat(F.lit("of "), F.col("source")))
+    parsed = spark.createDataFrame([message(urls=["http://bad-1.test/", "https://docs.example.org/"])], PARSED)
+    row = I.summarise(I.match_indicators(I.extract_indicators(parsed), feed)).first()
+    assert (row.feed_versions, row.feed_hashes) == ("1", "of feed-a,of feed-b")
+
+
+def test_latest_view(spark):
+    rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "case_id string, t int, x string")
+    cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    assert {(r.case_id, r.x, r.found) for r in W.latest_view(cases, rows, "t").collect()} == {("a", "new", True), ("b", None, False)}
