@@ -2,12 +2,15 @@
 
 Documents are dealt at random into groups of bounded size, and each group is packed on its own, so packing is spread over
 tasks and wastes at most a few bins a group. Within a group pieces come in order of falling length; a piece goes to the
-open bin it fills best. If none has room, a bin is opened at the permitted length with the least cost per word, given
-what is left to fill it with. At last every bin is cut down to the smallest permitted length that holds its contents.
+open bin it fills best. If none has room, a bin is opened at the permitted length with the least cost per word, which
+depends on how well the pieces still to come can fill it: each permitted length is filled in thought with pieces that no
+open bin is expected to get, largest first. Those of the length that is opened are set aside for it, so that the lengths of
+all bins are chosen jointly. At last every bin is cut down to the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from math import ceil
 
 import numpy as np
@@ -24,6 +27,42 @@ GROUP_PIECES = 20_000
 _OUT = "doc_id long, piece long, length long, bin_id long, capacity long, bin_offset long"
 
 
+class _Pieces:
+    """How many pieces of each length are still to come, and how many of them no open bin is expected to get."""
+
+    def __init__(self, lengths: np.ndarray, largest: int):
+        self.free = np.bincount(lengths, minlength=largest + 1).tolist()
+        self.promised = [0] * (largest + 1)
+        self.some = sum(1 << s for s in set(lengths.tolist()))  # bit s is set if a piece of length s is free
+
+    def _less(self, size: int, n: int = 1) -> None:
+        self.free[size] -= n
+        if not self.free[size]:
+            self.some &= ~(1 << size)
+
+    def placed(self, size: int) -> None:
+        if self.promised[size]:
+            self.promised[size] -= 1
+        else:
+            self._less(size)
+
+    def filling(self, room: int) -> list[tuple[int, int]]:
+        """Lengths and numbers of free pieces that fill the room, largest first."""
+        out, below = [], room
+        while fits := self.some & ((1 << (below + 1)) - 1):
+            size = fits.bit_length() - 1
+            n = min(self.free[size], room // size)
+            out.append((size, n))
+            room -= size * n
+            below = min(room, size - 1)
+        return out
+
+    def promise(self, filling: list[tuple[int, int]]) -> None:
+        for size, n in filling:
+            self._less(size, n)
+            self.promised[size] += n
+
+
 def best_fit(lengths: np.ndarray, capacities=CAPACITIES, bin_cost: int = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin number, offset in the bin, and final capacity of the bin, for each length (1 to the largest capacity)."""
     caps = sorted(capacities)
@@ -31,10 +70,11 @@ def best_fit(lengths: np.ndarray, capacities=CAPACITIES, bin_cost: int = BIN_COS
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     room: list[list[int]] = [[] for _ in range(caps[-1] + 1)]  # open bins by the room they have
     some = 0  # bit r is set if a bin has room r
-    used, left = [], int(lengths.sum())
+    used, left = [], _Pieces(lengths, caps[-1])
     sizes = lengths.tolist()
     for i in order.tolist():
         size = sizes[i]
+        left.placed(size)
         fits = some >> size
         if fits:
             r = size + (fits & -fits).bit_length() - 1
@@ -42,12 +82,19 @@ def best_fit(lengths: np.ndarray, capacities=CAPACITIES, bin_cost: int = BIN_COS
             if not room[r]:
                 some &= ~(1 << r)
         else:
-            r = min((c for c in caps if c >= size), key=lambda c: ((c + bin_cost) / min(c, left), c))
+            best = None
+            for c in caps[bisect_left(caps, size):]:
+                filling = left.filling(c - size)
+                words = size + sum(s * n for s, n in filling)
+                price = (caps[bisect_left(caps, words)] + bin_cost) / words
+                if best is None or price < best[0]:
+                    best = price, c, filling
+            _, r, filling = best
+            left.promise(filling)
             b = len(used)
             used.append(0)
         bin_of[i], offset[i] = b, used[b]
         used[b] += size
-        left -= size
         if r > size:
             room[r - size].append(b)
             some |= 1 << (r - size)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from letterlens.llm import common, mixing
 from letterlens.llm.exact_dedup import exact_groups, keep_one_of_equal
 from letterlens.llm.mixing import mix, mixed_documents
-from letterlens.llm.packing import best_fit, pack
+from letterlens.llm.packing import CAPACITIES, best_fit, pack
 from letterlens.llm.simhash import BKForest, block_masks, fingerprints, keep_one_of_near, near_groups, shard_links
 
 from .data import documents, frame, hard
@@ -138,6 +138,89 @@ def test_pack_keeps_every_word(spark):
     assert many.length.sum() / caps > 0.97
 
 
+def _plain_best_fit(lengths, caps, bin_cost):
+    """The stated rule over plain lists: every open bin and every piece still to come is looked at."""
+    bins, free, promised, out = [], sorted(lengths, reverse=True), [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        size = lengths[i]
+        (promised if size in promised else free).remove(size)
+        fitting = [b for b in bins if b[0] - b[1] >= size]
+        if fitting:
+            least = min(b[0] - b[1] for b in fitting)
+            # of bins with the same room the one that has had it for the shortest time
+            b = max((b for b in fitting if b[0] - b[1] == least), key=lambda b: b[2])
+        else:
+            offers = []
+            for c in sorted(caps):
+                if c < size:
+                    continue
+                room, filling = c - size, []
+                for s in free:
+                    if s <= room:
+                        filling.append(s)
+                        room -= s
+                words = size + sum(filling)
+                offers.append(((min(x for x in caps if x >= words) + bin_cost) / words, c, filling))
+            _, c, filling = min(offers, key=lambda o: o[:2])
+            for s in filling:
+                free.remove(s)
+                promised.append(s)
+            b = [c, 0, 0, len(bins)]
+            bins.append(b)
+        out[i] = (b[3], b[1])
+        b[1] += size
+        b[2] = len(out)
+    return [(*out[i], min(c for c in caps if c >= bins[out[i][0]][1])) for i in range(len(lengths))]
+
+
+@given(st.lists(st.integers(1, 64), max_size=60), st.sampled_from([(8, 16, 32, 64), (64,), (20, 64)]), st.integers(0, 9))
+@settings(max_examples=150, deadline=None)
+def test_best_fit_against_plain_lists(sizes, caps, bin_cost):
+    got = best_fit(np.array(sizes, np.int64), caps, bin_cost)
+    assert list(zip(*(x.tolist() for x in got))) == _plain_best_fit(sizes, caps, bin_cost)
+
+
+def test_lengths_are_opened_by_what_can_fill_them():
+    # two of 1400 words leave 1296 of 4096 empty, one leaves 100 of 1500
+    _, _, cap = best_fit(np.full(50, 1400), (1500, 4096), 16)
+    assert set(cap.tolist()) == {1500}
+    # 1290 words more fill what two of 1400 leave
+    _, _, cap = best_fit(np.r_[np.full(40, 1400), np.full(20, 1290)], (1500, 4096), 16)
+    assert set(cap.tolist()) == {4096}
+
+
+def test_pack_against_plain_lists(spark):
+    rows = hard() + [(900 + i, "w " * n, "en", "a", 0) for i, n in enumerate((4096, 4097, 9000, 3000, 1500, 1500))]
+    got = pack(frame(spark, rows).repartition(3)).collect()
+    by_row = {}
+    for r in got:
+        by_row.setdefault((r.bin_id if r.length else None), []).append(r)
+    for b, own in by_row.items():
+        if b is None:
+            assert all(r.length == 0 for r in own)
+            continue
+        own.sort(key=lambda r: r.bin_offset)
+        assert own[0].bin_offset == 0 and all(x.bin_offset + x.length == y.bin_offset for x, y in zip(own, own[1:]))
+        assert {r.capacity for r in own} == {min(c for c in CAPACITIES if c >= sum(r.length for r in own))}
+    pieces = Counter((r.doc_id, r.piece, r.length) for r in got)
+    want = Counter()
+    rests = []
+    for r in rows:
+        n = len([w for w in (r[1] or "").translate(str.maketrans("\t\n\r\v\f", "     ")).split(" ") if w])
+        want.update((r[0], k, 4096) for k in range(n // 4096))
+        if n % 4096 or not n:
+            want[(r[0], n // 4096, n % 4096)] += 1
+        rests += [n % 4096] if n % 4096 else []
+    assert pieces == want
+    # one group: bins do not depend on the order of equal lengths, so their contents are those of the plain rule
+    plain = {}
+    for n, (b, _, cap) in zip(rests, _plain_best_fit(rests, CAPACITIES, 16)):
+        plain.setdefault((b, cap), []).append(n)
+    mine = Counter((own[0].capacity, tuple(sorted(r.length for r in own))) for b, own in by_row.items() if b is not None)
+    full = sum(n for (_, _, length), n in want.items() if length == 4096)
+    assert mine == Counter((cap, tuple(sorted(ns))) for (_, cap), ns in plain.items()) + Counter({(4096, (4096,)): full})
+
+
 def _simhash(text):
     words = ["".join(w) for w in (text or "").translate(LOW).replace("\n", " ").replace("\t", " ").split(" ") if w]
     grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
