@@ -137,7 +137,8 @@ def _texts(column) -> list[bytes]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """The machine fitted on at most `rows` labelled rows that are not held out, those whose doc_id hashes lowest.
 
-    Rows with a null label or doc_id teach nothing. Of labels that repeat for a doc_id the largest counts.
+    Rows with a null label or doc_id teach nothing. Of labels that repeat for a doc_id the largest counts, of texts that
+    do the one with the least digest, so that reruns and layouts agree.
     """
     chosen = (labels.where("doc_id is not null and quality is not null").where(~is_held_out())
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -155,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                     ["doc_id", "quality", "slots", "vals", "stats"])
 
     # The sample is bounded by `rows`, so its ids can be broadcast and its features come to the driver.
-    got = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-           .select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("quality").cast("int").alias("quality"), "text")
+    got = (known.groupBy("doc_id").agg(F.min(least).alias("m")).select("doc_id", "m.quality", "m.text")
            .mapInArrow(extract, "doc_id long, quality int, slots array<int>, vals array<float>, stats array<double>")
            .toArrow().combine_chunks().sort_by("doc_id"))
     sizes = got["slots"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -53,6 +53,13 @@ def test_held_out_accuracy(spark):
     assert r.acc > 0.97 and r.kept > 0.98 and r.let_in < 0.1
 
 
+def test_model_is_the_same_however_repeated_rows_lie(spark):
+    rows = [(i % 40, t, "en", "a", 0) for i, (_, t, *_) in enumerate(documents(120, 6, 40))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, other = q.train(frame(spark, rows).repartition(1), labels), q.train(frame(spark, rows[::-1]).repartition(5), labels)
+    assert one.w0 == other.w0 and np.array_equal(one.w, other.w) and np.array_equal(one.v, other.v)
+
+
 def test_hard_rows_and_odd_labels(spark):
     rows = hard()
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, None, 1), (None, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
@@ -103,9 +110,22 @@ def test_pipeline_against_plain_loops(spark):
 
 
 def test_pipeline_of_hard_tables(spark, tmp_path):
-    for rows in (hard(), documents(12), []):
-        docs = frame(spark, rows)
-        docs.write.mode("overwrite").parquet(str(tmp_path / f"d{len(rows)}" / "documents.parquet"))
-        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"d{len(rows)}" / "labels.parquet"))
-        got = corpus_pipeline.run(spark, str(tmp_path / f"d{len(rows)}")).collect()
-        assert got == [] or rows
+    """Without labels the base rate rejects all; where all labels are good, it keeps all that the other stages do not drop."""
+    for rows, quality in ((hard(), None), (hard(), 1), (documents(12), 1), ([], 1)):
+        folder = tmp_path / f"d{len(rows)}-{quality}"
+        frame(spark, rows).write.parquet(str(folder / "documents.parquet"))
+        labels = [] if quality is None else [(r[0], quality, 0) for r in rows if r[0] is not None]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        if quality is None or not rows:
+            assert not got
+            continue
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and sum(r.length for r in got) > 0
+        bins = {}
+        for r in got:
+            assert (r.bin_id is None) == (r.length == 0)
+            if r.length:
+                bins.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.length))
+        for (_, capacity), spans in bins.items():
+            spans.sort()
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= capacity
