@@ -9,7 +9,9 @@ are compared. An anchor's context is all bytes that windows around it can hold.
 2. Where an anchor has several classes, the first occurrences' contexts are sorted as suffixes (to the right of the
    anchor) and as reversed prefixes (to its left). Both orders come from a deep-shallow sort: multikey refinement by
    8-byte keys to a shallow depth, then a blind trie for each group that still shares a long prefix. With the lengths of
-   common prefixes between neighbours, equality of windows at an offset is equality of two ranks.
+   common prefixes between neighbours, equality of windows at an offset is equality of two ranks. An anchor with very
+   many classes, as at the edge of a passage that many documents share, is split: each of its windows is a context of its
+   own, dealt by its bytes, and a task passes on only the earliest of equal ones that it meets.
 3. Each document's repeated spans are joined to it, merged and cut out.
 """
 
@@ -17,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,10 @@ LEFT = WINDOW - GRAM
 SHALLOW = 48
 #: Text that a task looks at at once, and the text whose anchors one owner task gets.
 CHUNK_BYTES, OWNER_BYTES = 2 << 20, 16 << 20
+#: Classes of one anchor beyond which its windows are dealt one by one: about half of what an owner has to sort.
+HOT_CLASSES = 4096
+#: Windows of such anchors that a task remembers at once.
+_REMEMBERED = 100_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = 0x2545F4914F6CDD1D | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -140,18 +148,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, d, dup, at)], schema=_ANCHOR)
 
 
-_MARK = "h long, d long, dup long, at long, open boolean"
+_MARK = "h long, d long, dup long, at long, open int"
+_REPEAT, _FIRST, _HOT = 0, 1, 2
 
 
-def _owner_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences that repeat their class (open false), and the first of each class of an anchor with several (true)."""
+def _owner_rows(batches: Iterator[pa.RecordBatch], hot_classes: int = HOT_CLASSES) -> Iterator[pa.RecordBatch]:
+    """Occurrences that repeat their class, and the first of each class of an anchor with several, or with very many."""
     names = ["h", "d", "dup", "at", "open"]
     held = [b for b in batches if len(b)]
     if not held:
         return
     h, c, d, dup, at = (pa.Table.from_batches(held).column(i).to_numpy() for i in range(5))
     known = c == 0
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[known], d[known], dup[known], at[known], np.zeros(known.sum(), bool))], names)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[known], d[known], dup[known], at[known], np.full(known.sum(), _REPEAT, np.int32))], names)
     rest = np.flatnonzero(~known)
     rest = rest[np.argsort(h[rest], kind="stable")]
     same = h[rest][1:] == h[rest][:-1]
@@ -162,9 +171,10 @@ def _owner_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, int)
     classes = np.bincount(group, weights=first) if len(h) else np.zeros(0)
     take = ~first | (classes[group] > 1)
+    open_ = np.where(first, np.where(classes[group] > hot_classes, _HOT, _FIRST), _REPEAT).astype(np.int32)
     for k in range(0, len(h), 50_000):
         p = np.arange(k, min(k + 50_000, len(h)))[take[k:k + 50_000]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[p], d[p], dup[p], at[p], first[p])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[p], d[p], dup[p], at[p], open_[p])], names)
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -270,17 +280,43 @@ _CONTEXT = "h long, d long, dup long, at long, context binary"
 _SPAN = "d long, dup long, start long, end long"
 
 
+def _windows(text: bytes, h: int, at: int) -> Iterator[tuple[int, int, bytes]]:
+    """Of an anchor's context each window: a hash of the anchor, the window's offset and its bytes; its place; its bytes."""
+    p, left, right = at >> 16, at >> 8 & 255, at & 255
+    for o in range(max(0, WINDOW - right), min(left, LEFT) + 1):
+        w = text[p - o:p - o + WINDOW]
+        key = xxhash.xxh3_64_intdigest(w, (h + o * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        yield key - (key >> 63 << 64), p << 16 | o << 8 | WINDOW - o, w
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h", "d", "dup", "at", "context"]
+    """Contexts; of anchors with very many classes the windows, those known to repeat without bytes and with h scattered."""
+    names, types = ["h", "d", "dup", "at", "context"], (pa.int64(),) * 4 + (pa.binary(),)
+    earliest: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     for batch in batches:
         for k in range(0, len(batch), 200):
             out: list[tuple] = []
             for r in batch.slice(k, 200).to_pylist():
-                text = (r["text"] or "").encode()
+                text, d, dup = (r["text"] or "").encode(), r["d"], r["dup"]
                 for o in r["open"]:
-                    p, left, right = o["at"] >> 16, o["at"] >> 8 & 255, o["at"] & 255
-                    out.append((o["h"], r["d"], r["dup"], o["at"], text[p - left:p + right]))
-            types = (pa.int64(),) * 4 + (pa.binary(),)
+                    h, at = o["h"], o["at"]
+                    if o["open"] != _HOT:
+                        p = at >> 16
+                        out.append((h, d, dup, at, text[p - (at >> 8 & 255):p + (at & 255)]))
+                        continue
+                    for key, own, w in _windows(text, h, at):
+                        met = earliest.get((key, w))
+                        if met is None or (d, dup, own) < met:
+                            earliest[key, w] = (d, dup, own)
+                            out.append((key, d, dup, own, w))
+                        else:
+                            spread = (key ^ d * 0x5851F42D4C957F2D ^ own) & (2**63 - 1)
+                            out.append((spread, d, dup, own, b""))
+                if len(earliest) > _REMEMBERED:
+                    earliest.clear()
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+                    out = []
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
 
 
@@ -289,6 +325,11 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     t = pa.Table.from_batches(held)
+    known = pa.compute.equal(pa.compute.binary_length(t.column(4)), 0)
+    d, dup, at = (t.filter(known).column(i).to_numpy() for i in (1, 2, 3))
+    place = at >> 16
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, dup, place - (at >> 8 & 255), place + (at & 255))], ["d", "dup", "start", "end"])
+    t = t.filter(pa.compute.invert(known))
     h, d, dup, at = (t.column(i).to_numpy() for i in range(4))
     by, _ = _firsts([h], [d, dup, at])
     h, d, dup, at, contexts = h[by], d[by], dup[by], at[by], t.column(4).take(pa.array(by)).to_pylist()
@@ -336,7 +377,7 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("d"), b.column("dup"), pa.array(out, pa.binary())], ["d", "dup", "spans"])
 
 
-def cut_repeats(docs: DataFrame, owner_bytes: int = OWNER_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, owner_bytes: int = OWNER_BYTES, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A byte is removed if a 100-byte string that covers it also starts earlier: in a smaller doc_id, or in the same
@@ -353,13 +394,13 @@ def cut_repeats(docs: DataFrame, owner_bytes: int = OWNER_BYTES) -> DataFrame:
         rows = scratch.write(rows.withColumn("dup", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("text"), F.col("text"))).cast("long")), "rows")
     owners = max(1, ceil((size or 0) / owner_bytes))
     marks = scratch.write(rows.select("d", "dup", "text").mapInArrow(_anchor_rows, "h long, c long, d long, dup long, at long")
-                          .repartition(owners, "h").mapInArrow(_owner_rows, _MARK), "marks")
+                          .repartition(owners, "h").mapInArrow(partial(_owner_rows, hot_classes=hot_classes), _MARK), "marks")
 
-    opened = marks.where("open").groupBy("d", "dup").agg(F.collect_list(F.struct("h", "at")).alias("open"))
+    opened = marks.where(F.col("open") != _REPEAT).groupBy("d", "dup").agg(F.collect_list(F.struct("h", "at", "open")).alias("open"))
     spans = (rows.select("d", "dup", "text").join(opened, ["d", "dup"]).select("d", "dup", "text", "open")
              .mapInArrow(_context_rows, _CONTEXT).repartition(owners, "h").mapInArrow(_suffix_rows, _SPAN))
     place = F.shiftright("at", 16)
-    whole = marks.where("not open").select("d", "dup", (place - F.shiftright("at", 8).bitwiseAND(255)).alias("start"), (place + F.col("at").bitwiseAND(255)).alias("end"))
+    whole = marks.where(F.col("open") == _REPEAT).select("d", "dup", (place - F.shiftright("at", 8).bitwiseAND(255)).alias("start"), (place + F.col("at").bitwiseAND(255)).alias("end"))
     spans = scratch.write(spans.unionByName(whole).groupBy("d", "dup").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
                           .mapInArrow(_merge_rows, "d long, dup long, spans binary"), "spans")
     span_bytes = spans.agg(F.sum(F.length("spans") + 40)).first()[0] or 0

@@ -46,16 +46,40 @@ def corpus(seed, n=80):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_cut_against_all_windows(spark, seed):
+@pytest.mark.parametrize("seed, hot_classes", [(1, 4096), (2, 4096), (3, 1), (4, 3)])
+def test_cut_against_all_windows(spark, seed, hot_classes):
     texts = corpus(seed)
     ids = list(range(len(texts)))
     random.Random(seed).shuffle(ids)
     df = frame(spark, [(i, t, "en", "a", 0) for i, t in zip(ids, texts)], True).repartition(5)
-    got = Counter(tuple(r)[:5] for r in s.cut_repeats(df, owner_bytes=3000).collect())
+    got = Counter(tuple(r)[:5] for r in s.cut_repeats(df, owner_bytes=3000, hot_classes=hot_classes).collect())
     assert got == brute(list(zip(ids, texts)))
 
 
+def test_edges_of_a_passage_that_many_share(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(40)) + passage + " ".join(word() for _ in range(40)) for _ in range(60)]
+    df = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)], True).repartition(3)
+    got = s.cut_repeats(df, owner_bytes=3000, hot_classes=10).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute(list(enumerate(texts)))
+    assert sum(r.n_removed >= len(passage) for r in got) == 59
+
+
+def test_tasks_pass_on_few_of_equal_windows():
+    import pyarrow as pa
+
+    text = "".join(random.Random(1).choices("abcdefgh", k=100)) + "z" * 100
+    at = 68 << 16 | 68 << 8 | 100
+    batch = pa.RecordBatch.from_pylist([{"d": d, "dup": 0, "text": text, "open": [{"h": 5, "at": at, "open": 2}]} for d in (3, 2, 4, 5, 1, 6)])
+    rows = [r for b in s._context_rows(iter([batch])) for r in b.to_pylist()]
+    sent = Counter(r["d"] for r in rows if r["context"])
+    assert sent == {3: 69, 2: 69, 1: 69} and len(rows) == 6 * 69
+    spans = Counter((r["d"], r["start"]) for b in s._suffix_rows(s._context_rows(iter([batch]))) for r in b.to_pylist() if r["end"] - r["start"] == 100)
+    assert {d for d, _ in spans} <= {2, 3, 4, 5, 6} and all(spans[d, p] == 1 for d in (4, 5, 6) for p in range(69))
+
+
 def test_cut_of_hard_rows(spark):
     rows = [(r[0], r[1]) for r in hard() if r[0] is not None or r[1]] + [(105, "twice " * 40)]
     got = s.cut_repeats(frame(spark, [(*r, "en", "a", 0) for r in rows], True)).collect()
