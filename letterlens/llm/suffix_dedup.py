@@ -36,8 +36,9 @@ LEFT = WINDOW - GRAM
 SHALLOW = 48
 #: Text that a task looks at at once, and the text whose anchors one owner task gets.
 CHUNK_BYTES, OWNER_BYTES = 2 << 20, 16 << 20
-#: Classes of one anchor beyond which its windows are dealt one by one: about half of what an owner has to sort.
-HOT_CLASSES = 4096
+#: Classes of one anchor (11 MB of contexts) that a task sorts. Beyond them its windows are dealt one by one: up to 69 rows
+#: a class, but no task has more than a few of equal windows.
+HOT_CLASSES = 1 << 16
 #: Windows of such anchors that a task remembers at once.
 _REMEMBERED = 100_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
