@@ -104,20 +104,20 @@ def _grown(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFram
     return levels, out
 
 
-def _paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def _paths(levels: list[DataFrame], above: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """For each run of the lowest level its ancestors' kids: key, run, path (its own parents upwards), and above's columns.
 
     above: a row per key. A level's rows get what lies above them from the level over it; a run has ARITY partners at most.
+    Each level is written before the next one down reads it, so no plan holds more than two joins.
     """
-    path = None
-    for level in reversed(levels):
-        ends = level.where("n = 1").join(above, "key").withColumn("path", F.array("kids"))
-        if path is None:
-            path = ends.drop("digest", "kids", "n")
-        else:
-            up = path.withColumnRenamed("run", "up")
-            inner = level.where("n > 1").withColumn("up", F.expr(f"run div {ARITY}")).join(up, ["key", "up"]).withColumn("path", F.concat(F.array("kids"), "path")).drop("up")
-            path = inner.select(*ends.drop("digest", "kids", "n").columns).unionByName(ends.drop("digest", "kids", "n"))
+    path, carried = None, [c for c in above.columns if c != "key"] if above is not None else []
+    for k, level in reversed(list(enumerate(levels))):
+        ends = level.where("n = 1")
+        ends = (ends if above is None else ends.join(above.hint("shuffle_merge"), "key")).withColumn("path", F.array("kids")).select("key", "run", "path", *carried)
+        if path is not None:
+            inner = level.where("n > 1").withColumn("up", F.expr(f"run div {ARITY}")).join(path.withColumnRenamed("run", "up").hint("shuffle_merge"), ["key", "up"])
+            ends = ends.unionByName(inner.withColumn("path", F.concat(F.array("kids"), "path")).select("key", "run", "path", *carried))
+        path = scratch.write(ends, f"{name}-{k}")
     return path
 
 
@@ -150,7 +150,7 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None, changed: Co
     # What lies above each source, then above each run of leaves.
     sources = tops.select("source_key", "idx", F.col("digest").alias("subroot"))
     if top_levels:
-        above = _paths(top_levels, tops.sparkSession.range(1).select(F.lit("root").alias("key"))).select(F.col("run").alias("up"), F.col("path").alias("top_path"))
+        above = _paths(top_levels, None, scratch, "top-paths").select(F.col("run").alias("up"), F.col("path").alias("top_path"))
         sources = sources.withColumn("up", F.expr(f"idx div {ARITY}")).join(above, "up").drop("up")
     else:
         sources = sources.withColumn("top_path", F.array().cast("array<string>"))
@@ -159,9 +159,9 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None, changed: Co
     item = F.struct("idx", "doc_id", "digest", "other")
     runs = lone.select("run", "top_idx", "subroot", "path", "top_path", F.array(item).alias("items"))
     if levels:
-        path = scratch.write(_paths(levels, sources).select("key", "run", "top_idx", "subroot", "path", "top_path"), "paths")
+        path = _paths(levels, sources, scratch, "paths").select("key", "run", "top_idx", "subroot", "path", "top_path")
         gathered = leaves.where("n > 1").groupBy("key", F.expr(f"idx div {ARITY}").alias("run")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        runs = gathered.join(path, ["key", "run"]).sortWithinPartitions("key", "run").select("run", "top_idx", "subroot", "path", "top_path", "items").unionByName(runs)
+        runs = gathered.join(path.hint("shuffle_merge"), ["key", "run"]).sortWithinPartitions("key", "run").select("run", "top_idx", "subroot", "path", "top_path", "items").unionByName(runs)
     return runs.mapInArrow(_fold, _OUT)
 
 
