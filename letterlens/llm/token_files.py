@@ -31,39 +31,43 @@ TEXTS = 200
 SHARD_IDS, LEAST_IDS = 1 << 26, 1 << 18
 #: Bytes of a row group before encoding and of a page; rows of a page, which bounds what a selective read decodes.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 500
-_ROWS = "doc_id long, n_tokens long, ids array<int>"
+_ROWS = "doc_id long, n_tokens long, width int, packed binary"
 
 
 def encode(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, n_tokens and ids for each row of docs (doc_id, text), the ids followed by end_id.
+    """doc_id, n_tokens, width and packed for each row of docs (doc_id, text): packed has the ids, followed by end_id.
 
+    An id takes `width` bytes, little-endian: two if the text's ids fit, else four; so what is shuffled is half as much.
     Ids are the library's for whole texts, without added special tokens; special strings in a text are handled as is its
     default. A null text counts as empty. Rows may repeat, doc_id may be null, other columns are ignored.
     """
-    at, last = path or vocabulary_path(FILE), np.array([] if end_id is None else [end_id], np.int32)
+    at, last = path or vocabulary_path(FILE), np.array([] if end_id is None else [end_id], np.uint32)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(at, "", True)
         for batch in batches:
             for k in range(0, len(batch), TEXTS):
                 part = batch.slice(k, TEXTS)
-                parts = [x for ids in own.ids([t or "" for t in part.column("text").to_pylist()]) for x in (ids.view(np.int32), last)]
-                size = np.array(list(map(len, parts)), np.int64).reshape(-1, 2).sum(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), lists], ["doc_id", "n_tokens", "ids"])
+                lists = [np.concatenate([x, last]) for x in own.ids([t or "" for t in part.column("text").to_pylist()])]
+                width = [2 if x.max(initial=0) < 1 << 16 else 4 for x in lists]
+                packed = [x.astype(f"<u{w}").tobytes() for x, w in zip(lists, width, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, lists)), pa.int64()), pa.array(width, pa.int32()), pa.array(packed, pa.binary())],
+                                                 ["doc_id", "n_tokens", "width", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(ids, _ROWS)
 
 
 def _with_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """start: ids of the shard's rows before each row, as the rows of a shard go by in order."""
+    """ids as lists, and start: ids of the shard's rows before each row, as the rows of a shard go by in order."""
     past = 0
     for batch in batches:
-        ends = past + np.cumsum(batch.column("n_tokens").to_numpy())
-        start = np.r_[past, ends[:-1]].astype(np.int64)
-        past = int(ends[-1]) if len(ends) else past
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(start[:len(batch)]), batch.column("n_tokens"), batch.column("ids")],
-                                         ["shard", "doc_id", "start", "n_tokens", "ids"])
+        for part in (batch.slice(k, TEXTS) for k in range(0, len(batch), TEXTS)):
+            ends = np.r_[0, np.cumsum(part.column("n_tokens").to_numpy())].astype(np.int64)
+            ids = [np.frombuffer(p, f"<u{w}").astype(np.int32) for p, w in zip(part.column("packed").to_pylist(), part.column("width").to_pylist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(past + ends[:-1]), part.column("n_tokens"), lists],
+                                             ["shard", "doc_id", "start", "n_tokens", "ids"])
+            past += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS,
@@ -79,9 +83,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     n_ids = rows.agg(F.sum("n_tokens")).first()[0] or 0
     n_shards = max(1, -(-n_ids // shard_ids), min(spark.sparkContext.defaultParallelism, n_ids // LEAST_IDS))
     by = ["doc_id", "tie", "row"]
-    tie = F.xxhash64("ids")
-    shards = (rows.withColumn("tie", tie).repartitionByRange(n_shards, *by).sortWithinPartitions(*by)
-              .select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
+    shards = (rows.withColumn("tie", F.xxhash64("packed")).repartitionByRange(n_shards, *by).sortWithinPartitions(*by)
+              .select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "width", "packed")
               .mapInArrow(_with_start, "shard int, doc_id long, start long, n_tokens long, ids array<int>"))
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
                "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}

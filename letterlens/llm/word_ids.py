@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +15,34 @@ import numpy as np
 CACHE = 250_000
 #: A longer word is encoded each time it comes.
 LONG_WORD = 64
-_BOTH_SPACE = re.compile(r"\s \s")
+#: New words that the library gets in one string.
+AT_ONCE = 200
+_BOTH_SPACE, _SPACE = re.compile(r"\s \s"), re.compile(r"\s")
+#: What the pattern of the files without a lead cuts a lower-cased ASCII word into.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+
+
+class _Cache(dict):
+    """Ids (as bytes) by text, in two generations."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.elder = encode, {}
+
+    def learn(self, texts: Iterable[str]) -> list[str]:
+        """Makes all of these texts known; gives those that had to be encoded."""
+        if len(self) > CACHE:
+            self.elder = dict(self)
+            self.clear()
+        missing = [t for t in texts if t not in self]
+        elder, new = self.elder, []
+        for t in missing:
+            ids = elder.get(t)
+            if ids is None:
+                new.append(t)
+            else:
+                self[t] = ids
+        self.update(zip(new, self.encode(new), strict=True))
+        return new
 
 
 class WordIds:
@@ -23,47 +50,79 @@ class WordIds:
 
     Two rules of cutting, by `lead`. With a lead of one space (byte-level files, whose pre-tokens carry the space before
     them) a text is cut before each space; a text with white space on both sides of a space is encoded whole. Without a
-    lead (files that drop white space) a text is cut at blanks, tabs and line ends. `special` says whether special strings
-    in a text count as special, as is the library's default; they hold no white space, so no cut goes through one.
+    lead (lower-casing files that drop white space and mark the ends of pre-tokens) a text is cut at blanks, tabs and line
+    ends, and new ASCII words into their pre-tokens. `special` says whether special strings in a text count as special, as
+    is the library's default; they hold no white space, so no cut goes through one.
+
+    New words go to the library many in a string. Where each ends is seen from the ids: a word with a lead is the ids from
+    one that begins with a space to the next such one, a pre-token is the ids up to one that ends with the mark.
     """
 
     def __init__(self, path: str, lead: str, special: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.lead, self.known, self.elder = Tokenizer.from_file(path), lead, {}, {}
+        self.library, self.lead = Tokenizer.from_file(path), lead
         self.library.encode_special_tokens = not special
+        vocabulary = self.library.get_vocab()
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values()) if special else ()
+        self.edge = np.zeros(1 + max(vocabulary.values()), bool)  # ids that begin with a space, or that end a pre-token
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if lead else token.endswith("</w>")
+        self.known, self.parts = _Cache(self._words_with_lead if lead else self._words_by_parts), _Cache(self._together)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the pattern cuts at both ends, many in one string."""
+        groups = [texts[k:k + AT_ONCE] for k in range(0, len(texts), AT_ONCE)]
+        joined = [self.lead + self.lead.join(g) for g in groups] if self.lead else [" ".join(g) for g in groups]
+        out = []
+        for group, encoded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            cuts = np.flatnonzero(self.edge[ids])
+            ends = np.r_[cuts[1:], len(ids)] if self.lead else cuts + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                raise ValueError("the file does not cut texts as it is expected to")
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _words_with_lead(self, words: list[str]) -> list[bytes]:
+        odd = {w for w in words if not w or _SPACE.search(w)}
+        plain = dict(zip(own := [w for w in words if w not in odd], self._together(own), strict=True))
+        plain |= zip(odd, self._alone([self.lead + w for w in odd]), strict=True)
+        return [plain[w] for w in words]
+
+    def _words_by_parts(self, words: list[str]) -> list[bytes]:
+        own = {w: _ASCII_PARTS.findall(w.lower()) for w in words if w.isascii() and len(w) <= LONG_WORD and not any(s in w for s in self.special)}
+        self.parts.learn(list({p for parts in own.values() for p in parts}))
+        part = self.parts.__getitem__
+        known = {w: b"".join(map(part, parts)) for w, parts in own.items()}
+        other = [w for w in words if w not in own]
+        known |= zip(other, self._alone(other), strict=True)
+        return [known[w] for w in words]
+
     def _words(self, text: str) -> list[str] | None:
         if not self.lead:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return None if _BOTH_SPACE.search(text) else text.split(" ")
+        return None if _BOTH_SPACE.search(self.lead + text) else text.split(" ")
 
-    def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text; with a lead, of lead + text."""
-        if len(self.known) > CACHE:
-            self.known, self.elder = {}, self.known
-        words = [self._words(self.lead + t) for t in texts] if self.lead else [self._words(t) for t in texts]
-        if self.lead:
-            words = [w and w[1:] for w in words]  # what comes before the leading space is empty
-        known, elder = self.known, self.elder
-        new = set()
+        words, all_ = [self._words(t) for t in texts], set()
         for own in words:
-            new.update(own or ())
-        new = [w for w in new if w not in known]
-        known.update((w, elder[w]) for w in new if w in elder)
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self._encode([self.lead + w for w in new]), strict=True))
-        out = [None if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32) for own in words]
+            all_.update(own or ())
+        new = self.known.learn(all_)
+        known = self.known.__getitem__
+        out = [None if own is None else np.frombuffer(b"".join(map(known, own)), np.uint32) for own in words]
         whole = [i for i, own in enumerate(words) if own is None]
-        for i, ids in zip(whole, self._encode([self.lead + texts[i] for i in whole]), strict=True):
+        for i, ids in zip(whole, self._alone([self.lead + texts[i] for i in whole]), strict=True):
             out[i] = np.frombuffer(ids, np.uint32)
         for w in new:
             if len(w) > LONG_WORD:
-                del known[w]
+                del self.known[w]
         return out
 
 
