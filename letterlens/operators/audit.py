@@ -98,15 +98,38 @@ def verify_cases(cases: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def number_runs(runs: DataFrame) -> DataFrame:
-    """Run ids RUN-<case>-<engine>-<n> in order of start, and durations in milliseconds."""
+    """Run ids RUN-<case>-<engine>-<n> in order of start, and durations in milliseconds; other columns go along."""
     by = Window.partitionBy("case_id", "engine").orderBy("started_at", "finished_at")
     n = runs.withColumn("n", F.row_number().over(by))
+    more = [c for c in runs.columns if c not in ("case_id", "engine", "started_at", "finished_at")]
     return n.select("case_id", "engine", F.format_string("RUN-%s-%s-%d", "case_id", "engine", "n").alias("run_id"), "n", "started_at", "finished_at",
-                    F.expr("timestampdiff(MILLISECOND, started_at, finished_at)").alias("duration_ms"))
+                    F.expr("timestampdiff(MILLISECOND, started_at, finished_at)").alias("duration_ms"), *more)
 
 
-def evidence_manifest(parsed: DataFrame, scores: DataFrame, ml: DataFrame, assessed: DataFrame) -> DataFrame:
-    """A10: a row per artifact of a case: attachments, parsed data, rule, text and correlation results with fingerprints."""
+def analysis_runs(events: DataFrame, outputs: DataFrame) -> DataFrame:
+    """A record per execution of an engine: run_id, status, duration, output_fingerprint, error_message.
+
+    events: case_id, event_sequence, event_type, event_timestamp, message. An engine's start and the event after it make
+    a run, which is running if that event is not there yet. outputs: case_id, engine, sha256 of what the engine gave,
+    which a completed run has as its output's fingerprint; a failed run has the message of its failure.
+    """
+    by = Window.partitionBy("case_id").orderBy("event_sequence")
+    rows = events.withColumn("next", F.lead(F.struct("event_type", "event_timestamp", "message")).over(by)).withColumn("stage", F.regexp_extract("event_type", "^(PARSER|RULES|ML|IOC|GEO|CORRELATION)_STARTED$", 1)).where("stage <> ''")
+    ended = lambda how: F.col("next.event_type") == F.concat("stage", F.lit(how))
+    status = F.when(ended("_COMPLETED"), "completed").when(ended("_FAILED"), "failed").otherwise("running")
+    runs = rows.select("case_id", F.lower("stage").alias("engine"), F.col("event_timestamp").alias("started_at"), status.alias("status"),
+                       F.when(status != "running", F.col("next.event_timestamp")).alias("finished_at"), F.when(status == "failed", F.col("next.message")).alias("error_message"))
+    known = outputs.select("case_id", "engine", F.col("sha256").alias("output_fingerprint"))
+    runs = runs.join(known, ["case_id", "engine"], "left").withColumn("output_fingerprint", F.when(F.col("status") == "completed", F.col("output_fingerprint")))
+    return number_runs(runs)
+
+
+def evidence_manifest(parsed: DataFrame, scores: DataFrame, ml: DataFrame, assessed: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """A10: a row per artifact of a case: the raw mail, attachments, parsed data, rule, text and correlation results.
+
+    Evidence (raw mail and attachments) is immutable; results have the fingerprints of their canonical JSON. cases
+    (case_id, original_filename, file_size, sha256) gives the raw mail.
+    """
     def artifact(df, kind, name, size, digest, source):
         return df.select("case_id", F.lit(kind).alias("artifact_type"), name.alias("artifact_name"), size.cast("long").alias("size_bytes"), digest.alias("sha256"), F.lit(source).alias("source"))
     a = F.col("a")
@@ -115,11 +138,14 @@ def evidence_manifest(parsed: DataFrame, scores: DataFrame, ml: DataFrame, asses
     ml_json = canonical(("pred", F.col("prediction")), ("prob", F.col("probability")))
     corr_json = canonical(("assessment", F.col("final_assessment")), ("score", F.col("final_score")))
     head = canonical(("subject", F.col("subject")), ("urls", F.concat_ws(" ", "urls")))
-    return (artifact(files, "attachment", F.when(F.coalesce(a.filename, F.lit("")) != "", a.filename).otherwise(F.format_string("attachment_%d", F.col("n") + 1)), a["size"], a.sha256, "parser")
+    out = (artifact(files, "attachment", F.when(F.coalesce(a.filename, F.lit("")) != "", a.filename).otherwise(F.format_string("attachment_%d", F.col("n") + 1)), a["size"], a.sha256, "parser")
             .unionByName(artifact(parsed, "parsed_result", F.lit("parsed_data.json"), F.length(head), fingerprint(head), "parser"))
             .unionByName(artifact(scores, "rule_result", F.lit("rules_results.json"), F.length(rule_json), fingerprint(rule_json), "rules"))
             .unionByName(artifact(ml, "ml_result", F.lit("ml_results.json"), F.length(ml_json), fingerprint(ml_json), "ml"))
             .unionByName(artifact(assessed, "correlation_result", F.lit("correlation.json"), F.length(corr_json), fingerprint(corr_json), "correlation")))
+    if cases is not None:
+        out = out.unionByName(artifact(cases, "raw_email", F.col("original_filename"), F.col("file_size"), F.col("sha256"), "quarantine"))
+    return out.withColumn("immutable", F.col("artifact_type").isin("raw_email", "attachment"))
 
 
 def composite_hash(manifest: DataFrame) -> DataFrame:

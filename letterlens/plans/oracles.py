@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from letterlens.functions import urls as U
 from letterlens.operators import origin as G
+from letterlens.operators import report as RP
+from letterlens.operators import rule_texts as RT
 from letterlens.operators import rules as R
 from letterlens.sources import feeds as FE
 from letterlens.sources.mail_view import oracle_ctes
@@ -195,8 +197,9 @@ art AS (SELECT case_id, 'parsed_result' AS artifact_type, 'parsed_data.json' AS
   UNION ALL SELECT case_id, 'rule_result', 'rules_results.json', '{{"total_score":' || total_score || ',"verdict":"' || rules_verdict || '"}}', 'rules' FROM scores
   UNION ALL SELECT case_id, 'ml_result', 'ml_results.json', '{{"pred":"' || CASE WHEN p < 0.30 THEN 'LEGITIMATE' WHEN p > 0.70 THEN 'PHISHING' ELSE 'UNCERTAIN' END || '","prob":' || p || '}}', 'ml' FROM ml
   UNION ALL SELECT case_id, 'correlation_result', 'correlation.json', '{{"assessment":"' || final_assessment || '","score":' || final_score || '}}', 'correlation' FROM cor),
-man AS (SELECT case_id, artifact_type, artifact_name, length(body) AS size_bytes, sha256(body) AS sha256, source FROM art
-  UNION ALL SELECT case_id, 'attachment', filename, size, sha256, 'parser' FROM att WHERE case_id IN (SELECT case_id FROM mail)),
+man AS (SELECT case_id, artifact_type, artifact_name, length(body) AS size_bytes, sha256(body) AS sha256, source, false AS immutable FROM art
+  UNION ALL SELECT case_id, 'attachment', filename, size, sha256, 'parser', true FROM att WHERE case_id IN (SELECT case_id FROM mail)
+  UNION ALL SELECT case_id, 'raw_email', case_id || '.eml', strlen(body_text), sha256(body_text), 'quarantine', true FROM mail),
 cmp AS (SELECT case_id, count(*) AS artifacts, sha256('[' || string_agg('{{"artifact_type":"' || artifact_type || '","artifact_name":"' || artifact_name || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}}',
   ',' ORDER BY artifact_type, artifact_name, sha256, size_bytes) || ']') AS composite_sha256 FROM man GROUP BY case_id)"""
 
@@ -231,34 +234,151 @@ _TAMPERED = ("tam AS (SELECT case_id, CASE WHEN n % 37 = 0 THEN seq - 1 ELSE seq
 
 
 def _life() -> str:
-    """CTE life: the events of a case's analysis as a list."""
+    """CTEs life, with the events of a case's analysis as a list, and sta, its state."""
     stage = lambda s, ok: f"'{s}_STARTED', CASE WHEN {ok} THEN '{s}_COMPLETED' ELSE '{s}_FAILED' END"
     rest = ", ".join(stage(s, ok) for s, ok in (("RULES", "true"), ("ML", "k % 17 <> 0"), ("IOC", "true"), ("GEO", "k % 23 <> 0"), ("CORRELATION", "true")))
-    good, bad = (f"[{rest}, 'CASE_ANALYSIS_COMPLETED', CASE WHEN k % 29 <> 0 THEN 'EVIDENCE_INTEGRITY_VERIFIED' ELSE 'EVIDENCE_INTEGRITY_FAILURE' END]", "['CASE_ANALYSIS_FAILED']")
-    return (f"life AS (SELECT case_id, (CASE WHEN k % 7 = 0 THEN ['ANALYSIS_RERUN'] ELSE [] END) || ['PROCESSING_STARTED', {stage('PARSER', "from_domain <> ''")}] || "
-            f"(CASE WHEN from_domain <> '' THEN {good} ELSE {bad} END) AS e, from_domain <> '' AS parsed FROM mail)")
+    good, bad = (f"[{rest}, 'CASE_ANALYSIS_COMPLETED', CASE WHEN k % 29 <> 0 THEN 'EVIDENCE_INTEGRITY_VERIFIED' ELSE 'EVIDENCE_INTEGRITY_FAILURE' END] "
+                 "|| CASE WHEN k % 5 = 0 THEN ['ANALYST_VIEWED'] ELSE [] END || CASE WHEN k % 3 = 0 THEN ['REPORT_GENERATED'] ELSE [] END", "['CASE_ANALYSIS_FAILED']")
+    return ("life AS (SELECT case_id, k, sent, ['CASE_CREATED', 'EVIDENCE_STORED'] || CASE WHEN k % 37 = 0 THEN [] ELSE ['JOB_QUEUED'] || CASE WHEN k % 41 = 0 THEN [] ELSE (CASE WHEN k % 7 = 0 THEN ['ANALYSIS_RERUN'] ELSE [] END)"
+            f" || ['PROCESSING_STARTED', {stage('PARSER', "from_domain <> ''")}] || (CASE WHEN from_domain <> '' THEN {good} ELSE {bad} END) END END AS e, from_domain <> '' AS parsed FROM mail),\n"
+            "sta AS (SELECT case_id, CASE WHEN k % 37 = 0 THEN 'queue_failed' WHEN k % 41 = 0 THEN 'queued' WHEN parsed THEN 'complete' ELSE 'failed' END AS status FROM life)")
+
+
+def _log() -> str:
+    """CTEs up to run, on top of man: the recorded events, their chain, and the runs of each case."""
+    when = "strftime(moment, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+    engine = "CASE artifact_type WHEN 'parsed_result' THEN 'parser' WHEN 'rule_result' THEN 'rules' WHEN 'ml_result' THEN 'ml' WHEN 'correlation_result' THEN 'correlation' END"
+    return f"""{_life()},
+evs AS (SELECT case_id, seq, e[seq] AS event_type, CAST(sent AS TIMESTAMP) + to_seconds(seq) AS moment, e[seq + 1] AS then_ FROM (SELECT case_id, sent, e, unnest(generate_series(1, len(e))) AS seq FROM life) x),
+lg AS (SELECT *, {when} AS ts, CASE WHEN event_type IN ('ANALYST_VIEWED', 'REPORT_GENERATED') THEN 'ANALYST' ELSE 'SYSTEM' END AS who,
+  CASE WHEN event_type IN ('ANALYST_VIEWED', 'REPORT_GENERATED') THEN 'analyst-1' ELSE 'worker' END AS id, lower(replace(event_type, '_', ' ')) AS message FROM evs),
+hd AS (SELECT *, '{{"actor_id":"' || id || '","actor_type":"' || who || '","case_id":"' || case_id || '","event_sequence":' || seq || ',"event_timestamp":"' || ts || '","event_type":"' || event_type || '","message":"' || message
+  || '","metadata":{{}},"previous_event_hash":' AS head FROM lg),
+lnk AS (SELECT case_id, seq, sha256(head || 'null}}') AS hash FROM hd WHERE seq = 1
+  UNION ALL SELECT h.case_id, h.seq, sha256(h.head || '"' || l.hash || '"}}') FROM lnk l JOIN hd h ON h.case_id = l.case_id AND h.seq = l.seq + 1),
+rn AS (SELECT case_id, lower(regexp_extract(event_type, '^(.*)_STARTED$', 1)) AS engine, seq, ts, CASE WHEN ends_with(then_, '_COMPLETED') THEN 'completed' WHEN ends_with(then_, '_FAILED') THEN 'failed' ELSE 'running' END AS status, then_
+  FROM lg WHERE ends_with(event_type, '_STARTED') AND event_type <> 'PROCESSING_STARTED'),
+run AS (SELECT rn.case_id, rn.engine, 'RUN-' || rn.case_id || '-' || rn.engine || '-1' AS run_id, 1 AS n, ts, CAST(1000 AS BIGINT) AS duration_ms, status, CASE WHEN status = 'failed' THEN lower(replace(then_, '_', ' ')) END AS error_message,
+  CASE WHEN status = 'completed' THEN sha256 END AS output_fingerprint FROM rn LEFT JOIN (SELECT case_id, {engine} AS engine, sha256 FROM man WHERE {engine} IS NOT NULL) o ON o.case_id = rn.case_id AND o.engine = rn.engine)"""
+
+
+_WAITING = "'The case is in status ''' || status || '''; its signals have not been correlated.'"
+
+
+def _rule_texts() -> str:
+    return ", ".join("(" + _list((k, *v))[1:-1] + ")" for k, v in RT.TEXTS.items())
+
+
+#: CTEs up to prv and up to tev: versions behind the results, and the first items of evidence.
+_PROVENANCE = """aset AS (SELECT case_id, sha256('[' || string_agg('{"filename":"' || filename || '","sha256":"' || sha256 || '","size":' || size || '}', ',' ORDER BY filename, sha256, size) || ']') AS h FROM att GROUP BY case_id),
+fv AS (SELECT case_id, min(feed_version) AS feed_version FROM hit GROUP BY case_id),
+prv AS (SELECT mail.case_id, sha256(body_text) AS raw_evidence_sha256, CASE WHEN from_domain <> '' THEN '1.0.0' END AS parser_version, '1.0.0' AS rules_engine_version,
+  CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_model_version, CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_preprocessing_version, fv.feed_version AS ioc_feed_version,
+  CASE WHEN fv.case_id IS NOT NULL THEN '1.0.0' END AS ioc_engine_version, CASE WHEN selected_origin_ip IS NOT NULL THEN '1.0.0' END AS geo_analysis_version,
+  '1.0.0' AS correlation_engine_version, '1.0.0' AS correlation_policy_version, CASE WHEN from_domain <> '' THEN aset.h END AS attachment_manifest_sha256
+FROM mail LEFT JOIN fv ON fv.case_id = mail.case_id LEFT JOIN org ON org.case_id = mail.case_id LEFT JOIN aset ON aset.case_id = mail.case_id)"""
+_EVIDENCE = """rl AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, rule_id) AS n FROM hits WHERE matched),
+ev AS (SELECT case_id, 1 AS tier, ioc_id || '/' || source AS place, 'IOC' AS engine, normalized_value AS evidence_type, 'high' AS impact FROM hit WHERE status = 'known_malicious'
+  UNION ALL SELECT case_id, 2, n || '', 'RULES', rule_id, CASE WHEN score >= 15 THEN 'high' ELSE 'medium' END FROM rl WHERE n <= 3
+  UNION ALL SELECT case_id, 3, '', 'ML', 'phishing_probability', CASE WHEN p >= 0.85 THEN 'high' ELSE 'medium' END FROM ml WHERE model_status = 'ready' AND p >= 0.65
+  UNION ALL SELECT case_id, 4, '', 'GEO', CASE WHEN is_tor_exit THEN 'tor_routing' ELSE 'vpn_routing' END, CASE WHEN is_tor_exit THEN 'medium' ELSE 'low' END FROM org WHERE is_tor_exit OR is_vpn),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY tier, place) AS INTEGER) AS rank FROM ev),
+tev AS (SELECT mail.case_id, coalesce(rank, 1) AS rank, coalesce(engine, 'CORRELATION') AS engine, coalesce(evidence_type, 'baseline_clear') AS evidence_type, coalesce(impact, 'low') AS impact
+FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.case_id)"""
+
+
+def _report() -> str:
+    """The report of each case as canonical JSON, and its digest."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    note = {k: text(v) for k, v in RP.NOTES.items()}
+    found = {k: text(v) for k, v in RP.FINDINGS.items()}
+    lists = lambda name, fields, order, source: f"{name} AS (SELECT case_id, list({{{fields}}} ORDER BY {order}) AS l FROM {source} GROUP BY case_id)"
+    host = lambda word: f"nullif(regexp_extract(trim(line), '(?i)\\b{word}\\s+([a-zA-Z0-9._-]+)', 1), '')"
+    points = lambda n, w: f"CASE WHEN {n}_signal IS NULL THEN 0.0::DOUBLE ELSE round({n}_signal * round({w} / base, 4) * 100 + 1e-9, 2) END"
+    part = lambda n, w: f"{n}: {{availability: CASE WHEN {n}_signal IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END, contribution: {points(n, w)}, normalized_value: coalesce({n}_signal, 0.0::DOUBLE)}}"
+    as_list = lambda c, by: f"CASE WHEN {c} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({c}, '{by}') END"
+    state = "CASE WHEN k % 31 = 0 THEN 'FILE_MISSING' WHEN k % 29 = 0 THEN 'COMPROMISED' ELSE 'VERIFIED' END"
+    sender = "CASE WHEN coalesce(display_name, '') <> '' THEN display_name || ' <' || from_address || '>' ELSE from_address END"
+    to = "CASE WHEN to_raw IS NULL THEN CAST([] AS VARCHAR[]) ELSE [to_raw] END"
+    none = "CAST([] AS VARCHAR[])"
+    empty = "CAST([] AS STRUCT(content_type VARCHAR, filename VARCHAR, safe_handling_note VARCHAR, sha256 VARCHAR, size_bytes BIGINT)[])"
+    limits = ("list_filter([CASE WHEN coalesce(n_c, 0) = 0 THEN 'no candidate addresses' END, CASE WHEN private_hops > 0 THEN private_hops || ' private hops ignored' END, CASE WHEN coalesce(n_c, 0) > 0 AND selected_origin_ip IS NULL THEN 'no public address' END, "
+              "CASE WHEN confidence = 'MEDIUM' THEN 'origin at hop ' || origin_hop END, CASE WHEN confidence = 'LOW' THEN CASE WHEN total_hops = 1 THEN 'single hop' ELSE 'origin deep in the path' END END, "
+              "CASE WHEN origin_class = 'DOCUMENTATION' THEN 'documentation range' END, CASE WHEN selected_origin_ip IS NOT NULL THEN 'relays may hide or forge the path' END], lambda x: x IS NOT NULL)")
+    code = ("CASE WHEN ord(c) < 128 THEN c WHEN ord(c) < 65536 THEN '\\u' || lpad(lower(hex(ord(c))), 4, '0') "
+            "ELSE '\\u' || lower(hex(55296 + (ord(c) - 65536) // 1024)) || '\\u' || lower(hex(56320 + (ord(c) - 65536) % 1024)) END")
+    reserved = "coalesce(origin_class IN ('DOCUMENTATION', 'LOOPBACK', 'LINK_LOCAL', 'PRIVATE'), false)"
+    return f"""WITH RECURSIVE {manifest_ctes()[4:]},
+{explained_ctes()[len(correlation_ctes()) + 2:]},
+{_log()},
+{_PROVENANCE},
+{_EVIDENCE},
+tx(rule_id, rule_name, message, rationale, remediation) AS (VALUES {_rule_texts()}),
+{lists('s_rule', 'category: category, description: message, points: CAST(score AS INTEGER), rule_id: rule_id, rule_name: rule_name, severity: severity', 'rule_id', '(SELECT * FROM hits JOIN tx USING (rule_id) WHERE matched) x')},
+{lists('s_ioc', "confidence: confidence, feed_sha256: CAST(NULL AS VARCHAR), feed_version: feed_version, ioc_type: ioc_type, matched: status NOT IN ('not_found', 'error'), reason: reason, source: source, status: upper(status), value: original_value", "ioc_id || '/' || source", 'hit')},
+n_ioc AS (SELECT case_id, count(*) AS total_iocs, count(*) FILTER (contains(upper(status), 'MALICIOUS')) AS m, count(*) FILTER (contains(upper(status), 'SUSPICIOUS')) AS s, count(*) FILTER (contains(upper(status), 'NOT_FOUND')) AS n,
+  coalesce(list(DISTINCT 'v' || feed_version ORDER BY 'v' || feed_version) FILTER (feed_version IS NOT NULL), {none}) AS labels FROM hit GROUP BY case_id),
+{lists('s_ev', 'engine: engine, evidence_type: evidence_type, impact: impact, rank: rank', 'rank', 'tev')},
+{lists('s_ent', 'engines: engines, entity_type: entity_type, entity_value: entity_value, is_cross_engine: is_cross_engine, observations: observations', "entity_type || '/' || entity_value", 'ent')},
+{lists('s_log', "actor: who || ':' || id, event_hash: hash, event_sequence: seq, event_type: event_type, message: message, 'timestamp': ts", 'seq', '(SELECT lg.*, hash FROM lg JOIN lnk USING (case_id, seq)) x')},
+{lists('s_run', "duration_ms: duration_ms, engine_name: engine, error_message: error_message, output_fingerprint: output_fingerprint, run_id: run_id, started_timestamp: ts, status: status, version: '1.0.0'", "ts || '/' || run_id", 'run')},
+{lists('s_art', 'artifact_name: artifact_name, artifact_type: artifact_type, immutable: immutable, sha256: sha256, size_bytes: size_bytes, source: source', "artifact_type || '/' || artifact_name || '/' || sha256", 'man')},
+{lists('s_att', f"content_type: 'application/octet-stream', filename: filename, safe_handling_note: {note['attachment']}, sha256: sha256, size_bytes: size", 'n', 'att')},
+{lists('s_hop', f"by_host: {host('by')}, from_host: {host('from')}, hop_index: CAST(hop_index AS INTEGER), ip: nullif(regexp_extract(line, '([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}})', 1), ''), protocol: {host('with')}, raw_snippet: substr(trim(line), 1, 120)", 'hop_index', 'hop')},
+n_c AS (SELECT case_id, count(*) AS n_c FROM cnd GROUP BY case_id),
+body AS (SELECT mail.case_id, to_json({{
+  analysis_runs: CASE WHEN s_run.l IS NOT NULL THEN {{runs: s_run.l, total_runs: len(s_run.l)}} END,
+  attachment_findings: {{attachments: coalesce(s_att.l, {empty}), total_attachments: coalesce(len(s_att.l), 0)}},
+  audit_timeline: {{audit_chain_valid: true, events: s_log.l, total_events: len(s_log.l)}},
+  case_info: {{case_id: mail.case_id, case_status: sta.status, email_date: CAST(NULL AS VARCHAR), evidence_sha256: sha256(body_text), file_size_bytes: strlen(body_text), message_id: message_id, original_filename: mail.case_id || '.eml',
+    recipients: {to}, sender: {sender}, subject: subject, upload_timestamp: strftime(CAST(mail.sent AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || '+00:00'}},
+  correlation: {{conflicts: {as_list('exp.conflicts', ';')}, correlation_confidence: exp.correlation_confidence, correlation_version: '1.0.0', engine_breakdown: {{{part('geo', 0.10)}, {part('ioc', 0.25)}, {part('ml', 0.30)}, {part('rules', 0.35)}}},
+    evidence_coverage_percent: coverage, evidence_graph_entities: s_ent.l, explanation: explanation, final_assessment: final_assessment, final_score: final_score, limitations: {as_list('exp.limitations', '; ')}, policy_version: '1.0.0', top_evidence: s_ev.l}},
+  email_overview: {{attachments_count: coalesce(len(s_att.l), 0), body_plain_snippet: CASE WHEN length(body_text) > 500 THEN substr(body_text, 1, 500) || '...' ELSE body_text END, cc: {none}, content_type: CAST(NULL AS VARCHAR), date: CAST(NULL AS VARCHAR),
+    message_id: message_id, reply_to: 'help@' || reply_domain, return_path: return_path, sender_from: coalesce({sender}, 'Not available'), subject: coalesce(nullif(subject, ''), '(No Subject)'), 'to': {to}, urls_count: len(urls)}},
+  evidence_integrity: {{bytes_altered: CASE {state} WHEN 'FILE_MISSING' THEN -1 WHEN 'COMPROMISED' THEN 1 ELSE 0 END, current_sha256: CASE {state} WHEN 'FILE_MISSING' THEN 'MISSING_ON_DISK' WHEN 'COMPROMISED' THEN sha256(body_text || '!') ELSE sha256(body_text) END,
+    integrity_status: {state}, message: CASE {state} WHEN 'FILE_MISSING' THEN {found['FILE_MISSING']} WHEN 'COMPROMISED' THEN {found['COMPROMISED']} ELSE {found['VERIFIED']} END, original_sha256: sha256(body_text)}},
+  evidence_manifest: {{artifacts: s_art.l, manifest_sha256: cmp.composite_sha256, total_artifacts: cmp.artifacts}},
+  executive_summary: {{concise_summary: explanation, confidence: exp.correlation_confidence, evidence_coverage_percent: coverage, final_assessment: final_assessment, risk_score: final_score}},
+  forensic_disclaimer: {note['disclaimer']},
+  geo_findings: {{analysis_version: '1.0.0', asn: asn, candidate_ips_count: coalesce(n_c, 0), confidence: org.confidence, country: country_code, disclaimer: {note['geo']}, is_documentation_range: {reserved}, is_hosting: is_datacenter_hosting, is_proxy: is_proxy,
+    is_tor: is_tor_exit, is_vpn: is_vpn, limitations: {limits}, selected_origin_ip: selected_origin_ip, selection_method: 'earliest public relay', status: org.status}},
+  header_analysis: CASE WHEN s_hop.l IS NOT NULL THEN {{notes: {note['hops']}, received_chain: s_hop.l, total_hops: len(s_hop.l)}} END,
+  ioc_findings: CASE WHEN s_ioc.l IS NOT NULL THEN {{feed_provenance: labels, indicators: s_ioc.l, malicious_iocs: m, not_found_iocs: n_ioc.n, suspicious_iocs: n_ioc.s, total_iocs: total_iocs}} END,
+  metadata: {{case_id: mail.case_id, report_version: '1.0.0'}},
+  ml_findings: {{confidence: CASE WHEN model_status <> 'ready' THEN 'LOW' WHEN abs(p - 0.5) >= 0.35 THEN 'HIGH' WHEN abs(p - 0.5) >= 0.15 THEN 'MEDIUM' ELSE 'LOW' END, interpretation_note: {note['ml']}, model_status: model_status, model_version: '1.0.0',
+    phishing_probability: p, prediction: CASE WHEN p < 0.30 THEN 'LEGITIMATE' WHEN p > 0.70 THEN 'PHISHING' ELSE 'UNCERTAIN' END, preprocessing_version: '1.0.0', top_features: {none}}},
+  provenance: {{attachment_manifest_sha256: attachment_manifest_sha256, correlation_engine_version: correlation_engine_version, correlation_policy_version: correlation_policy_version, geo_analysis_version: geo_analysis_version, ioc_engine_version: ioc_engine_version,
+    ioc_feed_version: ioc_feed_version, ml_model_version: ml_model_version, ml_preprocessing_version: ml_preprocessing_version, parser_version: parser_version, raw_evidence_sha256: raw_evidence_sha256, rules_engine_version: rules_engine_version}},
+  rules_findings: {{category_scores: {{attachment: attachment_score, content: content_score, header: header_score, recipient: recipient_score, sender: sender_score, url: url_score}}, matched_rules: coalesce(s_rule.l, []), rules_engine_version: '1.0.0', status: 'COMPLETED',
+    total_rules_evaluated: total_rules_evaluated, total_score: total_score, verdict: rules_verdict}}}}) AS j
+  FROM mail JOIN sta USING (case_id) JOIN exp USING (case_id) JOIN scores USING (case_id) JOIN ml USING (case_id) JOIN org USING (case_id) JOIN prv USING (case_id) JOIN cmp USING (case_id) JOIN s_log USING (case_id) JOIN s_art USING (case_id) JOIN s_ev USING (case_id)
+  LEFT JOIN s_run USING (case_id) LEFT JOIN s_att USING (case_id) LEFT JOIN s_rule USING (case_id) LEFT JOIN s_ioc USING (case_id) LEFT JOIN n_ioc USING (case_id) LEFT JOIN s_ent USING (case_id) LEFT JOIN s_hop USING (case_id) LEFT JOIN n_c USING (case_id)),
+esc AS (SELECT case_id, CASE WHEN regexp_matches(CAST(j AS VARCHAR), '[^\\x00-\\x7f]') THEN array_to_string(list_transform(regexp_extract_all(CAST(j AS VARCHAR), '(?s).'), lambda c: {code}), '') ELSE CAST(j AS VARCHAR) END AS report_json FROM body)
+SELECT case_id, sha256(report_json) AS report_sha256, report_json FROM esc"""
 
 
 ORACLES = {
     "a_lifecycle": f"{oracle_ctes()},\n{_life()}\nSELECT case_id, CAST(generate_subscripts(e, 1) AS INTEGER) AS event_sequence, unnest(e) AS event_type FROM life",
-    "v_status": f"{oracle_ctes()},\n{_life()}\nSELECT case_id, CASE WHEN parsed THEN 'completed' ELSE 'failed' END AS status FROM life",
+    "v_status": f"{oracle_ctes()},\n{_life()}\nSELECT * FROM sta",
     "m_leaks": f"WITH {samples_cte()}\nSELECT count(*) AS samples, count(*) FILTER (regexp_matches(text, 'label=[01]|PHISHING_LABEL')) AS leaks FROM smp",
     "v_geo": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT mail.case_id, coalesce(org.status, 'NO_CANDIDATE') AS status, selected_origin_ip, coalesce(confidence, 'UNKNOWN') AS confidence, coalesce(total_hops, 0) AS total_hops, "
              "country_code, coalesce(intel_source, 'unmatched') AS intel_source FROM mail LEFT JOIN (SELECT * FROM org WHERE selected_origin_ip IS NOT NULL) org ON org.case_id = mail.case_id",
     "v_reserved_ips": f"{oracle_ctes()},\n{origin_ctes()}\nSELECT DISTINCT ip, regexp_matches(ip, '^(10|127|192\\.168|192\\.0\\.2|198\\.51\\.100|203\\.0\\.113|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])|24[0-9]|25[0-5]|0)\\.') AS reserved FROM cnd",
-    "a_provenance": f"""{match_ctes()},
-{origin_ctes()},
-aset AS (SELECT case_id, sha256('[' || string_agg('{{"filename":"' || filename || '","sha256":"' || sha256 || '","size":' || size || '}}', ',' ORDER BY filename, sha256, size) || ']') AS h FROM att GROUP BY case_id),
-fv AS (SELECT case_id, min(feed_version) AS feed_version FROM hit GROUP BY case_id)
-SELECT mail.case_id, sha256(body_text) AS raw_evidence_sha256, CASE WHEN from_domain <> '' THEN '1.0.0' END AS parser_version, '1.0.0' AS rules_engine_version,
-  CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_model_version, CASE WHEN k % 17 <> 0 THEN '1.0.0' END AS ml_preprocessing_version, fv.feed_version AS ioc_feed_version,
-  CASE WHEN fv.case_id IS NOT NULL THEN '1.0.0' END AS ioc_engine_version, CASE WHEN selected_origin_ip IS NOT NULL THEN '1.0.0' END AS geo_analysis_version,
-  '1.0.0' AS correlation_engine_version, '1.0.0' AS correlation_policy_version, CASE WHEN from_domain <> '' THEN aset.h END AS attachment_manifest_sha256
-FROM mail LEFT JOIN fv ON fv.case_id = mail.case_id LEFT JOIN org ON org.case_id = mail.case_id LEFT JOIN aset ON aset.case_id = mail.case_id""",
+    "a_provenance": f"{match_ctes()},\n{origin_ctes()},\n{_PROVENANCE}\nSELECT * FROM prv",
     "c_explanations": f"{explained_ctes()}\nSELECT case_id, explanation, limitations FROM exp",
     "v_correlation": f"{explained_ctes()}\nSELECT case_id, final_score, final_assessment, correlation_confidence, coverage, explanation, limitations, conflicts, true AS found FROM exp",
-    "v_executive_summary": f"{correlation_ctes()}\nSELECT mail.case_id, coalesce(final_assessment, 'PENDING') AS assessment, coalesce(final_score, 0.0) AS score, coalesce(correlation_confidence, 'LOW') AS confidence "
-                           "FROM mail LEFT JOIN (SELECT * FROM cor WHERE substr(sha256(case_id), 1, 1) <> '0') c ON c.case_id = mail.case_id",
+    "v_executive_summary": f"""{explained_ctes()},
+{_life()}
+SELECT sta.case_id, coalesce(final_assessment, CASE WHEN status = 'complete' THEN 'INCONCLUSIVE' ELSE 'PENDING' END) AS final_assessment, coalesce(final_score, 0.0) AS risk_score, coalesce(correlation_confidence, 'LOW') AS confidence,
+  coalesce(coverage, 0.0) AS evidence_coverage_percent, coalesce(explanation, {_WAITING}) AS concise_summary
+FROM sta LEFT JOIN (SELECT * FROM exp WHERE substr(sha256(case_id), 1, 1) <> '0') c ON c.case_id = sta.case_id""",
+    "v_report": _report(),
+    "a_case_runs": f"WITH RECURSIVE {manifest_ctes()[4:]},\n{_log()}\nSELECT case_id, engine, run_id, n, duration_ms, status, error_message, output_fingerprint FROM run",
+    "s_mail_csv": "WITH m AS (SELECT coalesce(source, 'none') || '/' || doc_id AS path, coalesce(text, '') AS t FROM documents) SELECT path, regexp_extract(path, '^([^/]*)', 1) AS mailbox, strlen(t) AS n_bytes, sha256(t) AS sha256 FROM m",
+    "s_mail_archive": "WITH m AS (SELECT coalesce(source, 'none') || '/' || doc_id AS name, coalesce(text, '') || chr(10) AS t FROM documents) SELECT name, strlen(t) AS n_bytes, sha256(t) AS sha256 FROM m",
+    "r_rule_texts": f"{hits_ctes()},\ntx(rule_id, rule_name, message, rationale, remediation) AS (VALUES {_rule_texts()})\n"
+                    "SELECT rule_id, rule_name, message, rationale, remediation, count(*) FILTER (matched) AS matched FROM hits JOIN tx USING (rule_id) GROUP BY ALL",
     "a_manifest": f"{manifest_ctes()}\nSELECT * FROM man",
     "a_composite_hash": f"{manifest_ctes()}\nSELECT case_id, artifacts, composite_sha256 FROM cmp",
     "v_manifest": f"{manifest_ctes()}\nSELECT man.*, artifacts, composite_sha256 FROM man JOIN cmp USING (case_id)",
@@ -266,15 +386,7 @@ FROM mail LEFT JOIN fv ON fv.case_id = mail.case_id LEFT JOIN org ON org.case_id
               "CASE WHEN k % 17 <> 0 THEN 2 END AS run, k % 17 <> 0 AS found FROM mail",
     "c_entities": f"{correlation_ctes()}\nSELECT * FROM ent",
     "c_assessments": f"{correlation_ctes()}\nSELECT case_id, rules_signal, ml_signal, ioc_signal, geo_signal, coverage, cross_entities, severe, final_score, final_assessment, correlation_confidence, conflicts FROM cor",
-    "c_top_evidence": f"""{correlation_ctes()},
-rl AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, rule_id) AS n FROM hits WHERE matched),
-ev AS (SELECT case_id, 1 AS tier, ioc_id || '/' || source AS place, 'IOC' AS engine, normalized_value AS evidence_type, 'high' AS impact FROM hit WHERE status = 'known_malicious'
-  UNION ALL SELECT case_id, 2, n || '', 'RULES', rule_id, CASE WHEN score >= 15 THEN 'high' ELSE 'medium' END FROM rl WHERE n <= 3
-  UNION ALL SELECT case_id, 3, '', 'ML', 'phishing_probability', CASE WHEN p >= 0.85 THEN 'high' ELSE 'medium' END FROM ml WHERE model_status = 'ready' AND p >= 0.65
-  UNION ALL SELECT case_id, 4, '', 'GEO', CASE WHEN is_tor_exit THEN 'tor_routing' ELSE 'vpn_routing' END, CASE WHEN is_tor_exit THEN 'medium' ELSE 'low' END FROM org WHERE is_tor_exit OR is_vpn),
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY tier, place) AS INTEGER) AS rank FROM ev)
-SELECT mail.case_id, coalesce(rank, 1) AS rank, coalesce(engine, 'CORRELATION') AS engine, coalesce(evidence_type, 'baseline_clear') AS evidence_type, coalesce(impact, 'low') AS impact
-FROM mail LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) r ON r.case_id = mail.case_id""",
+    "c_top_evidence": f"{correlation_ctes()},\n{_EVIDENCE}\nSELECT * FROM tev",
     "p_white_space": "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents",
     "m_keep_first": f"WITH {samples_cte()}\nSELECT source, seq, label, content_hash, copies FROM fst",
     "m_dedupe_counts": f"WITH {samples_cte()},\ng AS (SELECT content_hash, count(*) AS c, count(DISTINCT source) AS s, arg_min(label, (source, seq)) AS label FROM smp GROUP BY 1)\n"

@@ -13,9 +13,13 @@ from letterlens.operators import correlation as C
 from letterlens.operators import corpus as K
 from letterlens.operators import indicators as I
 from letterlens.operators import origin as G
-from letterlens.operators import lifecycle as L
+from letterlens.operators import report as RP
+from letterlens.operators import rule_texts as RT
 from letterlens.operators import rules as R
 from letterlens.operators import views as W
+from letterlens.plans.stored import Stored
+from letterlens.shared import new_folder
+from letterlens.sources import archives as AR
 from letterlens.sources import feeds as FE
 from letterlens.sources import mail as S
 from letterlens.sources import mail_view as V
@@ -78,47 +82,31 @@ def g_origins_by_class(spark: SparkSession, d: str) -> DataFrame:
     return _origins(spark, d).groupBy(F.coalesce("origin_class", F.lit("none")).alias("origin_class"), "confidence").agg(F.count("*").alias("messages"))
 
 
-def _stored_ml(spark: SparkSession, d: str) -> DataFrame:
-    """Text results as a store would hold them: a probability per message from its key."""
-    p = (F.col("k") * 37 % 101) / 100.0
-    return V.flat_mail(spark, d).select("case_id", F.when(F.col("k") % 17 == 0, "insufficient_text").otherwise("ready").alias("model_status"), p.alias("phishing_probability"))
-
-
-def _assessed(spark: SparkSession, d: str) -> DataFrame:
-    mail, hits = V.parsed_mail(spark, d), i_matches(spark, d)
-    origins = _origins(spark, d)
-    graph = C.entities(C.observations(hits, origins, mail))
-    return C.correlate(mail.select("case_id", F.lit(True).alias("parsed")), R.score_rules(mail), _stored_ml(spark, d), I.summarise(hits), origins, graph)
-
-
 def c_entities(spark: SparkSession, d: str) -> DataFrame:
-    return C.entities(C.observations(i_matches(spark, d), _origins(spark, d), V.parsed_mail(spark, d)))
+    return Stored(spark, d).graph
 
 
 def c_assessments(spark: SparkSession, d: str) -> DataFrame:
-    return _assessed(spark, d).select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "cross_entities", "severe", "final_score", "final_assessment",
-                                      "correlation_confidence", F.concat_ws(";", "conflicts").alias("conflicts"))
+    return Stored(spark, d).assessed.select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "cross_entities", "severe", "final_score", "final_assessment",
+                                            "correlation_confidence", F.concat_ws(";", "conflicts").alias("conflicts"))
 
 
 def c_explanations(spark: SparkSession, d: str) -> DataFrame:
-    return _assessed(spark, d).select("case_id", "explanation", F.concat_ws("; ", "limitations").alias("limitations"))
+    return Stored(spark, d).assessed.select("case_id", "explanation", F.concat_ws("; ", "limitations").alias("limitations"))
 
 
 def c_trained_assessments(spark: SparkSession, d: str) -> DataFrame:
     """The assessments with the text signal of the trained classifier, which scores the whole mail."""
-    mail, hits, origins = V.parsed_mail(spark, d), i_matches(spark, d), _origins(spark, d)
+    store = Stored(spark, d)
     text, enough = T.composite(F.col("subject"), F.col("body_text"), F.col("body_html"))
-    samples = mail.select(F.col("case_id").alias("doc"), text.alias("text"), enough.alias("enough"))
+    samples = store.parsed.select(F.col("case_id").alias("doc"), text.alias("text"), enough.alias("enough"))
     scored = M.score(samples, M.fit(_splits(spark, d).where("split = 'train'"))).join(samples.select("doc", "enough"), "doc")
     ml = M.with_fallbacks(scored, F.lit(True), F.col("enough")).select(F.col("doc").alias("case_id"), "model_status", F.col("probability").alias("phishing_probability"))
-    graph = C.entities(C.observations(hits, origins, mail))
-    out = C.correlate(mail.select("case_id", F.lit(True).alias("parsed")), R.score_rules(mail), ml, I.summarise(hits), origins, graph)
-    return out.select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "final_score", "final_assessment", "correlation_confidence")
+    return store.correlated(ml).select("case_id", "rules_signal", "ml_signal", "ioc_signal", "geo_signal", "coverage", "final_score", "final_assessment", "correlation_confidence")
 
 
 def c_top_evidence(spark: SparkSession, d: str) -> DataFrame:
-    mail = V.parsed_mail(spark, d)
-    return C.top_evidence(i_matches(spark, d), R.evaluate_rules(mail), _stored_ml(spark, d), _origins(spark, d), mail)
+    return Stored(spark, d).evidence
 
 
 def _page_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -258,13 +246,16 @@ def a_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a_manifest(spark: SparkSession, d: str) -> DataFrame:
-    ml = _stored_ml(spark, d).select("case_id", M.predict(F.col("phishing_probability")).alias("prediction"), F.col("phishing_probability").alias("probability"))
-    mail = V.parsed_mail(spark, d)
-    return A.evidence_manifest(mail, R.score_rules(mail), ml, _assessed(spark, d))
+    return Stored(spark, d).manifest
 
 
 def a_composite_hash(spark: SparkSession, d: str) -> DataFrame:
-    return A.composite_hash(a_manifest(spark, d))
+    return A.composite_hash(Stored(spark, d).manifest)
+
+
+def a_case_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of each case with status, output and error, in order of their start."""
+    return Stored(spark, d).runs.orderBy("case_id", "started_at").drop("started_at", "finished_at")
 
 
 def v_parsed_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +279,9 @@ def v_hops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_executive_summary(spark: SparkSession, d: str) -> DataFrame:
-    assessed = _assessed(spark, d)
-    return W.executive_summary(V.flat_mail(spark, d), assessed.where(F.substring(F.sha2("case_id", 256), 1, 1) != "0"))
+    """Cases whose digest begins with 0 have not been correlated, complete or not."""
+    store = Stored(spark, d)
+    return W.executive_summary(store.status, store.assessed.where(F.substring(F.sha2("case_id", 256), 1, 1) != "0"))
 
 
 def v_latest_event(spark: SparkSession, d: str) -> DataFrame:
@@ -297,28 +289,16 @@ def v_latest_event(spark: SparkSession, d: str) -> DataFrame:
     return W.latest_by(e.select(F.col("user_id").alias("case_id"), "ts", "event_id", "event_type"), "ts", "event_id").select("case_id", "event_id", "event_type")
 
 
-def _lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the derived mail: without a sender the parser counts as failed, without enough text the classifier."""
-    mail = V.flat_mail(spark, d)
-    yes = F.lit(True)
-    outcomes = mail.select("case_id", "k", (F.col("from_domain") != "").alias("parser"), yes.alias("rules"), (F.col("k") % 17 != 0).alias("ml"), yes.alias("ioc"),
-                           F.when(F.col("k") % 23 != 0, yes).alias("geo"), yes.alias("correlation"), (F.col("k") % 29 != 0).alias("intact"))
-    return L.lifecycle_events(outcomes, F.col("k") % 7 == 0)
-
-
 def a_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return _lifecycle(spark, d)
+    return Stored(spark, d).events
 
 
 def a_provenance(spark: SparkSession, d: str) -> DataFrame:
-    flat, mail = V.flat_mail(spark, d), V.parsed_mail(spark, d)
-    cases = flat.select("case_id", F.sha2("body_text", 256).alias("raw_evidence_sha256"))
-    ready = _stored_ml(spark, d).where("model_status = 'ready'")
-    return L.provenance(cases, mail.where("sender.domain <> ''"), mail, ready, i_matches(spark, d), G.select_origin(G.candidates(mail)).where("selected_origin_ip is not null"), mail)
+    return Stored(spark, d).provenance
 
 
 def v_status(spark: SparkSession, d: str) -> DataFrame:
-    return L.case_status(_lifecycle(spark, d))
+    return Stored(spark, d).status
 
 
 def v_geo(spark: SparkSession, d: str) -> DataFrame:
@@ -330,12 +310,13 @@ def v_reserved_ips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_manifest(spark: SparkSession, d: str) -> DataFrame:
-    rows = a_manifest(spark, d)
+    rows = Stored(spark, d).manifest
     return W.manifest_view(rows, A.composite_hash(rows))
 
 
 def v_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return W.correlation_view(V.flat_mail(spark, d), _assessed(spark, d))
+    store = Stored(spark, d)
+    return W.correlation_view(store.flat, store.assessed)
 
 
 def m_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -374,16 +355,18 @@ def m_model_card(spark: SparkSession, d: str) -> DataFrame:
 
 def v_text(spark: SparkSession, d: str) -> DataFrame:
     """The last of two text results of each case; some cases have none."""
-    last = _stored_ml(spark, d).where("model_status = 'ready'").withColumn("run", F.lit(2))
+    store = Stored(spark, d)
+    last = store.ml.where("model_status = 'ready'").withColumn("run", F.lit(2))
     first = last.withColumns({"phishing_probability": 1 - F.col("phishing_probability"), "run": F.lit(1)})
-    return W.latest_view(V.flat_mail(spark, d), first.unionByName(last), "run")
+    return W.latest_view(store.flat, first.unionByName(last), "run")
 
 
 def v_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The last of two provenance rows of each case, the first of which lacks the feed."""
-    last = a_provenance(spark, d).withColumn("run", F.lit(2))
+    store = Stored(spark, d)
+    last = store.provenance.withColumn("run", F.lit(2))
     first = last.withColumns({"ioc_feed_version": F.lit(None).cast("string"), "run": F.lit(1)})
-    return W.latest_view(V.flat_mail(spark, d), first.unionByName(last), "run")
+    return W.latest_view(store.flat, first.unionByName(last), "run")
 
 
 def v_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -391,10 +374,11 @@ def v_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_report(spark: SparkSession, d: str) -> DataFrame:
-    mail, matches, origins, hits = V.parsed_mail(spark, d), i_matches(spark, d), _origins(spark, d), R.evaluate_rules(V.parsed_mail(spark, d))
-    evidence = C.top_evidence(matches, hits, _stored_ml(spark, d), origins, mail)
-    scores, custody = R.score_rules(mail), a_composite_hash(spark, d)
-    return W.report(mail, hits, matches, origins, _assessed(spark, d), evidence, scores, _stored_ml(spark, d), _lifecycle(spark, d), a_provenance(spark, d), custody).select("case_id", "report_sha256", F.to_json("report").alias("report_json"))
+    store = Stored(spark, d)
+    reports = RP.report(cases=store.flat.join(store.status, "case_id"), parsed=store.parsed, hits=RT.with_texts(R.evaluate_rules(store.parsed)), scores=store.scores, ml=store.ml_results, matches=store.matches,
+                        origins=store.origins, assessed=store.assessed, evidence=store.evidence, graph=store.graph, chain=store.chain, errors=A.verify_rows(store.chain), runs=store.runs,
+                        provenance=store.provenance, manifest=store.manifest)
+    return reports.select("case_id", "report_sha256", RP.report_json(F.col("report")).alias("report_json"))
 
 
 def p_parse_rendered_mail(spark: SparkSession, d: str) -> DataFrame:
@@ -405,3 +389,30 @@ def p_parse_rendered_mail(spark: SparkSession, d: str) -> DataFrame:
 def a_pending(spark: SparkSession, d: str) -> DataFrame:
     mail = V.flat_mail(spark, d)
     return A.pending(mail.select("case_id"), [i_matches(spark, d).select("case_id").distinct(), _origins(spark, d).where("selected_origin_ip is not null")])
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as messages of a mailbox, their source."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.concat_ws("/", F.coalesce("source", F.lit("none")), "doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("message"))
+
+
+def s_mail_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as quoted CSV and read back by ranges of bytes."""
+    to = new_folder(spark, "mail-csv")
+    _messages(spark, d).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(to)
+    rows = S.read_mail_csv(spark, to)
+    return rows.select("path", "mailbox", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256).alias("sha256"))
+
+
+def s_mail_archive(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as bzip2 tar archives and read back block by block."""
+    to = new_folder(spark, "mail-archives")
+    AR.write_archives(_messages(spark, d).select(F.col("file").alias("name"), F.encode(F.concat("message", F.lit("\n")), "UTF-8").alias("content")), to)
+    return S.read_archives(spark, to).select(F.regexp_extract("path", "#(.*)$", 1).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def r_rule_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What matched rules say, counted over all mail."""
+    hits = RT.with_texts(R.evaluate_rules(V.parsed_mail(spark, d)))
+    return hits.groupBy("rule_id", "rule_name", "message", "rationale", "remediation").agg(F.count_if("matched").alias("matched"))
