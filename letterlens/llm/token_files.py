@@ -26,7 +26,7 @@ from .word_ids import word_ids
 FILE = "word_bpe_49k.json"
 END_ID = 2
 #: Texts that a task holds at once.
-TEXTS = 200
+TEXTS = 400
 #: Ids of a shard, and the fewest for which another shard is worth while when there are fewer shards than cores.
 SHARD_IDS, LEAST_IDS = 1 << 26, 1 << 18
 #: Bytes of a row group before encoding and of a page; rows of a page, which bounds what a selective read decodes.

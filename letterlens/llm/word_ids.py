@@ -20,28 +20,28 @@ AT_ONCE = 200
 _BOTH_SPACE, _SPACE = re.compile(r"\s \s"), re.compile(r"\s")
 #: What the pattern of the files without a lead cuts a lower-cased ASCII word into.
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Letters of any script, and the ASCII signs behind them: two pre-tokens.
+_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
-class _Cache(dict):
+class _Cache:
     """Ids (as bytes) by text, in two generations."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.elder = encode, {}
+        self.encode, self.known, self.elder = encode, {}, {}
 
-    def learn(self, texts: Iterable[str]) -> list[str]:
+    def learn(self, texts: set[str]) -> list[str]:
         """Makes all of these texts known; gives those that had to be encoded."""
-        if len(self) > CACHE:
-            self.elder = dict(self)
-            self.clear()
-        missing = [t for t in texts if t not in self]
-        elder, new = self.elder, []
-        for t in missing:
-            ids = elder.get(t)
-            if ids is None:
-                new.append(t)
-            else:
-                self[t] = ids
-        self.update(zip(new, self.encode(new), strict=True))
+        if len(self.known) > CACHE:
+            self.known, self.elder = {}, self.known
+        missing = texts.difference(self.known)
+        if not missing:
+            return []
+        new = list(missing.difference(self.elder))
+        if len(new) < len(missing):
+            again = list(missing.difference(new))
+            self.known.update(zip(again, map(self.elder.__getitem__, again), strict=True))
+        self.known.update(zip(new, self.encode(new), strict=True))
         return new
 
 
@@ -65,7 +65,8 @@ class WordIds:
         self.library, self.lead = Tokenizer.from_file(path), lead
         self.library.encode_special_tokens = not special
         vocabulary = self.library.get_vocab()
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values()) if special else ()
+        strings = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(map(re.escape, strings)) or r"(?!)").search
         self.edge = np.zeros(1 + max(vocabulary.values()), bool)  # ids that begin with a space, or that end a pre-token
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if lead else token.endswith("</w>")
@@ -75,18 +76,18 @@ class WordIds:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that the pattern cuts at both ends, many in one string."""
+        """Ids of texts that the pattern cuts at both ends, many in one string; one by one where it does not cut as expected."""
         groups = [texts[k:k + AT_ONCE] for k in range(0, len(texts), AT_ONCE)]
         joined = [self.lead + self.lead.join(g) for g in groups] if self.lead else [" ".join(g) for g in groups]
         out = []
         for group, encoded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, np.uint32)
-            cuts = np.flatnonzero(self.edge[ids])
-            ends = np.r_[cuts[1:], len(ids)] if self.lead else cuts + 1
-            if len(ends) != len(group) or ends[-1] != len(ids):
-                raise ValueError("the file does not cut texts as it is expected to")
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            raw = array("I", encoded.ids).tobytes()
+            cuts = np.flatnonzero(self.edge[np.frombuffer(raw, np.uint32)])
+            ends = ((np.r_[cuts[1:], len(raw) // 4] if self.lead else cuts + 1) * 4).tolist()
+            if len(ends) != len(group) or ends[-1] != len(raw):
+                out += self._alone([self.lead + t for t in group])
+            else:
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
     def _words_with_lead(self, words: list[str]) -> list[bytes]:
@@ -95,14 +96,26 @@ class WordIds:
         plain |= zip(odd, self._alone([self.lead + w for w in odd]), strict=True)
         return [plain[w] for w in words]
 
+    def _cut_word(self, word: str) -> list[str] | None:
+        """A word's pre-tokens; None if it has to be encoded as it is."""
+        if len(word) > LONG_WORD or "<" in word and self.special(word):
+            return None
+        if word.isascii():
+            return _ASCII_PARTS.findall(word.lower())
+        match = _LETTERS_AND_SIGNS.fullmatch(word)
+        if match is None or not match[1].isalpha():
+            return None
+        return [match[1], match[2]] if match[2] else [word]
+
     def _words_by_parts(self, words: list[str]) -> list[bytes]:
-        own = {w: _ASCII_PARTS.findall(w.lower()) for w in words if w.isascii() and len(w) <= LONG_WORD and not any(s in w for s in self.special)}
-        self.parts.learn(list({p for parts in own.values() for p in parts}))
-        part = self.parts.__getitem__
-        known = {w: b"".join(map(part, parts)) for w, parts in own.items()}
-        other = [w for w in words if w not in own]
-        known |= zip(other, self._alone(other), strict=True)
-        return [known[w] for w in words]
+        parts = list(map(self._cut_word, words))
+        all_ = set()
+        for own in parts:
+            all_.update(own or ())
+        self.parts.learn(all_)
+        part = self.parts.known.__getitem__
+        alone = iter(self._alone([w for w, own in zip(words, parts, strict=True) if own is None]))
+        return [next(alone) if own is None else b"".join(map(part, own)) for own in parts]
 
     def _words(self, text: str) -> list[str] | None:
         if not self.lead:
@@ -115,14 +128,14 @@ class WordIds:
         for own in words:
             all_.update(own or ())
         new = self.known.learn(all_)
-        known = self.known.__getitem__
+        known = self.known.known.__getitem__
         out = [None if own is None else np.frombuffer(b"".join(map(known, own)), np.uint32) for own in words]
         whole = [i for i, own in enumerate(words) if own is None]
         for i, ids in zip(whole, self._alone([self.lead + texts[i] for i in whole]), strict=True):
             out[i] = np.frombuffer(ids, np.uint32)
         for w in new:
             if len(w) > LONG_WORD:
-                del self.known[w]
+                del self.known.known[w]
         return out
 
 
