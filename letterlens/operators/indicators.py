@@ -1,7 +1,7 @@
 """Indicators of compromise: extraction from messages, lookup in feeds, summaries.
 
 Extraction, dedupe and numbering happen within a message's row, so nothing is shuffled before the lookup; feeds are
-broadcast when their counted rows are few, else the lookup is a shuffled join.
+broadcast when their measured bytes are few, else the lookup is a shuffled join.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterlens.functions import urls as U
-
-#: Feed rows up to which a feed is broadcast.
-BROADCAST_ROWS = 200_000
+from letterlens.shared import BROADCAST_BYTES, sized_side
 
 
 def _candidate(kind: str, original: Column, value: Column, context: str) -> Column:
@@ -44,7 +42,7 @@ def extract_indicators(parsed: DataFrame) -> DataFrame:
     return rows.select("case_id", F.posexplode(first).alias("n", "x")).select("case_id", F.format_string("IOC-%03d", F.col("n") + 1).alias("ioc_id"), "x.*")
 
 
-def match_indicators(indicators: DataFrame, feed: DataFrame, sources: list[str] | None = None) -> DataFrame:
+def match_indicators(indicators: DataFrame, feed: DataFrame, sources: list[str] | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every indicator against every source. No match is not_found with confidence 0, never benign.
 
     feed: source, ioc_type, normalized_value, status, confidence, reason, feed_version, one row per source and value.
@@ -54,7 +52,7 @@ def match_indicators(indicators: DataFrame, feed: DataFrame, sources: list[str]
     known = {r.source: r.n for r in feed.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sources or sorted(known)
     side = feed.select("source", "ioc_type", "normalized_value", "status", "confidence", "reason", "feed_version", *[c for c in feed.columns if c == "feed_sha256"])
-    side = F.broadcast(side) if sum(known.values()) <= BROADCAST_ROWS else side
+    side = sized_side(side, "source", "normalized_value", "reason", limit=limit)
     empty = F.col("source").isin(*[s for s in names if not known.get(s)])
     each = indicators.withColumn("source", F.explode(F.array(*map(F.lit, names))))
     return each.join(side, ["source", "ioc_type", "normalized_value"], "left").withColumn(

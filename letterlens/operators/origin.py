@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterlens.functions.urls import IPV4
-from letterlens.operators.indicators import BROADCAST_ROWS
+from letterlens.operators.networks import longest_match, networks
+from letterlens.shared import BROADCAST_BYTES
 
 # The address patterns and ranges on which classes depend (first match counts).
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
@@ -32,6 +33,8 @@ RANGES_V6 = (
     ("MULTICAST", ("ff00::/8",)),
     ("RESERVED", ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")))
 ORIGIN_CLASSES = ("GLOBAL", "DOCUMENTATION")
+#: What a location without a radius of its own counts with.
+RADIUS_KM = 50
 
 
 def _number(quad: str) -> int:
@@ -138,15 +141,32 @@ def select_origin(found: DataFrame) -> DataFrame:
         F.col("o.classification").alias("origin_class"), hop.alias("origin_hop"), "total_hops", "private_hops", "confidence", limits.alias("limitations"), "candidate_ips")
 
 
-def _lookup(rows: DataFrame, feed: DataFrame) -> DataFrame:
-    side = feed.withColumnRenamed("ip", "selected_origin_ip")
-    return rows.join(F.broadcast(side) if feed.count() <= BROADCAST_ROWS else side, "selected_origin_ip", "left")
+def _stamped(out: DataFrame, feed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """out with the feed's version and digest under names of their own, on every row, as the feed was asked for each."""
+    there = [c for c in names if c in feed.columns]
+    row = feed.select(*there).first() if there else None
+    return out.withColumns({names[c]: F.lit(row[c] if row else None).cast("string") for c in there}) if there else out
 
 
-def enrich(origins: DataFrame, geo: DataFrame, intel: DataFrame) -> DataFrame:
-    """Location and network flags of the origin; a miss leaves flags null and intel_source unmatched."""
-    out = _lookup(_lookup(origins, geo), intel.withColumn("intel_source", F.lit("feed")))
-    return out.withColumn("intel_source", F.coalesce("intel_source", F.lit("unmatched")))
+def _lookup(rows: DataFrame, feed: DataFrame, limit: int) -> DataFrame:
+    fields = [c for c in feed.columns if c not in ("ip", "version", "feed_sha256")]
+    return longest_match(rows, "selected_origin_ip", networks(feed.select("ip", *fields)), fields, limit)
+
+
+def enrich(origins: DataFrame, geo: DataFrame, intel: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Location and network flags of the origin; a miss leaves flags null and intel_source unmatched.
+
+    A feed's `ip` is an address or a network (`address/length`), and the longest network that holds the origin counts.
+    A location without accuracy_radius_km has RADIUS_KM. Versions and digests of both feeds go along, if the feeds have them.
+    """
+    out = _lookup(origins, geo, limit).withColumnRenamed("matched_prefix", "geo_prefix")
+    if "accuracy_radius_km" in geo.columns:
+        out = out.withColumn("accuracy_radius_km", F.when(F.col("geo_prefix").isNotNull(), F.coalesce("accuracy_radius_km", F.lit(RADIUS_KM))))
+    out = _stamped(out, geo, {"version": "geo_database_version", "feed_sha256": "geo_database_sha256"})
+    out = _lookup(out, intel, limit)
+    out = out.withColumn("intel_source", F.when(F.col("matched_prefix").isNotNull(), "feed").otherwise("unmatched"))
+    out = _stamped(out, intel, {"version": "network_feed_version", "feed_sha256": "network_feed_sha256"})
+    return out.drop("geo_prefix", "matched_prefix")
 
 
 def trace_origin(parsed: DataFrame, geo: DataFrame, intel: DataFrame) -> DataFrame:

@@ -262,6 +262,11 @@ run AS (SELECT rn.case_id, rn.engine, 'RUN-' || rn.case_id || '-' || rn.engine |
   CASE WHEN status = 'completed' THEN sha256 END AS output_fingerprint FROM rn LEFT JOIN (SELECT case_id, {engine} AS engine, sha256 FROM man WHERE {engine} IS NOT NULL) o ON o.case_id = rn.case_id AND o.engine = rn.engine)"""
 
 
+def _quad(ip: str) -> str:
+    """The number of an IPv4 address."""
+    return "(" + " + ".join(f"CAST(string_split({ip}, '.')[{i}] AS BIGINT) * {256 ** (4 - i)}" for i in (1, 2, 3, 4)) + ")"
+
+
 _WAITING = "'The case is in status ''' || status || '''; its signals have not been correlated.'"
 
 
@@ -444,6 +449,23 @@ FROM sta LEFT JOIN (SELECT * FROM exp WHERE substr(sha256(case_id), 1, 1) <> '0'
               "regexp_extract(line, '\\bby\\s+([a-zA-Z0-9._-]+)', 1) AS by_host FROM hop JOIN mail ON mail.case_id = hop.case_id",
     "v_latest_event": "SELECT user_id AS case_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "v_timeline": f"WITH RECURSIVE {_EVENTS}\nSELECT chn.case_id, CAST(chn.seq AS INTEGER) AS event_sequence, ev.event_type, chn.prev AS previous_event_hash, chn.hash AS event_hash FROM chn JOIN ev USING (case_id, seq)",
-    "a_pending": f"{match_ctes()},\n{origin_ctes()}\nSELECT mail.case_id FROM mail WHERE NOT (case_id IN (SELECT case_id FROM hit) AND case_id IN (SELECT case_id FROM org WHERE selected_origin_ip IS NOT NULL))",
+    "a_pending": f"""{match_ctes()},
+{origin_ctes()},
+ps AS (SELECT mail.case_id, concat_ws(',', CASE WHEN from_domain = '' THEN 'parsed' END, CASE WHEN k % 17 = 0 THEN 'ml' END, CASE WHEN mail.case_id NOT IN (SELECT case_id FROM hit) THEN 'ioc' END,
+  CASE WHEN mail.case_id NOT IN (SELECT case_id FROM org WHERE selected_origin_ip IS NOT NULL) THEN 'geo' END) AS missing FROM mail)
+SELECT * FROM ps WHERE missing <> ''""",
+    "i_source_matches": f"""{match_ctes()},
+als AS (SELECT case_id, source, status FROM hit UNION ALL SELECT case_id, 'feed-c', 'error' FROM ind)
+SELECT case_id, source, {', '.join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ('known_malicious', 'suspicious', 'known_benign', 'not_found', 'error'))} FROM als GROUP BY case_id, source""",
+    "g_network_origins": f"""{oracle_ctes()},
+{origin_ctes()},
+nw AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN '45.83.' || (s_suppkey % 100) || '.' || (s_suppkey % 256) WHEN 1 THEN '203.0.113.' || (s_suppkey % 40) ELSE '185.220.101.' || (s_suppkey % 30) END AS ip, 8 + s_suppkey % 25 AS bits,
+  'N' || lpad((s_suppkey % 97) || '', 2, '0') AS country_code, CAST(64500 + s_suppkey % 50 AS INTEGER) AS asn, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 90 AS INTEGER) END AS radius FROM supplier),
+rng AS (SELECT *, {_quad('ip')} // (CAST(1 AS BIGINT) << (32 - bits)) * (CAST(1 AS BIGINT) << (32 - bits)) AS first FROM nw),
+uni AS (SELECT * FROM rng QUALIFY row_number() OVER (PARTITION BY first, bits ORDER BY ip || '/' || bits, country_code, asn, radius NULLS FIRST) = 1),
+adr AS (SELECT DISTINCT selected_origin_ip AS ip, {_quad('selected_origin_ip')} AS n FROM org WHERE selected_origin_ip IS NOT NULL),
+lpm AS (SELECT adr.ip, uni.country_code, uni.asn, coalesce(uni.radius, 50) AS radius FROM adr JOIN uni ON n >= first AND n < first + (CAST(1 AS BIGINT) << (32 - bits)) QUALIFY row_number() OVER (PARTITION BY adr.ip ORDER BY bits DESC) = 1)
+SELECT org.case_id, selected_origin_ip, lpm.country_code, lpm.asn, lpm.radius AS accuracy_radius_km, is_tor_exit, intel_source, '2' AS geo_database_version, repeat('ab', 32) AS geo_database_sha256, '3' AS network_feed_version, repeat('cd', 32) AS network_feed_sha256
+FROM org LEFT JOIN lpm ON lpm.ip = org.selected_origin_ip""",
 }
 ORACLES["v_provenance"] = f"SELECT *, 2 AS run, true AS found FROM ({ORACLES['a_provenance']}) p"

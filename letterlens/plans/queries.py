@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from letterlens.plans.stored import Stored
 from letterlens.shared import new_folder
 from letterlens.sources import archives as AR
 from letterlens.sources import feeds as FE
+from letterlens.sources import indicator_sources as SO
 from letterlens.sources import mail as S
 from letterlens.sources import mail_view as V
+from letterlens.sources import result_tables as RS
 
 
 def flagship_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -387,8 +391,39 @@ def p_parse_rendered_mail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a_pending(spark: SparkSession, d: str) -> DataFrame:
-    mail = V.flat_mail(spark, d)
-    return A.pending(mail.select("case_id"), [i_matches(spark, d).select("case_id").distinct(), _origins(spark, d).where("selected_origin_ip is not null")])
+    """Cases that lack a result in one of six bucketed tables, and which engines' results they lack."""
+    store, run = Stored(spark, d), uuid.uuid4().hex[:12]
+    ids = lambda df: df.select("case_id").distinct()
+    results = {"parsed": ids(store.parsed.where("sender.domain <> ''")), "rules": ids(store.scores), "ml": ids(store.ml.where("model_status = 'ready'")), "ioc": ids(store.matches),
+               "geo": ids(store.origins.where("selected_origin_ip is not null")), "correlation": ids(store.assessed)}
+    names = {k: f"letterlens_{run}_{k}" for k in ("cases", *RS.ENGINES)}
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    RS.save_bucketed(ids(store.flat), names["cases"], buckets)
+    for k in RS.ENGINES:
+        RS.save_bucketed(results[k], names[k], buckets)
+    pending = RS.pending_of_tables(spark, names["cases"], [names[k] for k in RS.ENGINES])
+    return pending.join(RS.completeness(spark, names["cases"], {k: names[k] for k in RS.ENGINES}).hint("merge"), "case_id")
+
+
+def i_source_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The indicators of all mail against three sources that are plugged in, one of which fails."""
+    given = [dict(zip(("source", "type", "value", "status", "confidence", "reason"), r, strict=True)) | {"feed_version": "1"} for r in FE.EXAMPLE_INDICATORS]
+    sources = [SO.Records(n, tuple(r for r in given if r["source"] == n)) for n in ("feed-a", "feed-b")]
+    sources.append(SO.JsonFeed("feed-c", "file:///nowhere/feed.json"))
+    matches = SO.match_sources(i_indicators(spark, d), sources)
+    return matches.groupBy("case_id", "source").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("known_malicious", "suspicious", "known_benign", "not_found", "error")])
+
+
+def g_network_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Origins in networks of many lengths, which are made from the suppliers; the longest one counts."""
+    k = F.col("s_suppkey")
+    base = F.when(k % 3 == 0, F.concat(F.lit("45.83."), (k % 100).cast("string"), F.lit("."), (k % 256).cast("string"))).when(
+        k % 3 == 1, F.concat(F.lit("203.0.113."), (k % 40).cast("string"))).otherwise(F.concat(F.lit("185.220.101."), (k % 30).cast("string")))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(base, F.lit("/"), (F.lit(8) + k % 25).cast("string")).alias("ip"), F.concat(F.lit("N"), F.lpad((k % 97).cast("string"), 2, "0")).alias("country_code"),
+                                                              (F.lit(64500) + k % 50).cast("int").alias("asn"), F.when(k % 2 == 0, (k % 90).cast("int")).alias("accuracy_radius_km"), F.lit("2").alias("version"), F.lit("ab" * 32).alias("feed_sha256"))
+    intel = FE.example_intel(spark).withColumns({"version": F.lit("3"), "feed_sha256": F.lit("cd" * 32)})
+    out = G.enrich(G.select_origin(G.candidates(V.parsed_mail(spark, d))), rows, intel)
+    return out.select("case_id", "selected_origin_ip", "country_code", "asn", "accuracy_radius_km", "is_tor_exit", "intel_source", "geo_database_version", "geo_database_sha256", "network_feed_version", "network_feed_sha256")
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:

@@ -349,7 +349,9 @@ def test_html_text_and_views(spark):
     df = spark.createDataFrame([message("c", body_text="x" * 501)], PARSED)
     v = W.overview(df).first()
     assert v.sender == "Ann <a@corp.example>" and v.snippet == "x" * 500 + "..."
-    assert W.executive_summary(df, spark.createDataFrame([], "case_id string, final_score double, final_assessment string, correlation_confidence string")).first().assessment == "PENDING"
+    none = spark.createDataFrame([], "case_id string, final_score double, final_assessment string, correlation_confidence string, coverage double, explanation string")
+    states = spark.createDataFrame([("a", "queued"), ("b", "complete")], "case_id string, status string")
+    assert {r.case_id: r.final_assessment for r in W.executive_summary(states, none).collect()} == {"a": "PENDING", "b": "INCONCLUSIVE"}
 
 
 IPV6 = {"2002::1": "PRIVATE", "2001::1": "PRIVATE", "2001:10::1": "PRIVATE", "100::1": "PRIVATE", "::ffff:10.0.0.1": "PRIVATE", "::ffff:127.0.0.1": "LOOPBACK", "::ffff:8.8.8.8": "RESERVED",
@@ -392,7 +394,7 @@ def test_lifecycle_of_failed_and_forced_cases(spark):
     assert got["bad"] == ["PROCESSING_STARTED", "PARSER_STARTED", "PARSER_FAILED", "CASE_ANALYSIS_FAILED"]
     assert got["ok"][0] == "ANALYSIS_RERUN" and got["ok"][-2:] == ["CASE_ANALYSIS_COMPLETED", "EVIDENCE_INTEGRITY_VERIFIED"] and len(got["ok"]) == 16
     assert {"ML_FAILED", "GEO_FAILED", "EVIDENCE_INTEGRITY_FAILURE"} < set(got["part"])
-    assert {r.case_id: r.status for r in L.case_status(events).collect()} == {"ok": "completed", "bad": "failed", "part": "completed"}
+    assert {r.case_id: r.status for r in L.case_status(events).collect()} == {"ok": "complete", "bad": "failed", "part": "complete"}
 
 
 def test_mbox_keeps_bytes(spark, tmp_path):
