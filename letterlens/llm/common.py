@@ -66,6 +66,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, begin: Column, n: Column) -> Column:
+    """The text of n words from word `begin` (from 0), each with the white space before it as it stands in the text."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), (begin + 1).cast("int"), n.cast("int")), "")
+
+
 def text_key(text: Column) -> Column:
     """What tells apart the texts of rows that share a doc_id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side, table, word_count  # noqa: F401
+from .common import Scratch, first_words, small_side, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -135,7 +135,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken; the document at a cut ends after its last word taken.
+    """The mix itself: rows of docs, each as often as it is taken; the document at a cut ends after its last word taken, white
+    space before that as it is.
 
     Documents without words come along wherever their place in the order of keys is before the cut. Nulls and repeats
     count as in mix(); columns are as in docs.
@@ -148,6 +149,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.array_repeat(F.lit(None).cast("long"), whole.cast("int")),
         F.when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<long>"))))
     rows = rows.withColumn("_cut", F.explode("_copies"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_cut").cast("int")), " "))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.lit(0), F.col("_cut")))
     return rows.select(*[text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, first_words, word_count
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: What a bin costs besides its length.
 BIN_COST = 16
 GROUP_PIECES = 20_000
-_OUT = "doc_id long, piece long, length long, bin_id long, capacity long, bin_offset long"
+_OUT = "row long, doc_id long, piece long, length long, bin_id long, capacity long, bin_offset long"
 
 
 class _Pieces:
@@ -109,8 +109,29 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = BIN_COST, group
     and nothing is dropped. A document without words, or null, has one piece of length 0 and no bin (null). Rows that
     repeat are packed each. doc_id may be null. An empty table gives an empty result. Reruns over the same files agree.
     """
-    scratch, largest = Scratch(docs.sparkSession, "pack"), max(capacities)
-    sizes = scratch.write(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sizes = docs.select("doc_id", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+    return _packed(Scratch(docs.sparkSession, "pack").write(sizes, "sizes"), capacities, bin_cost, group_pieces).drop("row")
+
+
+def packed_texts(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """What pack() gives, with row, which tells apart rows of docs that share an id, and text, the piece's own text.
+
+    A piece's text is its words with the white space before each as it was; a row's pieces in order give its text back,
+    but for white space behind its last word. Texts are shuffled once, by row.
+    """
+    scratch = Scratch(docs.sparkSession, "pack")
+    rows = scratch.write(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    sizes = scratch.write(rows.select("doc_id", word_count(F.col("text")).alias("size"), "row"), "sizes")
+    places = scratch.write(_packed(sizes, capacities, bin_cost, group_pieces), "places")
+    begin = F.col("piece") * max(capacities)
+    whole = (F.col("piece") == 0) & (F.col("length") < max(capacities))  # the only piece of its row
+    text = F.when(F.col("length") == 0, F.lit("")).when(whole, F.regexp_replace("text", r"[\x20\x09-\x0D]+$", "")).otherwise(first_words(F.col("text"), begin, F.col("length")))
+    return places.join(rows.select("row", "text"), "row").withColumn("text", text)
+
+
+def _packed(sizes: DataFrame, capacities, bin_cost: int, group_pieces: int) -> DataFrame:
+    """Pieces and bins of sizes (doc_id, size, row)."""
+    largest = max(capacities)
     n_groups = max(1, ceil(sizes.count() / group_pieces))
 
     def packed(rows: pa.Table) -> pa.Table:
@@ -122,6 +143,7 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = BIN_COST, group
         own = first + int(bin_of.max(initial=-1)) + 1 + np.arange(len(full))
         zero = np.zeros(len(none), np.int64)
         return pa.table({
+            "row": rows["row"].take(pa.array(np.r_[some, full, none])),
             "doc_id": rows["doc_id"].take(pa.array(np.r_[some, full, none])),
             "piece": np.r_[whole[some], np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole), zero],
             "length": np.r_[rest[some], np.full(len(full), largest), zero],

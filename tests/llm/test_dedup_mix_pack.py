@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from letterlens.llm import common, mixing
 from letterlens.llm.exact_dedup import exact_groups, keep_one_of_equal
 from letterlens.llm.mixing import mix, mixed_documents
-from letterlens.llm.packing import CAPACITIES, best_fit, pack
+from letterlens.llm.packing import CAPACITIES, best_fit, pack, packed_texts
 from letterlens.llm.simhash import BKForest, block_masks, fingerprints, keep_one_of_near, near_groups, shard_links
 
 from .data import documents, frame, hard
@@ -298,3 +298,24 @@ def test_forest_and_large_shards_find_all_links():
         for i in range(len(fps)):
             groups[find(i)].add(want[i])
         assert len(groups) == len(set(want)) and all(len(g) == 1 for g in groups.values())
+
+
+def test_the_mix_keeps_white_space_and_bins_give_every_word_back(spark):
+    texts = ["a\n b   c\td  e", "  lead and tail \n", "one", "", None, " \n ", "\r\nx\x0by\x0c z\n\n\nq ", "w\n" * 5_000, "\t" + "v  " * 9_000]
+    rows = [(i % 6, t, "en", "abc"[i % 3], 0) for i, t in enumerate(texts * 3)]
+    mixed = mixed_documents(frame(spark, rows))
+    cut = {(r.doc_id, r.text) for r in mixed.collect()}
+    originals = {}
+    for r in rows:
+        originals.setdefault(r[0], []).append(r[1] or "")
+    assert all(any(o.startswith(t or "") for o in originals[d]) for d, t in cut)  # what is left of a cut text is its begin
+    docs = common.Scratch(spark, "t").write(mixed, "mixed")
+    got, want = packed_texts(docs, group_pieces=40).collect(), Counter((r.doc_id, (r.text or "").rstrip(" \t\n\x0b\x0c\r")) for r in docs.collect())
+    by_row = {}
+    for r in got:
+        assert len(r.text.split()) == r.length
+        by_row.setdefault((r.row, r.doc_id), []).append((r.piece, r.text))
+    assert Counter((d, "".join(t for _, t in sorted(own))) for (_, d), own in by_row.items()) == want
+    assert len({r.row for r in got}) == docs.count() and packed_texts(frame(spark, [])).count() == 0
+    places = {(r.bin_id, r.bin_offset) for r in got if r.length}
+    assert len(places) == sum(1 for r in got if r.length)  # no two pieces share a place

@@ -105,6 +105,9 @@ def test_pipeline_against_plain_loops(spark):
     assert packed.length.sum() == sum(len(t.split()) for t in out["mix"].text)
     bins = packed[packed.length > 0].groupby("bin_id").agg(used=("length", "sum"), cap=("capacity", "first"))
     assert (bins.used <= bins.cap).all()
+    given = Counter((d, t.rstrip(" \t\n\x0b\x0c\r")) for d, t in zip(out["mix"].doc_id, out["mix"].text))
+    texts = packed.sort_values("piece").groupby(["row", "doc_id"]).text.agg("".join)
+    assert Counter((d, t) for (_, d), t in texts.items()) == given  # every word of the mix, in order, from the bins
     ran = corpus_pipeline.run(spark, SF).toPandas()
     assert Counter(zip(ran.doc_id, ran.piece, ran.length)) == Counter(zip(packed.doc_id, packed.piece, packed.length))
 
