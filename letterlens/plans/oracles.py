@@ -338,7 +338,7 @@ body AS (SELECT mail.case_id, to_json({{
   case_info: {{case_id: mail.case_id, case_status: sta.status, email_date: CAST(NULL AS VARCHAR), evidence_sha256: sha256(body_text), file_size_bytes: strlen(body_text), message_id: message_id, original_filename: mail.case_id || '.eml',
     recipients: {to}, sender: {sender}, subject: subject, upload_timestamp: strftime(CAST(mail.sent AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || '+00:00'}},
   correlation: {{conflicts: {as_list('exp.conflicts', ';')}, correlation_confidence: exp.correlation_confidence, correlation_version: '1.0.0', engine_breakdown: {{{part('geo', 0.10)}, {part('ioc', 0.25)}, {part('ml', 0.30)}, {part('rules', 0.35)}}},
-    evidence_coverage_percent: coverage, evidence_graph_entities: s_ent.l, explanation: explanation, final_assessment: final_assessment, final_score: final_score, limitations: {as_list('exp.limitations', '; ')}, policy_version: '1.0.0', top_evidence: s_ev.l}},
+    evidence_coverage_percent: coverage, evidence_graph_entities: coalesce(s_ent.l, []), explanation: explanation, final_assessment: final_assessment, final_score: final_score, limitations: {as_list('exp.limitations', '; ')}, policy_version: '1.0.0', top_evidence: s_ev.l}},
   email_overview: {{attachments_count: coalesce(len(s_att.l), 0), body_plain_snippet: CASE WHEN length(body_text) > 500 THEN substr(body_text, 1, 500) || '...' ELSE body_text END, cc: {none}, content_type: CAST(NULL AS VARCHAR), date: CAST(NULL AS VARCHAR),
     message_id: message_id, reply_to: 'help@' || reply_domain, return_path: return_path, sender_from: coalesce({sender}, 'Not available'), subject: coalesce(nullif(subject, ''), '(No Subject)'), 'to': {to}, urls_count: len(urls)}},
   evidence_integrity: {{bytes_altered: CASE {state} WHEN 'FILE_MISSING' THEN -1 WHEN 'COMPROMISED' THEN 1 ELSE 0 END, current_sha256: CASE {state} WHEN 'FILE_MISSING' THEN 'MISSING_ON_DISK' WHEN 'COMPROMISED' THEN sha256(body_text || '!') ELSE sha256(body_text) END,
