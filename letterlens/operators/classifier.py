@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterlens.operators import logistic
+from letterlens.shared import new_folder, write_once
+
 VOCABULARY = 5_000
 #: The candidates (C, vocabulary) in order.
 GRID = ((0.5, 5_000), (1.0, 5_000), (5.0, 5_000), (10.0, 5_000), (5.0, 8_000), (10.0, 8_000))
@@ -49,36 +51,57 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
 
 @dataclass
 class TextModel:
-    """A fitted model: its terms with document counts and coefficients, which are as many as the vocabulary."""
+    """A fitted model: its terms with document counts and coefficients, which are as many as the vocabulary, and how it was fitted."""
 
     terms: DataFrame  # term, df, at, coefficient
     intercept: float
     n_docs: int
-    regression: LogisticRegressionModel
+    c: float
+    size: int
+    passes: int
+    seconds: float
 
 
-def _vectors(weights: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    sparse = F.udf(lambda pairs: SparseVector(size, [(p["at"], p["weight"]) for p in pairs]), VectorUDT())
-    rows = weights.join(F.broadcast(index.select("term", "at")), "term")
-    return rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("pairs")).select("doc", sparse("pairs").alias("features"))
+def vectors(train: DataFrame, tf: DataFrame, vocab: DataFrame, sizes: list[int], n_docs: int) -> DataFrame:
+    """Rows for `logistic`: doc, label, w, at, raw, norms. A text without known terms has empty arrays and norms of 1."""
+    raw = (1 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1)) + 1)
+    per = tf.join(F.broadcast(vocab.select("term", "df", "at")), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", raw.alias("raw")))).alias("v"))
+    v = F.coalesce("v", F.array().cast("array<struct<at:int,raw:double>>"))
+    length = lambda size: F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, e: t + F.when(e["at"] < size, e["raw"] * e["raw"]).otherwise(0.0)))
+    out = train.select("doc", "label", "w").join(per, "doc", "left").withColumn("v", v)
+    norms = F.array(*[F.coalesce(F.nullif(length(s), F.lit(0.0)), F.lit(1.0)) for s in sizes])
+    return out.select("doc", "label", "w", F.col("v.at").alias("at"), F.col("v.raw").alias("raw"), norms.alias("norms"))
 
 
-def fit(train: DataFrame, c: float = 1.0, size: int = VOCABULARY, balanced: bool = True) -> TextModel:
-    """Logistic regression with L2 penalty, classes weighted alike if balanced. train: doc, text, label."""
-    spark, tf = train.sparkSession, counts(train)
+def fit_all(train: DataFrame, grid: tuple[tuple[float, int], ...], balanced: bool = True) -> list[TextModel]:
+    """A regression per candidate (C, vocabulary), all fitted together. train: doc, text, label.
+
+    Vectors are made once, without Python, and written to the shared folder; every step of the optimiser is one pass over
+    them for all candidates. Classes weigh alike if balanced. Labels that are null count as 0.
+    """
+    spark, began = train.sparkSession, time.time()
+    train = train.withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(0)))
     stats = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(stats.values())
-    vocab = vocabulary(tf, size).withColumn("at", F.row_number().over(Window.orderBy("term")) - 1)
-    vocab = spark.createDataFrame(vocab.collect(), vocab.schema)  # at most `size` rows
-    total = vocab.count()
-    weight = F.when(F.col("label") == 1, n / (2 * stats.get(1, n))).otherwise(n / (2 * stats.get(0, n))) if balanced else F.lit(1.0)
-    rows = train.select("doc", "label", weight.cast("double").alias("w")).join(_vectors(tfidf(tf, vocab, n), vocab, total), "doc", "left")
-    empty = F.udf(lambda v: v if v is not None else Vectors.sparse(total, []), VectorUDT())
-    rows = rows.withColumn("features", empty("features"))
-    model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="w", maxIter=60).fit(rows)
-    values = [float(x) for x in model.coefficients.toArray()]
-    weights = spark.createDataFrame(list(enumerate(values)), "at int, coefficient double")
-    return TextModel(vocab.join(weights, "at").select("term", "df", "at", "coefficient"), float(model.intercept), n, model)
+    share = F.when(F.col("label") == 1, n / (2 * stats.get(1, n or 1))).otherwise(n / (2 * stats.get(0, n or 1))) if balanced else F.lit(1.0)
+    tf, widest = counts(train), max(size for _, size in grid)
+    ranked = sorted(vocabulary(tf, widest).collect(), key=lambda r: (-r.corpus_count, r.term))  # at most `widest` rows
+    vocab = spark.createDataFrame([(r.term, r.df, i) for i, r in enumerate(ranked)], "term string, df long, at int")
+    sizes = [min(size, len(ranked)) for _, size in grid]
+    rows = write_once(vectors(train.withColumn("w", share.cast("double")), tf, vocab, sorted(set(sizes)), n), new_folder(spark, "vectors"))
+    weight = rows.agg(F.sum("w")).first()[0] or 0.0
+    points, passes = logistic.fit_stacked(rows, [1 / (c * max(n, 1)) for c, _ in grid], sizes, len(ranked), weight)
+    seconds = time.time() - began
+    models = []
+    for (c, asked), size, point in zip(grid, sizes, points, strict=True):
+        own = [(r.term, r.df, i, float(point[i])) for i, r in enumerate(ranked[:size])]
+        models.append(TextModel(spark.createDataFrame(own, "term string, df long, at int, coefficient double"), float(point[-1]), n, c, asked, passes, seconds))
+    return models
+
+
+def fit(train: DataFrame, c: float = 1.0, size: int = VOCABULARY, balanced: bool = True) -> TextModel:
+    """Logistic regression with L2 penalty, classes weighted alike if balanced. train: doc, text, label."""
+    return fit_all(train, ((c, size),), balanced)[0]
 
 
 def contributions(samples: DataFrame, model: TextModel) -> DataFrame:
@@ -146,19 +169,37 @@ def errors(scored: DataFrame, threshold: float = 0.5, k: int = 10) -> DataFrame:
     return scored.withColumn("kind", kind).where("kind is not null").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("kind", "rank", "doc", "probability")
 
 
+def score_all(samples: DataFrame, models: list[TextModel]) -> DataFrame:
+    """(doc, candidate, probability) of models that were fitted together; the samples are read and counted once for all."""
+    widest = max(models, key=lambda m: m.size)
+    table = widest.terms.select("term", "df", "at")
+    for j, m in enumerate(models):  # as many rows as the vocabulary
+        table = table.join(m.terms.select("term", F.col("coefficient").alias(f"b{j}")), "term", "left")
+    raw = (1 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(widest.n_docs) + 1.0) / (F.col("df") + 1)) + 1)
+    rows = counts(samples).join(F.broadcast(table), "term").withColumn("raw", raw)
+    dots = [F.sum(F.col("raw") * F.col(f"b{j}")).alias(f"d{j}") for j in range(len(models))]
+    norms = [F.sqrt(F.sum(F.when(F.col(f"b{j}").isNotNull(), F.col("raw") * F.col("raw")))).alias(f"n{j}") for j in range(len(models))]
+    one = lambda j, m: F.round(1 / (1 + F.exp(-(F.coalesce(F.try_divide(f"d{j}", f"n{j}"), F.lit(0.0)) + m.intercept))), 4)
+    per = samples.select("doc").join(rows.groupBy("doc").agg(*dots, *norms), "doc", "left")
+    return per.select("doc", F.posexplode(F.array(*[one(j, m) for j, m in enumerate(models)])).alias("candidate", "probability"))
+
+
 def grid_search(train: DataFrame, validation: DataFrame, grid=GRID) -> tuple[TextModel, list[dict]]:
-    """The first of the candidates (C, vocabulary) with the best F1 on validation, refitted on both."""
-    tried, best = [], None
-    for c, size in grid:
-        f1 = evaluate(score(validation, m := fit(train, c, size)).join(validation.select("doc", "label"), "doc")).first()["f1"]
-        tried.append({"c": c, "size": size, "f1": f1, "terms": m.terms.count()})
-        if best is None or f1 > best["f1"]:
-            best = tried[-1]
+    """The first of the candidates (C, vocabulary) with the best F1 on validation, refitted on both.
+
+    All candidates are fitted in the same passes and scored in one.
+    """
+    models = fit_all(train, tuple(grid))
+    scored = score_all(validation, models).join(validation.select("doc", "label"), "doc")
+    f1 = {r.candidate: r.f1 for r in evaluate(scored, 0.5, "candidate").select("candidate", "f1").collect()}
+    known = max(m.terms.count() for m in models)
+    tried = [{"c": c, "size": size, "f1": f1.get(j, 0.0), "terms": min(size, known), "passes": models[j].passes} for j, (c, size) in enumerate(grid)]
+    best = max(tried, key=lambda t: t["f1"])  # the first of equals
     return fit(train.unionByName(validation), best["c"], best["size"]), tried
 
 
 def model_card(model: TextModel, parts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: samples per split, terms, metrics on the test split, and a digest of the model's numbers.
+    """One row: samples per split, terms, parameters, seconds of training, metrics on the test split, and a digest of the model's numbers.
 
     parts: doc, text, label, split. The digest is of the terms, at most as many as the vocabulary, in order.
     """
@@ -167,5 +208,7 @@ def model_card(model: TextModel, parts: DataFrame, threshold: float = 0.5) -> Da
     scored = score(test, model).join(test.select("doc", "label"), "doc")
     row = F.format_string("%s=%.6f", "term", "coefficient")
     digest = model.terms.agg(F.sha2(F.concat_ws("\n", F.lit(f"{model.intercept:.6f}"), F.array_sort(F.collect_list(row))), 256).alias("model_sha256"), F.count("*").alias("terms"))
-    counts_ = digest.select("*", *[F.lit(n.get(s, 0)).cast("long").alias(f"{s}_samples") for s in ("train", "validation", "test")])
+    made = (F.lit(model.c).alias("c"), F.lit(model.size).alias("vocabulary_size"), F.lit("l2").alias("penalty"), F.lit(model.passes).alias("passes"), F.lit(threshold).alias("threshold"),
+            F.lit(model.seconds).alias("training_seconds"))
+    counts_ = digest.select("*", *made, *[F.lit(n.get(s, 0)).cast("long").alias(f"{s}_samples") for s in ("train", "validation", "test")])
     return counts_.crossJoin(evaluate(scored, threshold)).crossJoin(roc_auc(scored))  # one row each

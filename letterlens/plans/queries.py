@@ -20,7 +20,7 @@ from letterlens.operators import rule_texts as RT
 from letterlens.operators import rules as R
 from letterlens.operators import views as W
 from letterlens.plans.stored import Stored
-from letterlens.shared import new_folder
+from letterlens.shared import new_folder, write_once
 from letterlens.sources import archives as AR
 from letterlens.sources import feeds as FE
 from letterlens.sources import indicator_sources as SO
@@ -206,7 +206,7 @@ def m_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def m_trained_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Fitted on the train split, measured on the test split."""
-    parts = K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split")
+    parts = _splits(spark, d)
     test = parts.where("split = 'test'")
     scored = M.score(test, M.fit(parts.where("split = 'train'"))).join(test.select("doc", "label"), "doc")
     return M.evaluate(scored).crossJoin(M.roc_auc(scored))
@@ -328,8 +328,8 @@ def m_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
-    """The split samples, kept in memory as a fit reads them many times."""
-    return K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split").cache()
+    """The split samples, written once, as a fit and its evaluation read them several times."""
+    return write_once(K.split(K.keep_first(_samples(spark, d))).select(F.col("seq").alias("doc"), "text", "label", "split"), new_folder(spark, "splits"))
 
 
 def m_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -349,12 +349,12 @@ def m_grid(spark: SparkSession, d: str) -> DataFrame:
     """F1 on the validation split of each candidate of the grid."""
     parts = _splits(spark, d)
     _, tried = M.grid_search(parts.where("split = 'train'"), parts.where("split = 'validation'"))
-    return spark.createDataFrame([(i, t["c"], t["size"], t["terms"], t["f1"]) for i, t in enumerate(tried)], "candidate int, c double, size int, terms long, f1 double")
+    return spark.createDataFrame([(i, t["c"], t["size"], t["terms"], t["f1"], t["passes"]) for i, t in enumerate(tried)], "candidate int, c double, size int, terms long, f1 double, passes int")
 
 
 def m_model_card(spark: SparkSession, d: str) -> DataFrame:
     parts = _splits(spark, d)
-    return M.model_card(M.fit(parts.where("split = 'train'")), parts)
+    return M.model_card(M.fit(parts.where("split = 'train'")), parts).drop("training_seconds")  # reruns agree
 
 
 def v_text(spark: SparkSession, d: str) -> DataFrame:
