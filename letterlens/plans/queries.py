@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from letterlens.functions import html_text as HT
 from letterlens.functions import text as T
 from letterlens.functions import urls as U
 from letterlens.operators import audit as A
@@ -121,6 +122,20 @@ def p_visible_text(spark: SparkSession, d: str) -> DataFrame:
     return _page_columns(spark, d).select("page_id", T.visible_text(F.col("html")).alias("text"))
 
 
+def p_exact_text(spark: SparkSession, d: str) -> DataFrame:
+    return _page_columns(spark, d).select("page_id", HT.exact_visible_text(F.col("html")).alias("text"))
+
+
+def p_text_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How the path of patterns compares with the tokeniser on all pages: equal texts, words of each, words found by both."""
+    both = _page_columns(spark, d).select(T.visible_text(F.col("html")).alias("fast"), HT.exact_visible_text(F.col("html")).alias("exact"))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    w = both.select(F.expr("fast = exact").alias("same"), words("fast").alias("f"), words("exact").alias("e"))
+    return w.agg(F.count("*").alias("pages"), F.count_if("same").alias("equal_pages"), F.coalesce(F.sum(F.size("e")), F.lit(0)).alias("exact_words"),
+                 F.coalesce(F.sum(F.size(F.array_intersect("e", "f"))), F.lit(0)).alias("common_distinct"), F.coalesce(F.sum(F.size(F.array_distinct("e"))), F.lit(0)).alias("exact_distinct"),
+                 F.coalesce(F.sum(F.size(F.array_distinct("f"))), F.lit(0)).alias("fast_distinct"))
+
+
 def p_urls(spark: SparkSession, d: str) -> DataFrame:
     return _page_columns(spark, d).select("page_id", F.concat_ws(" ", T.extract_urls(F.col("url"), F.col("html"))).alias("urls"))
 
