@@ -4,9 +4,13 @@ from pyspark.sql import functions as F
 
 from letterlens.operators import audit as A
 from letterlens.operators import classifier as M
+from letterlens.operators import indicators as I
+from letterlens.operators import networks as N
+from letterlens.operators import origin as G
 from letterlens.operators import rules as R
 from letterlens.plans import queries as Q
 from letterlens.plans.stored import Stored
+from letterlens.sources import feeds as FE
 from letterlens.sources import mail_view as V
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +81,27 @@ def test_escapes_of_few_and_of_many_kinds(spark):
     texts = ["plain", "said é é \U0001f600", "".join(map(chr, range(0x4E00, 0x4E60))) + "é"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(A.ascii_escaped(F.col("t"))).collect()] == [json.dumps(t)[1:-1] for t in texts]
+
+
+def test_what_joins_stored_tables_by_case_moves_no_rows(spark):
+    store = Stored(spark, SF)
+    for df in (I.summarise(store.matches), store.provenance, store.flat.join(store.origins.hint("merge"), "case_id"), A.verify_rows(store.chain)):
+        assert "Exchange" not in _plan(df)
+
+
+def test_small_feeds_of_few_lengths_shuffle_nothing(spark):
+    store = Stored(spark, SF)
+    assert "Exchange hashpartitioning(_ip" not in _plan(G.trace_origin(store.parsed, FE.example_geo(spark), FE.example_intel(spark)))
+    ips = [(1, "10.1.2.3"), (2, "10.1.9.9"), (3, "2001:db8::7"), (4, "no address"), (5, None), (6, "11.0.0.1"), (7, "10.1.2.3")]
+    rows = spark.createDataFrame(ips, "id int, ip string")
+    feed = N.networks(spark.createDataFrame([("10.0.0.0/8", "a"), ("10.1.2.0/24", "b"), ("2001:db8::/32", "c"), ("10.1.2.0/24", "d")], "ip string, field string"))
+    got = {r.id: (r.field, r.matched_prefix) for r in N.longest_match(rows, "ip", feed, ["field"]).collect()}
+    assert got == {1: ("b", 24), 2: ("a", 8), 3: ("c", 32), 4: (None, None), 5: (None, None), 6: (None, None), 7: ("b", 24)}
+    assert got == {r.id: (r.field, r.matched_prefix) for r in N.longest_match(rows, "ip", feed, ["field"], limit=0).collect()}
+
+
+def test_counts_of_attachments_are_the_sizes_of_their_lists(spark):
+    lists = {r.case_id: r[1] for r in V.parsed_mail(spark, SF).select("case_id", F.size("attachments")).collect()}
+    counts = V.parsed_mail(spark, SF, counts=True)
+    assert {r.case_id: r.attachment_count for r in counts.select("case_id", "attachment_count").collect()} == lists
+    assert "collect_list" not in _plan(Q.v_overview(spark, SF))
