@@ -10,6 +10,7 @@ from letterlens.operators import origin as G
 from letterlens.operators import rules as R
 from letterlens.plans import queries as Q
 from letterlens.plans.stored import Stored
+from letterlens.shared import new_folder, write_once
 from letterlens.sources import feeds as FE
 from letterlens.sources import mail_view as V
 
@@ -105,3 +106,13 @@ def test_counts_of_attachments_are_the_sizes_of_their_lists(spark):
     counts = V.parsed_mail(spark, SF, counts=True)
     assert {r.case_id: r.attachment_count for r in counts.select("case_id", "attachment_count").collect()} == lists
     assert "collect_list" not in _plan(Q.v_overview(spark, SF))
+
+
+def test_rules_are_counted_and_listed_without_evidence_as_with_it(spark):
+    parsed = write_once(V.parsed_mail(spark, SF, R.searched), new_folder(spark, "rules")).where("case_id < 'CASE-0000000400'")
+    whole, key = R.evaluate_rules(parsed), lambda df: sorted(map(tuple, df.collect()))
+    bare = R.evaluate_rules(parsed, evidence=False)
+    assert bare.dtypes == whole.drop("evidence").dtypes and key(bare) == key(whole.drop("evidence"))
+    want = whole.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("evaluated"), F.count_if("matched").alias("matched"), F.sum("score").alias("points"))
+    assert key(R.count_rules(parsed)) == key(want) and R.count_rules(parsed.where("false")).count() == 0
+    assert "Generate" not in _plan(R.count_rules(parsed)).split("HashAggregate", 1)[1]
