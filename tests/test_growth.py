@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from letterlens.functions import urls as U
 from letterlens.operators import audit as A
 from letterlens.operators import classifier as M
+from letterlens.operators import correlation as C
 from letterlens.operators import indicators as I
 from letterlens.operators import networks as N
 from letterlens.operators import origin as G
@@ -116,3 +118,33 @@ def test_rules_are_counted_and_listed_without_evidence_as_with_it(spark):
     want = whole.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("evaluated"), F.count_if("matched").alias("matched"), F.sum("score").alias("points"))
     assert key(R.count_rules(parsed)) == key(want) and R.count_rules(parsed.where("false")).count() == 0
     assert "Generate" not in _plan(R.count_rules(parsed)).split("HashAggregate", 1)[1]
+
+
+def test_stored_mail_holds_no_digests_and_gives_them_back(spark):
+    store, key = Stored(spark, SF, keep_matches=False), lambda df: sorted(map(str, df.collect()))
+    whole = V.parsed_mail(spark, SF, R.searched, cases=True, raw=True)
+    assert key(store.parsed.select("case_id", "case", "attachments")) == key(whole.select("case_id", "case", "attachments"))
+    kept = spark.read.parquet(f"{store.folder}/parsed")
+    assert kept.where("exists(attachments.sha256, x -> x is not null)").isEmpty() and "sha256" not in kept.schema["case"].dataType.simpleString()
+    assert store.matches.count() == 2 * store.indicators.count() and "matches" not in store.matches.inputFiles()[0]
+
+
+def test_summary_by_lookup_and_graph_in_parts_are_those_of_matches(spark):
+    store, key = Stored(spark, SF, raw=False), lambda df: sorted(map(str, df.collect()))
+    odd = store.feed.withColumns({"feed_version": F.concat("source", (F.col("confidence") % 3).cast("string")), "feed_sha256": F.when(F.col("status") != "suspicious", "ab")})
+    for feed, sources in ((store.feed, None), (odd, ["feed-a", "gone", "feed-b"]), (odd, ["feed-b"])):
+        want = I.summarise(I.match_indicators(store.indicators, feed, sources))
+        got = I.summarise_lookup(store.indicators, feed, sources)
+        assert got.dtypes == want.dtypes and key(got) == key(want)
+    whole = C.entities(C.observations(store.matches, store.origins, store.parsed))
+    assert key(store.graph) == key(whole)
+    cross = ["case_id", "entity_type", "entity_value", "engines"]
+    assert key(C.crossed(store.indicators, store.origins, store.parsed).select(cross)) == key(whole.where("is_cross_engine").select(cross))
+    assert "collect_set" not in _plan(I.summarise_lookup(store.indicators, store.feed))
+
+
+def test_parts_of_urls_are_those_of_the_pattern(spark):
+    urls = [None, "", ":", "//", "a:b", "a/b:c", "http:", "http:/x", "http://", "://h/p", "http://h?q#f", "http://h#f?q", "//h:80/p", "x y://u@h:1\n/p\n?q\n#f\ng", "HTTP://[::1]:80?#", "a:b:c//d", " http://H "]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    rows = df.select(U.parts(F.col("u")).alias("p"), *[U.part(F.col("u"), n).alias(n) for n in ("scheme", "authority", "path")]).collect()
+    assert [tuple(r.p) if r.p else (None,) * 3 for r in rows] == [(r.scheme, r.authority, r.path) for r in rows]
