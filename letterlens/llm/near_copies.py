@@ -4,8 +4,9 @@ Two texts whose sets of shingles of SHINGLE_WORDS words have a similarity of 0.8
 fingerprints, too many for shards by blocks of bits. Shards here are buckets of equal shingle minima: a pair at just 0.8
 shares none of the BANDS bands of ROWS minima with a chance of (1 - 0.8^6)^32 = 6e-5, a pair above that with less.
 
-Of each shard the text that meets the most others is compared with all the rest first, which joins a large group at a
-cost in proportion to it. Shards in which texts are still apart go whole to a task; one with more than BLOCK texts goes
+Of each shard the text that meets the most others is looked for first, in BK-trees over blocks of the shard's fingerprints,
+and the exact sets decide on what a tree gives within LEAD_RADIUS bits; this joins a large group at a cost in proportion to
+it. Shards in which texts are still apart go whole to a task; one with more than BLOCK texts goes
 in pairs of blocks, so that every pair meets. There BK-trees over the fingerprints find the pairs within RADIUS bits, and
 the exact sets decide; pairs whose texts are joined by now are passed over, and only joining links leave the task.
 """
@@ -28,6 +29,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Bits in which fingerprints of texts at SIMILARITY may differ: 10 on average, with a deviation of 3.
 RADIUS = 24
+#: Bits for the one search of a shard's lead: wide enough for sets of a few shingles, whose fingerprints differ by more.
+LEAD_RADIUS = 32
+#: Rows whose trees a task grows at once, whole blocks of a shard.
+LEAD_ROWS = 50_000
 #: Texts of a shard that a task compares with each other, or with as many of another block.
 BLOCK = 512
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
@@ -141,6 +146,37 @@ def _shard_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
         yield linked(pa.Table.from_batches(held))
 
 
+def near_lead(tree: np.ndarray, sim: np.ndarray, lead_sim: np.ndarray, radius: int = LEAD_RADIUS) -> np.ndarray:
+    """Which rows a search for the lead finds in the BK-tree of their block; tree counts blocks from 0, lead_sim is of each row's lead."""
+    first = np.unique(tree, return_index=True)[1]
+    at = np.stack([np.r_[tree, tree[first]].astype(np.uint64), np.r_[sim, lead_sim[first]]], 1)
+    nodes, place = np.unique(at, axis=0, return_inverse=True)
+    place = place.ravel()
+    leads, hit = place[len(tree):], np.zeros(len(nodes), bool)
+    hit[BKForest(nodes[:, 0], nodes[:, 1], radius).within(leads)[1]] = True
+    hit[leads] = True
+    return hit[place[:len(tree)]]
+
+
+def _lead_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches come ordered by shard and block; the last block of each is held back until it is whole."""
+    names = ("band", "i", "fp", "sim", "lead", "lead_sim")
+
+    def linked(band, i, fp, sim, lead, lead_sim):
+        tree = np.cumsum(np.r_[0, (np.diff(band) != 0) | (np.diff(i) != 0)]) if len(band) else band
+        found = near_lead(tree, sim.view(np.uint64), lead_sim.view(np.uint64)) & (fp != lead) if len(band) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(fp, lead)[found]), pa.array(np.maximum(fp, lead)[found])], ["a", "b"])
+
+    held = [np.zeros(0, np.int64)] * len(names)
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+        cut = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) >= LEAD_ROWS else []
+        if len(cut):
+            yield linked(*(h[:cut[-1] + 1] for h in held))
+            held = [h[cut[-1] + 1:] for h in held]
+    yield linked(*held)
+
+
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, component_id, kept, key (text_key).
 
@@ -151,8 +187,8 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     rows = scratch.write(docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInArrow(_set_batches, _SETS), "rows")
-    nodes = scratch.write(rows.groupBy("fp").agg(F.min(first_of("doc_id", "key")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("fp", F.explode("bands").alias("band"))
+    nodes = scratch.write(rows.groupBy("fp").agg(F.min(first_of("doc_id", "key")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sim").alias("sim")), "nodes")
+    keyed = nodes.select("fp", "sim", F.explode("bands").alias("band"))
     met = keyed.groupBy("band").agg(F.count("*").alias("n_band")).where("n_band > 1")
     shards = scratch.write(keyed.join(met, "band"), "shards")
     found = scratch.write(shards.groupBy("fp").agg(F.sum("n_band").alias("meets")), "found")
@@ -160,14 +196,15 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     sets = scratch.write(rows.select("fp", "sim", "shingles").join(found_side.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("sim").alias("sim"), F.first("shingles").alias("shingles"))
                          .withColumn("size", F.size("shingles")), "sets")
 
-    lead = shards.join(found_side, "fp").groupBy("band").agg(F.max(F.struct("meets", "fp")).alias("lead")).select("band", F.col("lead.fp").alias("lead"))
-    first = shards.join(lead, "band").where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+    blocks = F.ceil(F.col("n_band") / block)
+    lead = shards.join(found_side, "fp").groupBy("band").agg(F.max(F.struct("meets", "fp", "sim")).alias("lead")).select("band", F.col("lead.fp").alias("lead"), F.col("lead.sim").alias("lead_sim"))
+    dealt = shards.join(lead, "band").select("band", F.pmod(F.xxhash64("fp", "band"), blocks).alias("i"), "fp", "sim", "lead", "lead_sim")
+    first = dealt.repartition("band", "i").sortWithinPartitions("band", "i").mapInArrow(_lead_batches, "a long, b long").distinct()
     edges = scratch.write(_alike(first, sets, similarity), "edges")
     roots = components(Scratch(docs.sparkSession, "near-copies-first"), edges)
 
     labelled = scratch.write(shards.join(roots, shards.fp == roots.node, "left").select("band", "n_band", "fp", F.coalesce("root", "fp").alias("root")), "labelled")
     apart = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    blocks = F.ceil(F.col("n_band") / block)
     open_ = (labelled.join(apart, "band", "left_semi").withColumn("block", F.pmod(F.xxhash64("fp", "band"), blocks))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root"))

@@ -102,3 +102,19 @@ def test_rows_without_ids_and_repeated_ids_are_decided_by_text(spark):
     assert len(kept) == 4 and sum(r.doc_id is None for r in kept) == 2 and {r.text for r in kept if r.doc_id == 7} == {rows[3][1], rows[4][1]}
     exact = keep_one_of_equal(frame(spark, [*rows, (None, base.upper(), "en", "c", 0), (7, rows[3][1], "en", "a", 0)])).collect()
     assert len(exact) == 5 and sum(r.text.lower() == base for r in exact) == 1 and sum(r.doc_id == 7 for r in exact) == 2
+
+
+def test_leads_are_looked_for_in_trees(spark, monkeypatch):
+    """What a tree gives for a lead is all within the radius, equal fingerprints among it, and nothing else is compared."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 40, np.uint64)
+    tree = rng.integers(0, 40, 3000)
+    sim = base[tree] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 40)).astype(np.uint64), axis=1) * (rng.random(3000) < 0.8).astype(np.uint64)
+    for radius in (0, 12, 32):
+        assert (near_copies.near_lead(tree, sim, base[tree], radius) == (np.bitwise_count(sim ^ base[tree]) <= radius)).all()
+    rows, asked = _copies(2000), []
+    alike = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *more: asked.append(pairs._jdf.queryExecution().executedPlan().toString()) or alike(pairs, *more))
+    got = copy_groups(frame(spark, rows), block=16).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == _groups(rows)
+    assert asked and all("_lead_batches" in plan for plan in asked)
