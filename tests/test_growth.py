@@ -1,5 +1,7 @@
 """What keeps the work of a query in proportion to its tables: texts searched once, terms counted in rows, no unmeasured broadcasts."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from letterlens.functions import urls as U
@@ -15,6 +17,7 @@ from letterlens.plans.stored import Stored
 from letterlens.shared import new_folder, write_once
 from letterlens.sources import feeds as FE
 from letterlens.sources import mail_view as V
+from letterlens.sources import result_tables as RS
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,3 +151,14 @@ def test_parts_of_urls_are_those_of_the_pattern(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     rows = df.select(U.parts(F.col("u")).alias("p"), *[U.part(F.col("u"), n).alias(n) for n in ("scheme", "authority", "path")]).collect()
     assert [tuple(r.p) if r.p else (None,) * 3 for r in rows] == [(r.scheme, r.authority, r.path) for r in rows]
+
+
+def test_stored_mail_is_dealt_one_side_after_the_other(spark):
+    store, names = Stored(spark, SF, raw=False, keep_matches=False), []
+
+    def keep(df, name):
+        names.append(name)
+        return RS.keep_bucketed(df, f"{new_folder(spark, 'sides')}/{name}", name == "files")
+    assert "Exchange" not in _plan(V.parsed_mail(spark, SF, R.searched, digests=False, keep=keep)) and names == ["files", "messages"]
+    assert "candidate_ips" not in store.origins.columns and store.parsed.count() == 1500
+    assert {p.name for p in Path(store.folder.removeprefix("file://")).iterdir()} == {"parsed", "origins"}
