@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over the same bytes.
 
-Both id lists of a text cover the same bytes, so a token is placed by where it ends. The cumulative ends of each list go
-into a dictionary from end to index; the hash-set intersection of the two dictionaries' keys, sorted, are the offsets at
-which both lists have a boundary. They slice both lists into groups, and in each slice the tokens that end with it are
-linked. How often two ids are linked over all texts is counted by a shuffle of pre-aggregated pairs.
+Both id lists of a text cover the same bytes, so a token is placed by where it ends. The hash-set intersection of the
+cumulative ends of both lists, sorted, are the offsets at which both have a boundary; an array addressed by end gives a
+token's index. They slice both lists into groups, and in each slice the tokens that end with it are linked. Texts of a
+batch lie end to end, as no group goes beyond its text. How often two ids are linked over all texts is counted by a
+shuffle of pre-aggregated pairs.
 
 Of two ids that are linked, the bytes of one end with the bytes of the other. So the two vocabularies alone bound the
 number of linked pairs, and the counts are handed to all tasks if that bound is small; else they are joined by a shuffle.
@@ -35,8 +36,8 @@ PAIR_BYTES = 17
 TEXTS = 100
 #: Parts over which a pair's rows are spread where counts are joined by a shuffle.
 SALTS = 16
-_OUT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a_ids array<int>, b_ids array<int>, "
-        "a_last array<int>, b_last array<int>, pairs array<long>, times array<long>")
+_PLAIN = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+_ID_LISTS, _PAIRS = ("a_ids", "b_ids", "a_last", "b_last"), "pairs array<long>, times array<long>"
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -63,16 +64,30 @@ def b_bytes(library) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
+class _Strings:
+    """Byte strings by number, laid end to end."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array(list(map(len, strings)), np.int64)
+        self.begin, self.all = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of these numbers joined, and where each ends."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.all[np.repeat(self.begin[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
         self.a, self.b = word_ids(a_path, " ", False), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = a_bytes(a_path), b_bytes(self.b)
-        self.a_size, self.b_size = (np.array(list(map(len, v)), np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_strings, self.b_strings = _Strings(self.a_bytes), _Strings(self.b_bytes)
         # Ids as they stand in the text of groups, by what follows them: A , A | B , B ;
         n = len(self.a_bytes)
-        self.written = [f"{i}{s}" for s in ",|" for i in range(n)] + [f"{i}{s}" for s in ",;" for i in range(len(self.b_bytes))]
+        self.written = _Strings([b"%d%s" % (i, s) for s in (b",", b"|") for i in range(n)] + [b"%d%s" % (i, s) for s in (b",", b";") for i in range(len(self.b_bytes))])
         self.base_b = 2 * n
 
     def most_pairs(self) -> int:
@@ -81,15 +96,19 @@ class Aligner:
         ends = sum(m * of_b.get(x[k:], 0) for x, m in of_a.items() for k in range(len(x)))
         return ends + sum(m * of_a.get(x[k:], 0) for x, m in of_b.items() for k in range(1, len(x)))
 
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the last A token and of the last B token of each group."""
-        at_a = dict(zip(np.cumsum(self.a_size[a]).tolist(), range(len(a)), strict=True))
-        at_b = dict(zip(np.cumsum(self.b_size[b]).tolist(), range(len(b)), strict=True))
-        both = sorted(at_a.keys() & at_b.keys())
-        return tuple(np.fromiter(map(at.__getitem__, both), np.int64, len(both)) for at in (at_a, at_b))
-
-    def text_of_groups(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
-        """Groups as a1,a2|b1;a3|b2,b3."""
+    @staticmethod
+    def cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the last A token and of the last B token of each group. A token without bytes goes before those that have some."""
+        both = np.array(sorted(set(a_ends.tolist()).intersection(b_ends.tolist())), np.int64)
+        last = []
+        for ends in (a_ends, b_ends):
+            at = np.zeros(1 + (ends[-1] if len(ends) else 0), np.int64)
+            at[ends] = np.arange(len(ends))
+            last.append(at[both])
+        return tuple(last)
+
+    def codes_of_groups(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> np.ndarray:
+        """Numbers in `written` of groups as a1,a2|b1;a3|b2,b3;"""
         code = np.empty(len(a) + len(b), np.int64)
         # A token's place is its index and all tokens of the other list that come before its group, or within it for B.
         before = np.r_[0, b_last + 1]
@@ -99,25 +118,40 @@ class Aligner:
         ends_a[a_last] = ends_b[b_last] = 1
         code[np.arange(len(a)) + before[a_group]] = a + ends_a * len(self.a_bytes)
         code[np.arange(len(b)) + a_last[b_group] + 1] = self.base_b + b + ends_b * len(self.b_bytes)
-        return "".join(map(self.written.__getitem__, code.tolist()))[:-1]
+        return code
 
-    def row(self, text: str, a: np.ndarray, b: np.ndarray):
-        whole = b" " + text.encode()
-        if not len(a) or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
-            return None
-        a_last, b_last = self.cuts(a, b)
-        # Within a slice the tokens that end with it are linked; no token is empty, so these are its last ones.
-        links = a[a_last] * PAIR + b[b_last]
-        pairs, times = np.unique(links, return_counts=True)
-        return len(links), hashlib.sha256(self.text_of_groups(a, b, a_last, b_last).encode()).hexdigest(), a, b, a_last, b_last, pairs, times
+    def gives_back(self, whole: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the bytes of both lists are these."""
+        if not len(a) or not len(whole) == self.a_strings.size[a].sum() == self.b_strings.size[b].sum():
+            return False
+        return self.a_strings.joined(a)[0].tobytes() == whole == self.b_strings.joined(b)[0].tobytes()
 
     def rows(self, texts: list[str | None]) -> list:
-        """What row() gives for each text, None for a text without tokens."""
+        """For each text links, digest, a, b, a_last, b_last, pairs and times; None for a text without tokens."""
         some = [i for i, t in enumerate(texts) if t]
         out, own = [None] * len(texts), [texts[i] for i in some]
-        b_ids = self.b.encode(own, num_threads=1) if own else []
-        for i, a, b in zip(some, self.a.ids(own), b_ids, strict=True):
-            out[i] = self.row(texts[i], a.astype(np.int64), np.array(b, np.int64))
+        of_b = self.b.encode(own, num_threads=1) if own else []
+        held = []
+        for i, a, b in zip(some, self.a.ids(own), of_b, strict=True):
+            a, b = a.astype(np.int64), np.array(b, np.int64)
+            if self.gives_back(b" " + texts[i].encode(), a, b):
+                held.append((i, a, b))
+        if not held:
+            return out
+        a, b = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        a_last, b_last = self.cuts(np.cumsum(self.a_strings.size[a]), np.cumsum(self.b_strings.size[b]))
+        written, ends = self.written.joined(self.codes_of_groups(a, b, a_last, b_last))
+        written = memoryview(written)
+        a_to, b_to = (np.cumsum([len(h[k]) for h in held]) for k in (1, 2))
+        groups = np.searchsorted(a_last, a_to)
+        text_no = np.repeat(np.arange(len(held)), np.diff(np.r_[0, groups]))
+        # Within a slice the tokens that end with it are linked; no token is empty, so these are its last ones.
+        keys, times = np.unique(text_no * PAIR * PAIR + a[a_last] * PAIR + b[b_last], return_counts=True)
+        some_pairs = np.searchsorted(keys, np.arange(1, len(held) + 1) * PAIR * PAIR)
+        keys %= PAIR * PAIR
+        spans = zip(held, *[zip([0, *to], to, strict=False) for to in (groups.tolist(), some_pairs.tolist(), [0, *ends[a_to + b_to - 1].tolist()][1:])], [0, *a_to.tolist()], [0, *b_to.tolist()], strict=False)
+        for (i, own_a, own_b), (g0, g1), (p0, p1), (w0, w1), a0, b0 in spans:
+            out[i] = g1 - g0, hashlib.sha256(written[w0:w1 - 1]).hexdigest(), own_a, own_b, a_last[g0:g1] - a0, b_last[g0:g1] - b0, keys[p0:p1], times[p0:p1]
         return out
 
 
@@ -134,7 +168,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 _NONE = (0, "", *[np.zeros(0, np.int64)] * 6)
 
 
-def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, ids: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): both id lists, the groups that common ends cut them into, and the links.
 
     doc_id, n_a, n_b, n_groups, n_links, groups_sha256; a_ids and b_ids; a_last and b_last, the index of each group's last
@@ -142,6 +176,7 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     A encodes a space and the text, B the text, special strings as plain text. A text that is null or empty, or whose
     bytes either list does not give back, has no tokens: zeros, empty lists and an empty digest. Rows may repeat, doc_id
     may be null, other columns are ignored, an empty table gives an empty result. The files must lie on every executor.
+    Without `ids` the four lists of ids and last tokens are left out.
     """
     at = a_path or vocabulary_path(A_FILE), b_path or vocabulary_path(B_FILE)
 
@@ -153,12 +188,12 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
                 rows = [r or _NONE for r in own.rows(part.column("text").to_pylist())]
                 links, digest, a, b, a_last, b_last, pairs, times = zip(*rows, strict=True)
                 count = [pa.array(list(map(len, x)), pa.int64()) for x in (a, b, a_last)]
+                lists = [_lists(x, pa.int32()) for x in (a, b, a_last, b_last)] if ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *count, pa.array(links, pa.int64()), pa.array(digest, pa.string()), *[_lists(x, pa.int32()) for x in (a, b, a_last, b_last)],
-                     _lists(pairs, pa.int64()), _lists(times, pa.int64())],
-                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a_ids", "b_ids", "a_last", "b_last", "pairs", "times"])
+                    [part.column("doc_id"), *count, pa.array(links, pa.int64()), pa.array(digest, pa.string()), *lists, _lists(pairs, pa.int64()), _lists(times, pa.int64())],
+                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(_ID_LISTS if ids else []), "pairs", "times"])
 
-    return docs.select("doc_id", "text").mapInArrow(align, _OUT)
+    return docs.select("doc_id", "text").mapInArrow(align, ", ".join([_PLAIN, *[f"{c} array<int>" for c in (_ID_LISTS if ids else [])], _PAIRS]))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -174,7 +209,7 @@ def with_counts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
     row's links, of their pairs' links over all rows.
     """
     scratch, at = Scratch(docs.sparkSession, "align"), (a_path or vocabulary_path(A_FILE), b_path or vocabulary_path(B_FILE))
-    rows = scratch.write(align_tokens(docs, *at).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"), "aligned")
+    rows = scratch.write(align_tokens(docs, *at, ids=False), "aligned")
     counts = scratch.write(pair_counts(rows), "counts")
     if aligner(*at).most_pairs() * PAIR_BYTES <= broadcast_bytes:
         return _looked_up(rows, counts)
@@ -195,8 +230,7 @@ def _looked_up(rows: DataFrame, counts: DataFrame) -> DataFrame:
             out = batch.select(["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
             yield pa.RecordBatch.from_arrays([*out.columns, *map(pa.array, sums)], [*out.schema.names, "n_best", "count_sum"])
 
-    plain = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    return rows.mapInArrow(look_up, plain)
+    return rows.mapInArrow(look_up, f"{_PLAIN}, n_best long, count_sum long")
 
 
 def _joined(rows: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:

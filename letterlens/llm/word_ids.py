@@ -4,58 +4,81 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Words of a generation of a task's cache. When it is full it becomes the elder one, whose words are taken over as they
-#: come again, and the elder one goes; so memory is bounded and frequent words stay. No id changes by it.
-CACHE = 250_000
+#: Texts that a cache of a task knows. A full one is emptied before the next texts, so memory is bounded; no id changes by it.
+CACHE = 400_000
+#: Ids that it holds for them.
+CACHE_IDS = 8 * CACHE
 #: A longer word is encoded each time it comes.
 LONG_WORD = 64
 #: New words that the library gets in one string.
 AT_ONCE = 200
-_BOTH_SPACE, _SPACE = re.compile(r"\s \s"), re.compile(r"\s")
-#: What the pattern of the files without a lead cuts a lower-cased ASCII word into.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-#: Letters of any script, and the ASCII signs behind them: two pre-tokens.
-_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: What the patterns of the files cut a text of plain characters into: with a lead of a space, and without one (lower-cased).
+_WITH_LEAD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_WITHOUT = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
+
+
+class _Numbers(dict):
+    """Numbers texts as they are asked for; `new` has those that were not known."""
+
+    def __init__(self):
+        self.count, self.new = 0, []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = number = self.count
+        self.count += 1
+        self.new.append(text)
+        return number
 
 
 class _Cache:
-    """Ids (as bytes) by text, in two generations."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known, self.elder = encode, {}, {}
-
-    def learn(self, texts: set[str]) -> list[str]:
-        """Makes all of these texts known; gives those that had to be encoded."""
-        if len(self.known) > CACHE:
-            self.known, self.elder = {}, self.known
-        missing = texts.difference(self.known)
-        if not missing:
-            return []
-        new = list(missing.difference(self.elder))
-        if len(new) < len(missing):
-            again = list(missing.difference(new))
-            self.known.update(zip(again, map(self.elder.__getitem__, again), strict=True))
-        self.known.update(zip(new, self.encode(new), strict=True))
-        return new
+    """Ids by text. encode gives new texts' ids end to end, and how many each has."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers, self.ids, self.begin, self.size, self.full = _Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def look_up(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lists end to end, and how many each list has."""
+        if self.full:
+            self._empty()
+        number, n = self.numbers.__getitem__, list(map(len, lists))
+        at = np.fromiter(map(number, chain.from_iterable(lists)), np.int64, sum(n))
+        if self.numbers.new:
+            ids, size = self.encode(self.numbers.new)
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+            for text in self.numbers.new:
+                if len(text) > LONG_WORD:
+                    del self.numbers[text]
+            self.numbers.new = []
+            self.full = self.numbers.count > CACHE or len(self.ids) > CACHE_IDS
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = np.r_[0, ends]
+        return self.ids[np.repeat(self.begin[at] - ends + size, size) + np.arange(total[-1])], np.diff(total[np.r_[0, np.cumsum(n, dtype=np.int64)]])
 
 
 class WordIds:
-    """Ids by cutting texts where the tokenizer's own pattern cuts them, so that each word is encoded once.
+    """Ids by cutting texts where the tokenizer's own pattern cuts them, so that each pre-token is encoded once.
 
-    Two rules of cutting, by `lead`. With a lead of one space (byte-level files, whose pre-tokens carry the space before
-    them) a text is cut before each space; a text with white space on both sides of a space is encoded whole. Without a
-    lead (lower-casing files that drop white space and mark the ends of pre-tokens) a text is cut at blanks, tabs and line
-    ends, and new ASCII words into their pre-tokens. `special` says whether special strings in a text count as special, as
-    is the library's default; they hold no white space, so no cut goes through one.
+    Two kinds of files, by `lead`: byte-level ones, whose pre-tokens carry the space before them (a lead of one space), and
+    lower-casing ones that drop white space and mark the ends of pre-tokens (none). `special` says whether special strings
+    in a text count as special, as is the library's default. A text with such a string, or with characters that the
+    patterns here may class otherwise than the library's do, is encoded whole.
 
-    New words go to the library many in a string. Where each ends is seen from the ids: a word with a lead is the ids from
-    one that begins with a space to the next such one, a pre-token is the ids up to one that ends with the mark.
+    New pre-tokens go to the library many in a string. Where each ends is seen from the ids: with a lead it is the ids from
+    one that begins with a space to the next such one, without one the ids up to one that ends with the mark.
     """
 
     def __init__(self, path: str, lead: str, special: bool):
@@ -70,72 +93,68 @@ class WordIds:
         self.edge = np.zeros(1 + max(vocabulary.values()), bool)  # ids that begin with a space, or that end a pre-token
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if lead else token.endswith("</w>")
-        self.known, self.parts = _Cache(self._words_with_lead if lead else self._words_by_parts), _Cache(self._together)
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _together(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that the pattern cuts at both ends, many in one string; one by one where it does not cut as expected."""
-        groups = [texts[k:k + AT_ONCE] for k in range(0, len(texts), AT_ONCE)]
-        joined = [self.lead + self.lead.join(g) for g in groups] if self.lead else [" ".join(g) for g in groups]
-        out = []
-        for group, encoded in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            raw = array("I", encoded.ids).tobytes()
-            cuts = np.flatnonzero(self.edge[np.frombuffer(raw, np.uint32)])
-            ends = ((np.r_[cuts[1:], len(raw) // 4] if self.lead else cuts + 1) * 4).tolist()
-            if len(ends) != len(group) or ends[-1] != len(raw):
-                out += self._alone([self.lead + t for t in group])
+        self.known, self.plain = _Cache(self._encode), set()
+
+    def _alone(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that the pattern cuts at both ends, many in one string; one by one where it does not cut as expected."""
+        groups = [parts[k:k + AT_ONCE] for k in range(0, len(parts), AT_ONCE)]
+        joined = list(map(("" if self.lead else " ").join, groups))
+        ids, size = [], []
+        for group, raw in zip(groups, self._alone(joined), strict=True):
+            own = np.frombuffer(raw, np.uint32)
+            cuts = np.flatnonzero(self.edge[own])
+            bounds = np.r_[cuts, len(own)] if self.lead else np.r_[0, cuts + 1]
+            if len(cuts) != len(group) or bounds[0] or bounds[-1] != len(own):
+                each = self._alone(group)
+                own, n = np.frombuffer(b"".join(each), np.uint32), np.array(list(map(len, each)), np.int64)
             else:
-                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return out
-
-    def _words_with_lead(self, words: list[str]) -> list[bytes]:
-        odd = {w for w in words if not w or _SPACE.search(w)}
-        plain = dict(zip(own := [w for w in words if w not in odd], self._together(own), strict=True))
-        plain |= zip(odd, self._alone([self.lead + w for w in odd]), strict=True)
-        return [plain[w] for w in words]
-
-    def _cut_word(self, word: str) -> list[str] | None:
-        """A word's pre-tokens; None if it has to be encoded as it is."""
-        if len(word) > LONG_WORD or "<" in word and self.special(word):
-            return None
-        if word.isascii():
-            return _ASCII_PARTS.findall(word.lower())
-        match = _LETTERS_AND_SIGNS.fullmatch(word)
-        if match is None or not match[1].isalpha():
-            return None
-        return [match[1], match[2]] if match[2] else [word]
-
-    def _words_by_parts(self, words: list[str]) -> list[bytes]:
-        parts = list(map(self._cut_word, words))
-        all_ = set()
-        for own in parts:
-            all_.update(own or ())
-        self.parts.learn(all_)
-        part = self.parts.known.__getitem__
-        alone = iter(self._alone([w for w, own in zip(words, parts, strict=True) if own is None]))
-        return [next(alone) if own is None else b"".join(map(part, own)) for own in parts]
-
-    def _words(self, text: str) -> list[str] | None:
-        if not self.lead:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return None if _BOTH_SPACE.search(self.lead + text) else text.split(" ")
+                n = np.diff(bounds)
+            ids.append(own)
+            size.append(n)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *size])
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = {p for p in parts if len(p) > LONG_WORD or self.lead and not (p[0] == " " and p[1:] and not p[1].isspace())}
+        ids, size = self._together([p for p in parts if p not in odd])
+        if not odd:
+            return ids, size
+        own = dict(zip(odd, self._alone(list(odd)), strict=True))
+        plain = iter(np.split(ids, np.cumsum(size)))
+        each = [np.frombuffer(own[p], np.uint32) if p in odd else next(plain) for p in parts]
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
+
+    def _is_plain(self, c: str) -> bool:
+        """Whether a character is a letter, decimal digit of ASCII, white space or sign here and in the library, which may compose and lower-case."""
+        if unicodedata.category(c)[0] == "M" or unicodedata.normalize("NFC", c) != c:
+            return False
+        if c.isalpha():
+            return self.lead == " " or c.lower().isalpha()
+        return c in "0123456789" or not (c.isnumeric() or "\x1c" <= c <= "\x1f")
+
+    def _parts(self, text: str) -> list[str] | None:
+        """A text's pre-tokens, None if it has to be encoded whole."""
+        new = set(text).difference(self.plain)
+        if new:
+            odd = {c for c in new if not self._is_plain(c)}
+            self.plain |= new - odd
+            if odd:
+                return None
+        if self.lead:
+            return _WITH_LEAD.findall(self.lead + text)
+        low = text.lower() if text.isascii() else text.encode().lower().decode()
+        return None if "<" in low and (self.special(low) or self.special(text)) else _WITHOUT.findall(low)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text; with a lead, of lead + text."""
-        words, all_ = [self._words(t) for t in texts], set()
-        for own in words:
-            all_.update(own or ())
-        new = self.known.learn(all_)
-        known = self.known.known.__getitem__
-        out = [None if own is None else np.frombuffer(b"".join(map(known, own)), np.uint32) for own in words]
-        whole = [i for i, own in enumerate(words) if own is None]
-        for i, ids in zip(whole, self._alone([self.lead + texts[i] for i in whole]), strict=True):
-            out[i] = np.frombuffer(ids, np.uint32)
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.known.known[w]
+        parts = list(map(self._parts, texts))
+        ids, size = self.known.look_up([own or [] for own in parts])
+        out = np.split(ids, np.cumsum(size)[:-1]) if texts else []
+        whole = [i for i, own in enumerate(parts) if own is None]
+        for i, own in zip(whole, self._alone([self.lead + texts[i] for i in whole]), strict=True):
+            out[i] = np.frombuffer(own, np.uint32)
         return out
 
 

@@ -54,6 +54,13 @@ def test_a_full_cache_changes_no_id(libraries, monkeypatch):
         assert [x.tolist() for x in own.ids(texts)] == [libraries[2].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_characters_that_the_library_composes_or_lowers_to_marks(libraries):
+    a, _, w = libraries
+    texts = ["İ. İ!x", "cafe\u0301 e\u0301.", "Å ™ ㎏ Ⓐ ℓ.", "x\x1cy \x1f", "<|ENDOFTEXT|> <|endoftext|>.", "² ½ Ⅷ ٣ ʰ ǅ.", "y" * 70 + ". " + "y" * 70]
+    for own, library, lead in ((WORDS[0], a, " "), (WORDS[1], w, "")):
+        assert [x.tolist() for x in own.ids(texts)] == [library.encode(lead + t, add_special_tokens=False).ids for t in texts]
+
+
 # Alignment
 
 def _a_token_bytes():
@@ -305,3 +312,12 @@ def test_registered_token_files(spark, libraries):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, op13_token_files(spark, SF).collect()))
     assert got == brute_tokens([(r.doc_id, r.text) for r in docs], libraries[2])
+
+
+def test_counts_of_alignment_carry_no_lists_of_ids(spark):
+    docs = frame(spark, [(1, "one two", None, None, None), (2, None, None, None, None), (3, "two, three", None, None, None)])
+    whole, bare = token_align.align_tokens(docs), token_align.align_tokens(docs, ids=False)
+    assert not {"a_ids", "b_ids", "a_last", "b_last"} & set(bare.columns)
+    assert sorted(map(tuple, bare.collect())) == sorted(tuple(r) for r in whole.select(bare.columns).collect())
+    rows = {r.doc_id: r for r in whole.collect()}
+    assert all(rows[k].a_last[-1] == rows[k].n_a - 1 and rows[k].b_last[-1] == rows[k].n_b - 1 and len(rows[k].a_last) == rows[k].n_groups for k in (1, 3)) and rows[2].a_ids == []
