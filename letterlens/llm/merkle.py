@@ -25,7 +25,7 @@ from .common import Scratch, ascii_lower
 ARITY = 16
 #: Leaves in a range of the sort that numbers them.
 RANGE_LEAVES = 100_000
-#: Runs that a task unpacks at once.
+#: Runs that a task unpacks, and passes on, at once.
 RUNS = 200
 #: Parents a task keeps the states of.
 KEPT_PARENTS = 256
@@ -175,9 +175,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept[kids] = Parent(kids)
         return kept[kids]
 
-    for batch in batches:
-        out = {name: [] for name in ("doc_id", "leaf", "subroot", "root", "proof", "folded_root", "verified")}
-        for run in (r for k in range(0, len(batch), RUNS) for r in batch.slice(k, RUNS).to_pylist()):
+    names = ("doc_id", "leaf", "subroot", "root", "proof", "folded_root", "verified")
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
+    for runs in (b.slice(k, RUNS) for b in batches for k in range(0, len(b), RUNS)):
+        out = {name: [] for name in names}
+        for run in runs.to_pylist():
             # The run's own parent serves its leaves alone; those above it serve its neighbours too.
             chain = [Parent(kids) if k == 0 and run["path"] else parent(kids) for k, kids in enumerate([*run["path"], *run["top_path"]])]
             slots, at = [], run["run"]
@@ -194,10 +196,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 folded = item["other"] or item["digest"]
                 for p, slot in zip(chain, own, strict=True):
                     folded = p.fold(slot, folded)
-                for name, value in zip(out, (item["doc_id"], item["digest"], run["subroot"], root, [p.siblings(s) for p, s in zip(chain, own, strict=True)], folded, folded == root), strict=True):
+                for name, value in zip(names, (item["doc_id"], item["digest"], run["subroot"], root, [p.siblings(s) for p, s in zip(chain, own, strict=True)], folded, folded == root), strict=True):
                     out[name].append(value)
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+        # Proofs are six kilobytes a leaf, many times what a run brings: a batch of Spark's would become a GB.
+        yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], list(names))
 
 
 def lower_cased_fifth() -> tuple[Column, Column]:

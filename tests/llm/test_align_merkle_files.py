@@ -235,6 +235,15 @@ def test_manifest_of_no_rows_and_without_tampering(spark):
     assert all(r.verified for r in merkle.merkle_manifest(frame(spark, hard(), True)).collect())
 
 
+def test_proofs_leave_a_task_in_small_batches():
+    """A batch of Spark's holds 10,000 runs, whose proofs are a GB together."""
+    kids = [_h(str(i)) for i in range(16)]
+    run = {"top_idx": 0, "subroot": kids[0], "path": ["".join(kids)] * 5, "top_path": ["".join(kids)], "items": [{"idx": i, "doc_id": i, "digest": d, "other": None} for i, d in enumerate(kids)]}
+    given = merkle.pa.RecordBatch.from_pylist([run | {"run": n} for n in range(3 * merkle.RUNS + 1)])
+    sizes = [(len(b), b.nbytes) for b in merkle._fold(iter([given]))]
+    assert sum(n for n, _ in sizes) == 16 * len(given) and max(n for n, _ in sizes) <= 16 * merkle.RUNS and max(b for _, b in sizes) < 32 << 20
+
+
 # Token files
 
 def brute_tokens(rows, library):
