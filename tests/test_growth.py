@@ -162,3 +162,51 @@ def test_stored_mail_is_dealt_one_side_after_the_other(spark):
     assert "Exchange" not in _plan(V.parsed_mail(spark, SF, R.searched, digests=False, keep=keep)) and names == ["files", "messages"]
     assert "candidate_ips" not in store.origins.columns and store.parsed.count() == 1500
     assert {p.name for p in Path(store.folder.removeprefix("file://")).iterdir()} == {"parsed", "origins"}
+
+
+def _odd_mail(spark):
+    urls = [["http://User@H.test:80?q", " https://A.test:443/P?#f ", None, "//x", "http://198.51.100.12:80/verify?login", "https://[2001:db8::1]/Secure"], [], ["http://h.test./", "HTTP://B.test?x=1&y#z", "mailto:a@b.test", "http://localhost/%41%42%43%44"]]
+    lines = [["from x 1.2.3.4 and 2001:db8::1 [fe80::1] 010.1.1.1", "from [10.0.0.1] 8.8.8.8 2606:4700::1111"], [], ["no", "1:2:3:4:5:6:7:8 127.0.0.1"]]
+    files = [["invoice.pdf.exe", None, "a.JS"], [], ["", "notes.tar.gz"]]
+    rows = [(f"c{i}", u, r, [(f, 1, "AB" * 32 if f else None) for f in fs]) for i, (u, r, fs) in enumerate(zip(urls, lines, files, strict=True))]
+    return spark.createDataFrame(rows, "case_id string, urls array<string>, received_headers array<string>, attachments array<struct<filename:string,size:bigint,sha256:string>>").withColumns({
+        "headers": F.create_map(F.lit("Reply-To"), F.array(F.lit("help@Reply-5.test"))), "sender": F.struct(F.lit("PayPal").alias("display_name"), F.lit("Evil.test.").alias("domain"), F.lit("x").alias("raw"), F.lit("x").alias("address")),
+        "recipients": F.struct(F.array("sender").alias("to"), F.array("sender").alias("reply_to")), "subject": F.lit("s"), "body_text": F.lit("Act now"), "body_html": F.lit(None).cast("string")})
+
+
+def test_what_is_found_row_by_row_is_what_is_found_in_lists(spark):
+    key = lambda df: sorted(map(str, df.collect()))
+    mails = ["case_id", "urls", "received_headers", "attachments", "headers", "sender", "recipients", "subject", "body_text", "body_html"]
+    driver = V.parsed_mail(spark, SF, R.searched).where("case_id < 'CASE-0000000300'")
+    for parsed in (write_once(_odd_mail(spark).select(mails), new_folder(spark, "odd")), write_once(driver.select(mails), new_folder(spark, "mail"))):
+        files = parsed.select("case_id", F.inline("attachments"))
+        what = ["case_id", "ioc_type", "normalized_value", "source_context"]
+        assert key(I.values(parsed, files).select(what).distinct()) == key(I.extract_indicators(parsed).select(what).distinct()) and not I.values(parsed, files).isEmpty()
+        assert key(I.values(parsed, types=["IP"]).distinct()) == key(I.values(parsed).where("ioc_type = 'IP'").distinct())
+        apart = R.link_hits(parsed), R.file_hits(files)
+        assert key(R.score_rules(parsed.drop("attachments"), apart=apart)) == key(R.score_rules(parsed))
+        best = R.best_hits(parsed, 20, apart=apart).select("case_id", "rule_id", "score")
+        assert key(best) == key(R.evaluate_rules(parsed, evidence=False).where("matched").select("case_id", "rule_id", "score"))
+        want = G.select_origin(G.candidates(parsed)).withColumn("candidate_ips_count", F.size("candidate_ips")).drop("candidate_ips")
+        assert key(G.count_candidates(parsed)) == key(want)
+        feed = FE.valid_feed(FE.example_feed(spark))
+        known = ["case_id", "malicious_confidence", "suspicious_confidence", "benign", "disputed"]
+        assert key(I.outcomes(parsed, feed).select(known)) == key(I.summarise_lookup(I.extract_indicators(parsed), feed).where("matched > 0").select(known))
+
+
+def test_lean_store_gives_what_the_whole_one_gives(spark):
+    whole, lean, key = Stored(spark, SF), Stored(spark, SF, lean=True), lambda df: sorted(map(str, df.collect()))
+    for name in ("assessed", "evidence", "artifacts"):
+        a, b = getattr(whole, name), getattr(lean, name)
+        assert key(a) == key(b.select(a.columns)), name
+    assert "attachments" not in lean.mail.columns and {p.name for p in Path(lean.folder.removeprefix("file://")).iterdir()} == {"messages", "origins", "malicious"}
+
+
+def test_evidence_behind_the_files_is_numbered_with_them(spark):
+    """A malicious sender's indicator has a number behind those of the attachments."""
+    stores = [Stored(spark, SF), Stored(spark, SF, raw=False, lean=True)]
+    for s in stores:
+        s.feed = s.feed.withColumn("status", F.when(F.col("ioc_type") == "DOMAIN", "known_malicious").otherwise(F.col("status")))
+    cols = ["case_id", "ioc_id", "source", "normalized_value", "status"]
+    want, got = stores[0].matches.where("status = 'known_malicious'"), stores[1].malicious.where("status = 'known_malicious'")
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())) and not want.where("normalized_value = 'microsoft-login.test'").isEmpty()
