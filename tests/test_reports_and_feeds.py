@@ -78,6 +78,12 @@ def test_report_is_one_exchange_over_its_tables(spark, tables):
     assert plan.count("Exchange hashpartitioning(case_id") <= 1 and "Join" not in plan
 
 
+def test_report_is_written_as_json_once(tables):
+    few = RP.report(**{k: df.where("case_id < 'CASE-0000000009'") for k, df in tables.items()})
+    rows = few.select("report_json", RP.report_json(F.col("report")).alias("again"), "report_sha256").collect()
+    assert rows and all(r.report_json == r.again and hashlib.sha256(r.again.encode()).hexdigest() == r.report_sha256 for r in rows)
+
+
 def test_runs_have_status_output_and_error(spark):
     at = lambda n: f"2024-01-01 00:00:{n:02d}"
     rows = [("a", 1, "PROCESSING_STARTED", at(1), "m"), ("a", 2, "PARSER_STARTED", at(2), "m"), ("a", 3, "PARSER_COMPLETED", at(4), "m"), ("a", 4, "ML_STARTED", at(5), "m"), ("a", 5, "ML_FAILED", at(8), "no model"),
